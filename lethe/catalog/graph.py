@@ -20,6 +20,7 @@ from lethe.catalog.inputs import (
 )
 from lethe.catalog.triplets import sql_triplets
 from lethe.operators import graph
+from lethe.session import materialise
 
 _STORED = f"""{sql_triplets("documents")},
 stored AS (SELECT *, {sql_shard("entity_id")} AS shard_id FROM (
@@ -43,7 +44,7 @@ def _sql_concepts(relation: str) -> str:
         {_sql_concepts("stored")} UNION {_sql_concepts("arrived")}""",
 )
 def upsert_concepts(spark, sf_dir):
-    base = graph.concepts_of(document_triplets(spark, sf_dir))
+    base = materialise(graph.concepts_of(document_triplets(spark, sf_dir)))
     return graph.upsert_concepts(base, benchmark_triplets(spark, sf_dir))
 
 
@@ -100,7 +101,7 @@ def clear_purge_marks(spark, sf_dir):
         SELECT 'concept', entity_id, shard_id, count(*) FROM con GROUP BY ALL""",
 )
 def purge_subgraph(spark, sf_dir):
-    rows = document_triplets(spark, sf_dir)
+    rows = materialise(document_triplets(spark, sf_dir))
     knowledge, concept = graph.purge_subgraph(
         graph.knowledge_rows(rows, _now()),
         graph.concepts_of(rows),
@@ -230,7 +231,7 @@ def entity_in_graph(spark, sf_dir):
 )
 def concept_isolation(spark, sf_dir):
     gone = toxic_entities(spark, sf_dir)
-    rows = document_triplets(spark, sf_dir)
+    rows = materialise(document_triplets(spark, sf_dir))
     before = graph.concepts_of(rows)
     _, after = graph.purge_subgraph(graph.knowledge_rows(rows, _now()), before, gone)
     report = graph.concept_isolation(before, after, gone)

@@ -116,9 +116,20 @@ def extract_triplets(
     return found.withColumn("triplets", triplets).drop("_sentences", "_found")
 
 
+def unnest(df: DataFrame, array: Column, position: str, element: str, *keep: str) -> DataFrame:
+    """Rows of an array column, without those of empty or null arrays.
+
+    For an inner explode the optimizer adds a filter on the array's size and pushes it below
+    the projections that compute the array, where it is computed again. The outer form has no
+    such filter, so a costly array is computed once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, element))
+    return rows.where(F.col(position).isNotNull())
+
+
 def triplet_rows(extracted: DataFrame, *keep: str) -> DataFrame:
     """One row per triplet; ``n`` is its position in the document."""
-    rows = extracted.select(*keep, F.posexplode("triplets").alias("n", "t"))
+    rows = unnest(extracted, F.col("triplets"), "n", "t", *keep)
     return rows.select(*keep, "n", "t.subject", "t.predicate", "t.object")
 
 
@@ -132,13 +143,10 @@ def token_table(
     annotator: Callable[[Column], Column] = rule_annotate,
 ) -> DataFrame:
     """Annotated text as rows ``(doc_id, sent_id, tok_id, text, lemma, pos, dep)``."""
-    sentences = documents.where(has_content(F.col("text"))).select(
-        F.col(doc_id).alias("doc_id"),
-        F.posexplode(annotator(F.col("text"))).alias("sent_id", "tokens"),
-    )
-    return sentences.select("doc_id", "sent_id", F.explode("tokens").alias("t")).select(
-        "doc_id", "sent_id", "t.*"
-    )
+    filled = documents.where(has_content(F.col("text"))).withColumnRenamed(doc_id, "doc_id")
+    sentences = unnest(filled, annotator(F.col("text")), "sent_id", "tokens", "doc_id")
+    rows = unnest(sentences, F.col("tokens"), "_at", "t", "doc_id", "sent_id")
+    return rows.select("doc_id", "sent_id", "t.*")
 
 
 def triplets_from_tokens(tokens: DataFrame, documents: DataFrame) -> DataFrame:
@@ -157,9 +165,9 @@ def triplets_from_tokens(tokens: DataFrame, documents: DataFrame) -> DataFrame:
         )
         .withColumn("found", sentence_triplets(F.col("tokens")))
     )
-    direct = sentences.select(
-        "doc_id", "sent_id", F.posexplode("found").alias("n", "t")
-    ).select("doc_id", "sent_id", "n", "t.*")
+    direct = unnest(sentences, F.col("found"), "n", "t", "doc_id", "sent_id").select(
+        "doc_id", "sent_id", "n", "t.*"
+    )
 
     # Documents without a triplet: two nouns and a verb are enough, so each sentence passes on
     # at most two nouns and one verb and each document is reduced with mergeable minima.
@@ -210,11 +218,8 @@ def triplets_from_tokens(tokens: DataFrame, documents: DataFrame) -> DataFrame:
             ),
         )
     )
-    backup = joined.select(
-        "doc_id",
-        F.lit(-1).alias("sent_id"),
-        F.posexplode(fallback_triplets(F.col("nouns"), F.col("verbs"), F.col("text"))).alias(
-            "n", "t"
-        ),
-    ).select("doc_id", "sent_id", "n", "t.*")
+    found = fallback_triplets(F.col("nouns"), F.col("verbs"), F.col("text"))
+    backup = unnest(joined, found, "n", "t", "doc_id").select(
+        "doc_id", F.lit(-1).alias("sent_id"), "n", "t.*"
+    )
     return direct.unionByName(backup)

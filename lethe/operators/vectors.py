@@ -10,16 +10,22 @@ OWNER = ["shard_id", "entity_id"]
 
 
 def latest_per_slot(new: DataFrame) -> DataFrame:
-    """The last write of each slot by ``seq``.
+    """The last write of each slot by ``seq``, which is unique.
 
-    An aggregate and not a ranked window: repeated writes of one slot collapse in the tasks
-    that read them, so a slot written by a third of the batch is no hot spot.
+    Only slots and sequence numbers are aggregated. The vectors themselves stay where they are
+    unless some slot was written twice, and then meet one row per such slot, so a slot written
+    by a third of the batch is no hot spot.
     """
-    payload = [c for c in new.columns if c not in (*SLOT, "seq")]
-    return (
+    repeated = (
         new.groupBy(*SLOT)
-        .agg(F.max_by(F.struct(*payload), "seq").alias("row"), F.max("seq").alias("seq"))
-        .select(*SLOT, "row.*", "seq")
+        .agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1)
+        .select(*SLOT, "_last")
+    )
+    return (
+        new.join(repeated, SLOT, "left")
+        .where(F.col("_last").isNull() | (F.col("seq") == F.col("_last")))
+        .drop("_last")
     )
 
 
@@ -27,17 +33,18 @@ def upsert_vectors(base: DataFrame, new: DataFrame) -> DataFrame:
     """Replace by slot: an id arriving for another entity of the same shard takes the slot over,
     in another shard both rows stay."""
     latest = latest_per_slot(new)
-    kept = base.join(latest.select(*SLOT), SLOT, "left_anti")
+    kept = base.join(new.select(*SLOT).distinct(), SLOT, "left_anti")
     return kept.unionByName(latest.select(*base.columns))
 
 
 def purge_vectors(base: DataFrame, purged: DataFrame) -> DataFrame:
-    """Drop the rows of purged entities from their own shard. ``purged`` has both OWNER columns.
+    """Drop the rows of purged entities from their own shard. ``purged`` has both OWNER columns
+    and may repeat entities.
 
     The stored rows are the streamed side: a small purge list is broadcast by the optimizer's
     own size check, a large one is shuffled and a dominating entity split.
     """
-    return base.join(purged.select(*OWNER).distinct(), OWNER, "left_anti")
+    return base.join(purged.select(*OWNER), OWNER, "left_anti")
 
 
 def present_entities(table: DataFrame) -> DataFrame:

@@ -11,27 +11,32 @@ from lethe.operators.certificates import (
     latest_certificate,
     verify_certificates,
 )
-from lethe.sources.store import ShardedStore
+from lethe.operators.shards import with_cell
+from lethe.sources.store import Cell, ShardedStore, touched_cells
 
 
-def _tables(store: ShardedStore) -> dict:
+def _tables(store: ShardedStore, cells: set[Cell] | None = None) -> dict:
     return {
-        "entity": store.read("entity"),
-        "marks": store.read("purged_from"),
+        "entity": store.read("entity", cells),
+        "marks": store.read("purged_from", cells),
         "shard": store.read("shard"),
-        "vectors": store.read("vectors"),
-        "concept": store.read("concept"),
+        "vectors": store.read("vectors", cells),
+        "concept": store.read("concept", cells),
         "num_shards": store.options.num_shards,
     }
 
 
 def audit_requests(store: ShardedStore, requests: DataFrame, public_key: bytes) -> DataFrame:
-    """Verdict per request (entity_id, shard_id). Reading errors fail the job; they never
-    count as "nothing left"."""
-    ledger = store.read("audit_certificates").drop("bucket")
-    asked = ledger.join(requests.select(*PAIR).distinct(), PAIR, "left_semi")
+    """Verdict per request (entity_id, shard_id).
+
+    Everything about an entity lies in the cell its id gives, so only those cells are read. A
+    reading error fails the job; it never counts as "nothing left".
+    """
+    cells = touched_cells(with_cell(requests.select("entity_id"), store.options))
+    ledger = store.read("audit_certificates", cells).drop("bucket")
+    asked = ledger.join(requests.select(*PAIR), PAIR, "left_semi")
     certificates = verify_certificates(latest_certificate(asked), public_key)
-    return audit_verdict(requests, certificates=certificates, **_tables(store))
+    return audit_verdict(requests, certificates=certificates, **_tables(store, cells))
 
 
 def audit_store(store: ShardedStore, public_key: bytes) -> DataFrame:

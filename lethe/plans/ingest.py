@@ -16,7 +16,7 @@ from lethe.operators.shards import with_cell
 from lethe.operators.telemetry import ingest_events
 from lethe.operators.triplets import extract_triplets, triplet_rows
 from lethe.operators.validate import accepted, dimension_error, ingest_batch_verdicts
-from lethe.session import spread
+from lethe.session import small_side, spread
 from lethe.sources.store import ShardedStore, touched_cells
 
 
@@ -116,16 +116,15 @@ def run_ingest_batch(
     change = store.begin()
 
     # Vectors: rewrite only the cells that hold an overwritten slot, add everything else.
-    latest = store.stage(
-        vectors.latest_per_slot(
-            good.select("shard_id", "id", "entity_id", "bucket", "vector", "seq")
-        )
-    )
-    slots = latest.select(*vectors.SLOT)
-    hit = store.read("vectors").select(*vectors.SLOT, "bucket")
-    overwritten = touched_cells(hit.join(slots, vectors.SLOT, "left_semi"))
+    slots = small_side(good.select(*vectors.SLOT).distinct())
+    overwritten = set()
+    if store.cells("vectors"):
+        stored = store.read("vectors").select(*vectors.SLOT, "bucket")
+        overwritten = touched_cells(stored.join(slots, vectors.SLOT, "left_semi"))
     kept = store.read("vectors", overwritten).join(slots, vectors.SLOT, "left_anti")
-    change.replace("vectors", kept.unionByName(latest.drop("seq")), overwritten)
+    columns = ["id", "entity_id", "vector", "shard_id", "bucket"]
+    latest = vectors.latest_per_slot(good.select(*columns, "seq")).select(*columns)
+    change.replace("vectors", kept.unionByName(latest), overwritten)
 
     # Graph: nodes that are new, every edge, and no purge mark on entities with new knowledge.
     triplets = triplet_rows(good, *vectors.OWNER, "bucket")
@@ -141,10 +140,10 @@ def run_ingest_batch(
     change.append(
         "knowledge", with_cell(graph.knowledge_rows(triplets, now), store.options)
     )
-    marks = store.read("purged_from", cells)
-    marked = touched_cells(
-        marks.join(triplets.select("entity_id").distinct(), "entity_id", "left_semi")
-    )
+    marked = set()
+    if cells & store.cells("purged_from"):
+        marks = store.read("purged_from", cells)
+        marked = touched_cells(marks.join(triplets, vectors.OWNER, "left_semi"))
     if marked:
         change.replace(
             "purged_from",

@@ -14,7 +14,8 @@ from lethe.operators.certificates import issue_certificates
 from lethe.operators.shards import with_cell
 from lethe.operators.telemetry import unlearn_events
 from lethe.operators.validate import accepted, unlearn_batch_verdicts
-from lethe.sources.store import ShardedStore, touched_cells
+from lethe.session import small_side
+from lethe.sources.store import ShardedStore, WriteFailed, touched_cells
 
 
 class UnlearnFailed(RuntimeError):
@@ -25,12 +26,23 @@ class UnlearnFailed(RuntimeError):
         self.code = code
 
 
+# Which step a table belongs to.
+STEP = {
+    "vectors": messages.PURGE_FAILED,
+    "knowledge": messages.GRAPH_PURGE_FAILED,
+    "concept": messages.GRAPH_PURGE_FAILED,
+    "audit_certificates": messages.AUDIT_PERSIST_FAILED,
+}
+
+
 @contextmanager
-def step(code: str):
+def reporting():
     try:
         yield
-    except Exception as error:
-        raise UnlearnFailed(code, error) from error
+    except WriteFailed as error:
+        raise UnlearnFailed(
+            STEP.get(error.table, messages.AUDIT_RECORD_FAILED), error
+        ) from error
 
 
 @dataclass(frozen=True)
@@ -53,9 +65,7 @@ def unlearn_outcome(
     """
     first = requests.groupBy(*vectors.OWNER).agg(F.min("seq").alias("first_seq"))
     present = (
-        vectors.present_entities(in_vectors)
-        .unionByName(vectors.present_entities(in_graph))
-        .distinct()
+        in_vectors.select(*vectors.OWNER).unionByName(in_graph.select(*vectors.OWNER)).distinct()
     )
     winners = first.join(present, vectors.OWNER, "left_semi")
     found = F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
@@ -108,33 +118,26 @@ def _purge(store: ShardedStore, outcomes: DataFrame, as_of: int, source, batch)
         "seq", "entity_id", "shard_id", "bucket"
     )
     cells = touched_cells(purged)
+    owners = small_side(purged.select(*vectors.OWNER))
     change = store.begin()
     if cells:
-        for table, code in (
-            ("vectors", messages.PURGE_FAILED),
-            ("knowledge", messages.GRAPH_PURGE_FAILED),
-            ("concept", messages.GRAPH_PURGE_FAILED),
-        ):
+        for table in ("vectors", "knowledge", "concept"):
             held = cells & store.cells(table)
             if held:
-                with step(code):
-                    kept = vectors.purge_vectors(store.read(table, held), purged)
-                    change.replace(table, kept, held)
+                kept = vectors.purge_vectors(store.read(table, held), owners)
+                change.replace(table, kept, held)
         now = F.timestamp_seconds(F.lit(as_of))
-        with step(messages.AUDIT_RECORD_FAILED):
-            stamped = purged.withColumn("timestamp", now).withColumn("updated_at", now)
-            change.append("purged_from", stamped)
-            entities = graph.upsert_nodes(
-                store.read("entity", cells), stamped, ["entity_id", "shard_id", "bucket"]
-            )
-            change.replace("entity", entities, cells)
-            shards = store.read("shard").drop("bucket")
-            hubs = graph.upsert_nodes(shards, stamped, ["shard_id"])
-            change.replace(
-                "shard", hubs.withColumn("bucket", F.lit(0)), store.cells("shard")
-            )
-    with step(messages.AUDIT_RECORD_FAILED):
-        change.append("unlearn_log", outcomes.withColumn("timestamp_epoch", F.lit(as_of)))
+        stamped = purged.withColumn("timestamp", now).withColumn("updated_at", now)
+        change.append("purged_from", stamped)
+        entities = graph.upsert_nodes(
+            store.read("entity", cells), stamped, ["entity_id", "shard_id", "bucket"]
+        )
+        change.replace("entity", entities, cells)
+        shards = store.read("shard").drop("bucket")
+        hubs = graph.upsert_nodes(shards, stamped, ["shard_id"])
+        change.replace("shard", hubs.withColumn("bucket", F.lit(0)), store.cells("shard"))
+    change.append("unlearn_log", outcomes.withColumn("timestamp_epoch", F.lit(as_of)))
+    with reporting():
         change.commit(source, batch, "purged")
     store.vacuum()  # the purged rows' files are gone from here on
 
@@ -174,13 +177,13 @@ def run_unlearn_batch(
         _purge(store, outcomes, as_of, source, batch)
 
     done = store.read("unlearn_log").where(F.col("request_source") == tag)
-    with step(messages.AUDIT_PERSIST_FAILED):
-        purges = done.where(F.col("status_code") == 200).select(
-            "entity_id", "shard_id", "bucket", "timestamp_epoch", "seq"
-        )
-        signed = issue_certificates(purges, private_key)
-        change = store.begin()
-        change.append("audit_certificates", with_cell(signed, store.options))
+    purges = done.where(F.col("status_code") == 200).select(
+        "entity_id", "shard_id", "bucket", "timestamp_epoch", "seq"
+    )
+    change = store.begin()
+    signed = issue_certificates(purges, private_key)
+    change.append("audit_certificates", with_cell(signed, store.options))
+    with reporting():
         change.commit(source, batch, "done")
     ledger = store.read("audit_certificates").drop("bucket")
     issued = ["seq", "entity_id", "shard_id", "timestamp_epoch"]

@@ -27,14 +27,14 @@ def parse_unlearn_payload(payload: Column) -> Column:
 def explode_ingest(requests: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per request; ``item`` is its position in the payload. Malformed text drops out."""
     keep = [c for c in requests.columns if c != payload]
-    rows = requests.select(*keep, F.posexplode(parse_ingest_payload(F.col(payload))))
-    return rows.select(*keep, F.col("pos").alias("item"), "col.id", "col.entity_id", "col.text")
+    rows = requests.select(*keep, F.posexplode_outer(parse_ingest_payload(F.col(payload))))
+    return rows.where(F.col("pos").isNotNull()).select(*keep, F.col("pos").alias("item"), "col.id", "col.entity_id", "col.text")
 
 
 def explode_unlearn(requests: DataFrame, payload: str = "payload") -> DataFrame:
     keep = [c for c in requests.columns if c != payload]
-    rows = requests.select(*keep, F.posexplode(parse_unlearn_payload(F.col(payload))))
-    return rows.select(*keep, F.col("pos").alias("item"), F.col("col").alias("entity_id"))
+    rows = requests.select(*keep, F.posexplode_outer(parse_unlearn_payload(F.col(payload))))
+    return rows.where(F.col("pos").isNotNull()).select(*keep, F.col("pos").alias("item"), F.col("col").alias("entity_id"))
 
 
 def read_ingest_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

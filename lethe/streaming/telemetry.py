@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lethe.operators.telemetry import AUDITED, DELETED, INGESTED
-from lethe.session import ship_package
 
-SALTS = 16
+# The processor travels with the query; workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SALTS = 8  # slices per entity; deletes are sent to each
 
 CHANGE = (
     "entity_id string, id string, shard_id int, first_seq long, status string, "
@@ -35,7 +39,8 @@ class NodeFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         entity_id = key[0]
         first: dict[str, tuple[int, int]] = {}
-        before = self.deleted.get()[0] if self.deleted.exists() else -1
+        stored = self.deleted.get()
+        before = -1 if stored is None else stored[0]
         last = before
         for part in rows:
             ingests = part[part["id"].notna()]
@@ -49,7 +54,7 @@ class NodeFold(StatefulProcessor):
                 last = max(last, int(deletes.max()))
         changes = []
         for node, (seq, shard) in first.items():
-            old = self.nodes.getValue((node,)) if self.nodes.containsKey((node,)) else None
+            old = self.nodes.getValue((node,))
             if old is not None and old[0] <= seq:
                 continue
             was_purged = old is not None and old[2]
@@ -85,7 +90,6 @@ def stream_node_changes(events: DataFrame, salts: int = SALTS) -> DataFrame:
     State is keyed by entity and a hash slice of the node id, and deletes go to every slice,
     so an entity owning a third of all nodes is folded by many tasks.
     """
-    ship_package(events.sparkSession)
     rows = events.where(F.col("type").isin(INGESTED, DELETED)).select(
         F.col("payload.entity_id").alias("entity_id"),
         F.when(
