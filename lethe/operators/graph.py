@@ -54,7 +54,8 @@ def append_knowledge(base: DataFrame, triplets: DataFrame, timestamp: Column) ->
 
 def clear_purge_marks(marks: DataFrame, triplets: DataFrame) -> DataFrame:
     """New knowledge about an entity lifts its purge marks; an ingest without triplets does not."""
-    return marks.join(triplets.select("entity_id").distinct(), "entity_id", "left_anti")
+    kept = marks.join(triplets.select("entity_id"), "entity_id", "left_anti")
+    return kept.select(*marks.columns)
 
 
 def purge_subgraph(
@@ -67,7 +68,7 @@ def upsert_nodes(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Node upsert: the newest ``updated_at`` per key replaces the stored row."""
     latest = new.groupBy(*keys).agg(F.max("updated_at").alias("updated_at"))
     kept = base.join(latest.select(*keys), keys, "left_anti")
-    return kept.unionByName(latest.select(*base.columns))
+    return kept.select(*base.columns).unionByName(latest.select(*base.columns))
 
 
 def record_purge(
@@ -90,8 +91,8 @@ def affected_shards(entity: DataFrame, marks: DataFrame, shard: DataFrame) -> Da
     """
     return (
         marks.select("entity_id", "shard_id")
-        .join(entity.select("entity_id").distinct(), "entity_id", "left_semi")
-        .join(F.broadcast(shard.select("shard_id").distinct()), "shard_id", "left_semi")
+        .join(entity.select("entity_id"), "entity_id", "left_semi")
+        .join(F.broadcast(shard.select("shard_id")), "shard_id", "left_semi")
         .select("entity_id", "shard_id")
     )
 

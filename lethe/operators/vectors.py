@@ -34,7 +34,7 @@ def upsert_vectors(base: DataFrame, new: DataFrame) -> DataFrame:
     in another shard both rows stay."""
     latest = latest_per_slot(new)
     kept = base.join(new.select(*SLOT).distinct(), SLOT, "left_anti")
-    return kept.unionByName(latest.select(*base.columns))
+    return kept.select(*base.columns).unionByName(latest.select(*base.columns))
 
 
 def purge_vectors(base: DataFrame, purged: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def purge_vectors(base: DataFrame, purged: DataFrame) -> DataFrame:
     The stored rows are the streamed side: a small purge list is broadcast by the optimizer's
     own size check, a large one is shuffled and a dominating entity split.
     """
-    return base.join(purged.select(*OWNER), OWNER, "left_anti")
+    return base.join(purged.select(*OWNER), OWNER, "left_anti").select(*base.columns)
 
 
 def present_entities(table: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def present_entities(table: DataFrame) -> DataFrame:
 
 def entity_vectors(vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """Vectors of the given entities, read from their own shards only."""
-    return vectors.join(entities.select(*OWNER).distinct(), OWNER, "left_semi")
+    return vectors.join(entities.select(*OWNER), OWNER, "left_semi").select(*vectors.columns)
 
 
 def entity_in_vectors(requests: DataFrame, vectors: DataFrame) -> DataFrame:
