@@ -15,10 +15,16 @@ from lethe.operators.shards import with_cell
 from lethe.sources.store import Cell, ShardedStore, touched_cells
 
 
+def _past(store: ShardedStore, table: str, cells: set[Cell] | None):
+    """Rows that keep the shard a purge happened on."""
+    wanted = None if cells is None else store.cells_of_any_shard(table, cells)
+    return store.read(table, wanted)
+
+
 def _tables(store: ShardedStore, cells: set[Cell] | None = None) -> dict:
     return {
         "entity": store.read("entity", cells),
-        "marks": store.read("purged_from", cells),
+        "marks": _past(store, "purged_from", cells),
         "shard": store.read("shard"),
         "vectors": store.read("vectors", cells),
         "concept": store.read("concept", cells),
@@ -33,7 +39,7 @@ def audit_requests(store: ShardedStore, requests: DataFrame, public_key: bytes)
     reading error fails the job; it never counts as "nothing left".
     """
     cells = touched_cells(with_cell(requests.select("entity_id"), store.options))
-    ledger = store.read("audit_certificates", cells).drop("bucket")
+    ledger = _past(store, "audit_certificates", cells).drop("bucket")
     asked = ledger.join(requests.select(*PAIR), PAIR, "left_semi")
     certificates = verify_certificates(latest_certificate(asked), public_key)
     return audit_verdict(requests, certificates=certificates, **_tables(store, cells))

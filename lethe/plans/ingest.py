@@ -141,9 +141,10 @@ def run_ingest_batch(
         "knowledge", with_cell(graph.knowledge_rows(triplets, now), store.options)
     )
     marked = set()
-    if cells & store.cells("purged_from"):
-        marks = store.read("purged_from", cells)
-        marked = touched_cells(marks.join(triplets, vectors.OWNER, "left_semi"))
+    markable = store.cells_of_any_shard("purged_from", cells)
+    if markable:
+        marks = store.read("purged_from", markable)
+        marked = touched_cells(marks.join(triplets, "entity_id", "left_semi"))
     if marked:
         change.replace(
             "purged_from",
