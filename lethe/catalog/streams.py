@@ -105,6 +105,31 @@ def stream_unlearn(spark, sf_dir):
     )
 
 
+def update_files(spark, df):
+    """Updates of an aggregating stream, appended batch by batch.
+
+    Every batch has a folder of its own, so a batch that runs again replaces what it wrote.
+    """
+    path = new_dir(spark, "updates")
+
+    def append(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    drain(spark, df.writeStream.outputMode("update").foreachBatch(append))
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@query(
+    "stream_node_state",
+    f"WITH {_NODES} SELECT entity_id, id, shard_id, created_seq, status FROM nodes",
+)
+def stream_node_state(spark, sf_dir):
+    events = event_log_of(stream_table(spark, sf_dir, "events"))
+    first = update_files(spark, telemetry.stream_first_ingests(events))
+    deletes = update_files(spark, telemetry.stream_last_deletes(events))
+    return telemetry.nodes_from_updates(first, deletes)
+
+
 def _changes(spark, sf_dir):
     events = event_log_of(stream_table(spark, sf_dir, "events"))
     with keyed_state(spark):
@@ -112,10 +137,10 @@ def _changes(spark, sf_dir):
 
 
 @query(
-    "stream_node_state",
+    "stream_node_changes",
     f"WITH {_NODES} SELECT entity_id, id, shard_id, created_seq, status FROM nodes",
 )
-def stream_node_state(spark, sf_dir):
+def stream_node_changes(spark, sf_dir):
     return telemetry.nodes_from_changes(_changes(spark, sf_dir))
 
 

@@ -143,14 +143,27 @@ def certificate_feed(events: DataFrame) -> DataFrame:
 
 
 def engine_metrics(nodes: DataFrame, feed: DataFrame, num_shards: int) -> DataFrame:
-    """The header figures, one row."""
-    counts = nodes.agg(
-        F.count(F.lit(1)).alias("ingested_entities"),
-        F.count(F.when(F.col("status") == "purged", 1)).alias("purged_entities"),
-    ).withColumn("k", F.lit(0))
-    root = feed.agg(F.max_by("merkle_root_hash", "seq").alias("root")).withColumn("k", F.lit(0))
-    # Two one-row aggregates side by side.
-    return counts.join(root, "k").select(
+    """The header figures, one row: both inputs go through one aggregate."""
+    none = F.lit(None)
+    rows = nodes.select(
+        F.lit(1).alias("node"),
+        (F.col("status") == "purged").cast("int").alias("purge"),
+        none.cast("bigint").alias("seq"),
+        none.cast("string").alias("root"),
+    ).unionByName(
+        feed.select(
+            F.lit(0).alias("node"),
+            F.lit(0).alias("purge"),
+            "seq",
+            F.col("merkle_root_hash").alias("root"),
+        )
+    )
+    totals = rows.agg(
+        F.coalesce(F.sum("node"), F.lit(0)).alias("ingested_entities"),
+        F.coalesce(F.sum("purge"), F.lit(0)).alias("purged_entities"),
+        F.max_by("root", "seq").alias("root"),
+    )
+    return totals.select(
         F.lit(num_shards).alias("active_shards"),
         "ingested_entities",
         "purged_entities",

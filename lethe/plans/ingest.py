@@ -155,7 +155,7 @@ def run_ingest_batch(
 
     responses = store.keep(ingest_responses(items), "responses")
     batches = store.keep(batch_summary(verdicts, items), "batches")
-    store.vacuum()
+    store.drop_staged()
     return IngestResult(responses, batches, ingest_events(responses))
 
 

@@ -84,8 +84,49 @@ class NodeFold(StatefulProcessor):
         pass
 
 
+def stream_first_ingests(events: DataFrame) -> DataFrame:
+    """First ingest per node (update mode), with :func:`stream_last_deletes` the node state
+    without Python: state per key lives in the JVM and rows are combined before the shuffle.
+
+    Append each batch's updates to a table; :func:`nodes_from_updates` folds the two tables.
+    """
+    return (
+        events.where(F.col("type") == INGESTED)
+        .groupBy(F.col("payload.entity_id").alias("entity_id"), F.col("payload.id").alias("id"))
+        .agg(F.min(F.struct("seq", "payload.shard_id")).alias("first"))
+        .select("entity_id", "id", "first.shard_id", F.col("first.seq").alias("first_seq"))
+    )
+
+
+def stream_last_deletes(events: DataFrame) -> DataFrame:
+    """Newest delete per entity (update mode)."""
+    return (
+        events.where(F.col("type") == DELETED)
+        .groupBy(F.col("payload.entity_id").alias("entity_id"))
+        .agg(F.max("seq").alias("deleted"))
+    )
+
+
+def nodes_from_updates(first: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Current node state from the updates of both streams."""
+    nodes = first.groupBy("entity_id", "id").agg(
+        F.min_by("shard_id", "first_seq").alias("shard_id"),
+        F.min("first_seq").alias("created_seq"),
+    )
+    last = deletes.groupBy("entity_id").agg(F.max("deleted").alias("deleted"))
+    purged = F.coalesce(F.col("deleted") > F.col("created_seq"), F.lit(False))
+    return nodes.join(last, "entity_id", "left").select(
+        "entity_id",
+        "id",
+        "shard_id",
+        "created_seq",
+        F.when(purged, "purged").otherwise("active").alias("status"),
+    )
+
+
 def stream_node_changes(events: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Change log of node states from an event stream (append mode).
+    """Change log of node states from an event stream (append mode), one row whenever a node
+    appears or is purged, which is what running counts need.
 
     State is keyed by entity and a hash slice of the node id, and deletes go to every slice,
     so an entity owning a third of all nodes is folded by many tasks.

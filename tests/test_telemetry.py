@@ -169,6 +169,17 @@ def test_node_stream_over_many_batches(spark, tmp_path):
     purged = sum(s == "purged" for _, s in expected.values())
     assert tuple(total) == (len(expected), purged)
 
+    batches: dict[str, list] = {"first": [], "deletes": []}
+    for name, build_stream in (
+        ("first", X.stream_first_ingests),
+        ("deletes", X.stream_last_deletes),
+    ):
+        df = build_stream(stream.parquet(str(source)))
+        run(df, name, "update", each=lambda rows, batch, n=name: batches[n].extend(rows.collect()))
+        batches[name] = spark.createDataFrame(batches[name], df.schema)
+    folded = X.nodes_from_updates(batches["first"], batches["deletes"]).collect()
+    assert {(r.entity_id, r.id): (r.created_seq, r.status) for r in folded} == expected
+
     run(X.stream_certificates(stream.parquet(str(source))), "certs")
     certs = spark.read.parquet(str(tmp_path / "certs_out"))
     assert certs.count() == sum(row[1] == "U" for row in log)
