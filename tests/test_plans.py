@@ -12,27 +12,14 @@ from lethe.operators import triplets, vectors
 from lethe.options import EngineOptions
 from lethe.operators.shards import with_cell
 from lethe.sources.store import ShardedStore, touched_cells
-from tests.test_oracle import SF_DIR, SLOW
+from tests.test_oracle import SF_DIR
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given tables")
 
-# Results that are one row, or sorted as a whole.
-GLOBAL = {"engine_metrics", "recent_events"}
-
-
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
-def test_no_cross_join_and_no_single_task(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
-    for shape in ("CartesianProduct", "NestedLoopJoin"):
-        assert shape not in text
-    if name not in GLOBAL:
-        assert "SinglePartition" not in text
-
-
 def test_recent_events_is_a_top_k(spark):
     text = plan(entry.queries()["recent_events"](spark, SF_DIR))
     assert "TakeOrderedAndProject" in text and "Exchange rangepartitioning" not in text
