@@ -49,13 +49,18 @@ def upsert_concepts(spark, sf_dir):
 
 
 _EDGE = f"""entity_id || ':' || subject AS sub_id, entity_id || ':' || object AS obj_id,
-  predicate, shard_id, entity_id, make_timestamp({EPOCH}000000) AS timestamp"""
+  predicate, shard_id, entity_id, {EPOCH}::BIGINT AS timestamp"""
 
 
 def _now():
     return F.timestamp_seconds(F.lit(EPOCH))
 
 
+def _epochs(df):
+    """Timestamps shown as epoch seconds, free of any time zone."""
+    return df.withColumn("timestamp", F.unix_timestamp("timestamp"))
+
+
 @query(
     "append_knowledge",
     f"""WITH {_STORED}, {_ARRIVED} SELECT {_EDGE} FROM stored
@@ -63,7 +68,7 @@ def _now():
 )
 def append_knowledge(spark, sf_dir):
     base = graph.knowledge_rows(document_triplets(spark, sf_dir), _now())
-    return graph.append_knowledge(base, benchmark_triplets(spark, sf_dir), _now())
+    return _epochs(graph.append_knowledge(base, benchmark_triplets(spark, sf_dir), _now()))
 
 
 def _marks(spark, sf_dir):
@@ -79,7 +84,7 @@ def _marks(spark, sf_dir):
 _MARKS = f"""marks AS (
   SELECT entity_id, {sql_shard("entity_id")} AS shard_id, timestamp FROM (
     SELECT 'user_' || (doc_id % {ENTITIES}) AS entity_id,
-           make_timestamp(({EPOCH} + doc_id) * 1000000) AS timestamp FROM labels))"""
+           ({EPOCH} + doc_id)::BIGINT AS timestamp FROM labels))"""
 
 
 @query(
@@ -88,7 +93,9 @@ _MARKS = f"""marks AS (
         WHERE entity_id NOT IN (SELECT entity_id FROM arrived)""",
 )
 def clear_purge_marks(spark, sf_dir):
-    return graph.clear_purge_marks(_marks(spark, sf_dir), benchmark_triplets(spark, sf_dir))
+    return _epochs(
+        graph.clear_purge_marks(_marks(spark, sf_dir), benchmark_triplets(spark, sf_dir))
+    )
 
 
 @query(
@@ -140,8 +147,8 @@ _RECORDED = f"""{TOXIC},
 kept AS (
   SELECT entity_id, {sql_shard("entity_id")} AS shard_id, ts FROM (
     SELECT 'user_' || (doc_id % {ENTITIES}) AS entity_id,
-           make_timestamp(({EPOCH} + doc_id) * 1000000) AS ts FROM labels WHERE quality = 1)),
-added AS (SELECT entity_id, shard_id, make_timestamp(({EPOCH} - seq) * 1000000) AS ts
+           ({EPOCH} + doc_id)::BIGINT AS ts FROM labels WHERE quality = 1)),
+added AS (SELECT entity_id, shard_id, ({EPOCH} - seq)::BIGINT AS ts
           FROM toxic)"""
 
 
@@ -169,20 +176,20 @@ def record_purge(spark, sf_dir):
         entity.select(
             F.lit("entity").alias("part"),
             F.col("entity_id").alias("key"),
-            F.col("updated_at").alias("ts"),
+            F.unix_timestamp("updated_at").alias("ts"),
         )
         .unionByName(
             shard.select(
                 F.lit("shard").alias("part"),
                 F.col("shard_id").cast("string").alias("key"),
-                F.col("updated_at").alias("ts"),
+                F.unix_timestamp("updated_at").alias("ts"),
             )
         )
         .unionByName(
             marks.select(
                 F.lit("purged_from").alias("part"),
                 relation.alias("key"),
-                F.col("timestamp").alias("ts"),
+                F.unix_timestamp("timestamp").alias("ts"),
             )
         )
     )

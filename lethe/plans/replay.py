@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lethe import messages
 from lethe.operators.vectors import OWNER, SLOT
 
-SPAN = 1 << 20  # sequence numbers per bucket
+SPAN = 1 << 18  # sequence numbers per bucket
 
 
 def next_seq(df: DataFrame, keys: list[str], wanted: str, out: str, span: int = SPAN):
