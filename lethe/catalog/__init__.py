@@ -28,7 +28,7 @@ def load() -> None:
     from lethe.catalog import (  # noqa: F401
         certificates,
         graph,
-        pipelines,
+        jobs,
         requests,
         streams,
         telemetry,

@@ -19,7 +19,7 @@ from lethe.catalog.inputs import (
     text_of,
     user,
 )
-from lethe.catalog.pipelines import _MISSING, new_store
+from lethe.catalog.jobs import _MISSING, new_store
 from lethe.catalog.telemetry import _FEED, _NODES
 from lethe.plans.ingest import run_ingest_batch
 from lethe.session import keyed_state, new_dir
