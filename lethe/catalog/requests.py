@@ -18,7 +18,7 @@ from lethe.catalog.inputs import (
     user,
 )
 from lethe.functions.hashing import assign_shard
-from lethe.functions.text import non_blank, valid_identifier
+from lethe.functions.text import error_message, non_blank, valid_identifier
 from lethe.operators import shards, validate
 from lethe.sources.requests import explode_ingest, explode_unlearn
 
@@ -338,3 +338,24 @@ def shard_topology(spark, sf_dir):
 )
 def topology_links(spark, sf_dir):
     return shards.topology_links(document_requests(spark, sf_dir), SHARDS)
+
+
+@query(
+    "error_message",
+    f"""SELECT event_id, CASE
+          WHEN regexp_matches('u' || user_id, '{_ID}') THEN 'Unlearn failed'
+          WHEN event_id % 2 = 0 THEN {_QUOTED}
+          ELSE {sql_text(messages.UNLEARN_INVALID)} END AS shown
+        FROM (SELECT *, 'u' || user_id AS entity_id FROM events)""",
+)
+def shown_errors(spark, sf_dir):
+    """Bodies of rejected unlearn requests: plain text from batches, JSON from single ones."""
+    judged = validate.classify_unlearn(_short_unlearns(spark, sf_dir))
+    body = F.when(F.col("message").isNull(), F.lit("")).otherwise(
+        F.when(
+            F.col("seq") % 2 == 0, validate.unlearn_item_error(F.col("entity_id"))
+        ).otherwise(F.to_json(F.struct("error", "message")))
+    )
+    return judged.select(
+        F.col("seq").alias("event_id"), error_message(body, "Unlearn failed").alias("shown")
+    )

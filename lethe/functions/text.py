@@ -44,3 +44,16 @@ def short_hash(value: Column, placeholder: str) -> Column:
 def contains_folded(value: Column, query: str) -> Column:
     """Case-insensitive literal substring test (``%`` and ``_`` have no meaning)."""
     return F.coalesce(F.contains(F.lower(value), F.lit(query.lower())), F.lit(False))
+
+
+def error_message(body: Column, fallback: str) -> Column:
+    """What to show of an error response: the ``message`` text of a JSON body, else the body as
+    it is, or the fallback if there is none."""
+    message = F.try_variant_get(F.try_parse_json(body), "$.message", "variant")
+    is_text = F.schema_of_variant(message) == "STRING"
+    text = F.when(is_text, F.try_variant_get(message, "$", "string"))
+    return (
+        F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.lit(fallback))
+        .when(non_blank(text), text)
+        .otherwise(body)
+    )

@@ -9,6 +9,7 @@ from lethe.functions.arrays import l2_norm, l2_normalise
 from lethe.functions.hashing import assign_bucket, assign_shard
 from lethe.functions.text import (
     contains_folded,
+    error_message,
     has_content,
     non_blank,
     short_hash,
@@ -74,6 +75,17 @@ def test_contains_is_literal(spark):
     ]
 
 
+def test_error_message(spark):
+    bodies = ["", None, '{"error": "E", "message": "gone"}', "plain", '{"message": 5}']
+    bodies += ['{"message": " "}', "{broken", '"text"', "null", '{"other": 1}']
+    assert column(spark, bodies, lambda c: error_message(c, "none")) == [
+        "none",
+        "none",
+        "gone",
+        *bodies[3:],
+    ]
+
+
 @pytest.mark.parametrize("shards", [2, 4, 8, 16])
 def test_shard_bounds(spark, shards):
     ids = [f"entity_sample_{i}" for i in range(100)]
