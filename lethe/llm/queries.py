@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import exact_dedup, sharding
+from lethe.llm import exact_dedup, mixing, sharding, topk
 from lethe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,74 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+MIX_WEIGHTS = (5, 2, 1)
+
+
+@query(
+    "op7_mixing",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source,
+             coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+      FROM documents
+    ), s AS (
+      SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+             row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn
+      FROM d GROUP BY source
+    ), w AS (
+      SELECT *, CASE turn % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM s
+    ), l AS (
+      SELECT *, most / weight AS fill,
+        ((SELECT sum(source_size) FROM w)::DOUBLE * 1.0 - coalesce(sum(most) OVER ahead, 0)::DOUBLE)
+        / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER ahead, 0)) AS level
+      FROM w
+      WINDOW ahead AS (ORDER BY most / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), t AS (
+      SELECT source, source_size,
+        CASE WHEN most < weight * level THEN most::DOUBLE
+             ELSE weight * (SELECT arg_min(level, (fill, turn)) FROM l WHERE NOT most < weight * level)
+        END AS target
+      FROM l
+    ), b AS (
+      SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS budget,
+        coalesce(sum(d.size) OVER (
+          PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.size
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size::BIGINT AS size, source_size, target,
+      (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
+       + greatest(0, least(size, CASE WHEN source_size > 0 THEN budget % source_size ELSE budget END
+                           - ahead)))::BIGINT AS taken
+    FROM b
+    """,
+)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+@query(
+    "op9_top_k_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), p AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+      SELECT query_id,
+             row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+             vec_id, score
+      FROM p
+    )
+    SELECT * FROM r WHERE rank <= 5
+    """,
+)
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search_embeddings(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
