@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import exact_dedup, mixing, sharding, topk
+from lethe.llm import exact_dedup, mixing, packing, sharding, token_files, topk
 from lethe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.search_embeddings(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are not SQL; ``tests/llm/test_tokens.py`` encodes whole texts with the library."""
+    path = token_files.new_token_dir(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_files.read_digests(spark, path)
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are not SQL; ``tests/llm/test_packing.py`` puts all pieces together again."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=0)
