@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import exact_dedup, mixing, packing, sharding, token_files, topk
+from lethe.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    packing,
+    sharding,
+    token_files,
+    topk,
+)
 from lethe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +155,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are not SQL; ``tests/llm/test_packing.py`` puts all pieces together again."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=0)
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained model; ``tests/llm/test_language_id.py`` measures it on held-out rows."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.in_fold("doc_id", 4, 2)
+    model = language_id.fit_languages(docs, F.col("doc_id").isNotNull() & ~held_out)
+    rows = docs.withColumn("held_out", held_out)
+    return language_id.predict_languages(rows, model, ["doc_id", "held_out"])
