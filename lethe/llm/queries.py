@@ -12,6 +12,7 @@ from lethe.llm import (
     language_id,
     mixing,
     packing,
+    quality,
     sharding,
     token_files,
     topk,
@@ -165,3 +166,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_languages(docs, F.col("doc_id").isNotNull() & ~held_out)
     rows = docs.withColumn("held_out", held_out)
     return language_id.predict_languages(rows, model, ["doc_id", "held_out"])
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained model; ``tests/llm/test_quality.py`` measures it on held-out rows."""
+    held_out = language_id.in_fold("doc_id", 5, 0)
+    features = quality.document_features(table(spark, sf_dir, "documents"))
+    model = quality.fit_quality(features, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score_quality(features, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
