@@ -11,6 +11,7 @@ from lethe.llm import (
     exact_dedup,
     language_id,
     mixing,
+    near_join,
     packing,
     quality,
     sharding,
@@ -180,3 +181,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op2_near_join")
+def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen paths are not SQL; ``tests/llm/test_near_join.py`` compares all pairs."""
+    found = near_join.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "set_id", "class_id", "links")
