@@ -4,26 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lethe.llm.common import drop_written, table, written
-from lethe.llm.exact_dedup import drop_copies
+from lethe.llm import exact_dedup, language_id, mixing, near_join, packing
+from lethe.llm.common import scratch, table, written
 
+WEIGHTS = (5, 2, 1)
+END_ID = 0
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return drop_copies(docs)
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay; those without a letter, or without a text, go.
+
+    The model learns from the labelled documents that came in, less a fold kept for tests.
+    ``lang`` is what the text was found to be in.
+    """
+    usable = docs["doc_id"].isNotNull() & ~language_id.in_fold("doc_id", 4, 2)
+    model = language_id.fit_languages(docs, usable)
+    found = language_id.predict_languages(docs, model, docs.columns)
+    known = found.where(found[language_id.LANGUAGE] != language_id.UNKNOWN)
+    return known.withColumn("lang", known[language_id.LANGUAGE]).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays."""
+    return near_join.drop_near_copies(docs)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight: a document stands as often as it is taken whole, and once more with
+    the words up to its source's cut."""
+    return mixing.mixed_documents(docs, WEIGHTS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids."""
+    return packing.pack_documents(docs, END_ID, with_ids=True)
 
 
 STAGES = [
-    ("exact_dedup", exact_dedup),
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_to_weights),
+    ("packing", pack_sequences),
 ]
 
-# A trained classifier and a tokenizer library are not SQL; the tests compare with brute force.
+# A trained classifier and a tokenizer library are not SQL; tests/llm/test_pipeline.py
+# compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again by the next."""
+    """All stages over ``documents``; each result is written and read again by the next.
+
+    When a stage's result is written, what was written before it is deleted.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark, keep_last=True):
+            docs = written(stage(spark, docs, sf_dir), name)
     return docs

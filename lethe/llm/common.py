@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,20 @@ def written(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the intermediates of this session's earlier calls.
+@contextmanager
+def scratch(spark: SparkSession, keep_last: bool = False) -> Iterator[None]:
+    """Delete the intermediates written inside on leaving, but for the last one if asked.
 
-    Call it when the results that were built from them have been written.
+    For callers that write a result before they leave; a result not yet written needs them.
     """
+    before = len(_written)
+    yield
     hadoop = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+    own = _written[before:]
+    del _written[before:]
+    for path in own[:-1] if keep_last else own:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
 
 
 def row_number_in_task() -> Column:

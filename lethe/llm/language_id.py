@@ -10,10 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lethe.session import ship_package
 
 UNKNOWN = "und"
+LANGUAGE, SCORE = "lang_pred", "score"
 FEATURES = 1 << 12  # hashed letter trigrams
 PER_LANGUAGE = 400  # labelled documents per language that a model is fitted on, at most
 LETTER = r"\p{L}"
@@ -192,8 +194,8 @@ def fit_languages(
 def _predict(model: LanguageModel):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lettered = pc.match_substring_regex(batch.column("text"), LETTER).to_pylist()
-            lower = pc.utf8_lower(batch.column("text"))
+            lettered = pc.match_substring_regex(batch.column(0), LETTER).to_pylist()
+            lower = pc.utf8_lower(batch.column(0))
             names, scores = [], []
             for has_letter, text in zip(lettered, lower, strict=True):
                 if has_letter and model.families:
@@ -202,11 +204,9 @@ def _predict(model: LanguageModel):
                     name, score = UNKNOWN, 0.0
                 names.append(name)
                 scores.append(score)
-            at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays(
-                [c for i, c in enumerate(batch.columns) if i != at]
-                + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[n for n in batch.schema.names if n != "text"] + ["lang_pred", "score"],
+                batch.columns[1:] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=batch.schema.names[1:] + [LANGUAGE, SCORE],
             )
 
     return predict
@@ -218,12 +218,16 @@ def predict_languages(
     """The ``keep`` columns of every row with ``lang_pred`` and ``score``.
 
     The whole text decides, nothing else. A null text, or one without a letter, is ``und``
-    with score 0, and so is everything if no labelled document was there to learn from.
+    with score 0, and so is everything if no labelled document was there to learn from. A
+    column of ``keep`` that has the name of an added one is left out.
     """
     ship_package(df.sparkSession)
-    rows = df.select(*keep, F.col(text_col).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double")
+    kept = [c for c in keep if c.lower() not in (LANGUAGE, SCORE)]
+    rows = df.select(F.col(text_col).alias("input"), *kept)
+    schema = StructType(
+        [*rows.schema.fields[1:], StructField(LANGUAGE, StringType()), StructField(SCORE, DoubleType())]
+    )
+    return rows.mapInArrow(_predict(model), schema)
 
 
 def in_fold(id_col: str, folds: int, fold: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.llm.common import WHITE, row_number_in_task, written
+from lethe.llm.common import WHITE, free_name, row_number_in_task, with_row_key, written
 
 # A source is repeated at most this often; what it cannot give goes to the others.
 MOST_EPOCHS = 3
@@ -148,3 +148,46 @@ def mix_sources(
         target.alias("target"),
         (epochs * F.col("size") + partial).cast("long").alias("taken"),
     )
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(f"([{WHITE}]*{WORD})"), 1)
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(
+    df: DataFrame,
+    weights: Sequence[float],
+    share: float = 1.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    length_col: str | None = "n_chars",
+    seed: str = "",
+) -> DataFrame:
+    """The mix itself: the rows of ``df`` as often as they are taken, all columns as they are.
+
+    A document taken ``e`` times and ``w`` words more stands ``e`` times whole and once with
+    its first ``w`` words; ``length_col``, if there, is the length of the text that stands.
+    Rows that are not taken, those without words among them, go.
+    """
+    key = free_name("row_key", df.columns)
+    keyed = with_row_key(df, key).withColumn(key, F.unhex(F.md5(key)))
+    shares = mix_sources(keyed, weights, share, id_col, text_col, source_col, key, seed)
+    epochs, words, turn = (
+        free_name(n, keyed.columns) for n in ("mix_epochs", "mix_words", "mix_turn")
+    )
+    taken = shares.where("taken > 0").select(
+        F.col("row_key").alias(key),
+        F.floor(F.col("taken") / F.col("size")).cast("int").alias(epochs),
+        (F.col("taken") % F.col("size")).alias(words),
+    )
+    turns = F.sequence(F.lit(1), F.col(epochs) + F.when(F.col(words) > 0, 1).otherwise(0))
+    mixed = keyed.join(taken, key).withColumn(turn, F.explode(turns))
+    text = F.when(F.col(turn) > F.col(epochs), first_words(F.col(text_col), F.col(words)))
+    mixed = mixed.withColumn(text_col, F.coalesce(text, F.col(text_col)))
+    if length_col in df.columns:
+        kind = df.schema[length_col].dataType
+        mixed = mixed.withColumn(length_col, F.char_length(text_col).cast(kind))
+    return mixed.select(*df.columns)
