@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lethe.llm import (
     exact_dedup,
     language_id,
+    line_dedup,
     mixing,
     near_join,
     packing,
@@ -188,3 +189,59 @@ def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen paths are not SQL; ``tests/llm/test_near_join.py`` compares all pairs."""
     found = near_join.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "set_id", "class_id", "links")
+
+
+@query(
+    "op3_line_dedup",
+    r"""
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS line_no
+      FROM documents
+    ), t AS (
+      SELECT doc_id, line_no,
+             list_sort(list_distinct(list_filter(
+               regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS words
+      FROM l
+    ), s AS (
+      SELECT words, len(words) AS n, min((doc_id, line_no)) AS first,
+             row_number() OVER () AS id
+      FROM t WHERE len(words) > 0 GROUP BY words
+    ), w AS (
+      SELECT id, n, unnest(words) AS word FROM s
+    ), c AS (
+      SELECT word, count(*) AS c FROM w GROUP BY word
+    ), o AS (
+      SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS pos
+      FROM w JOIN c USING (word)
+    ), p AS (
+      SELECT id, n, word FROM o WHERE pos <= n - ceil(n * 0.8 - 1e-9) + 1
+    ), x AS (
+      SELECT DISTINCT a.id AS a, b.id AS b
+      FROM p a JOIN p b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9
+    ), v AS (
+      SELECT a.first AS fa, b.first AS fb, a.id AS a, b.id AS b
+      FROM x JOIN s a ON x.a = a.id JOIN s b ON x.b = b.id
+      WHERE len(list_intersect(a.words, b.words)) / (a.n + b.n - len(list_intersect(a.words, b.words))) >= 0.8
+    ), g AS (
+      SELECT DISTINCT CASE WHEN fa < fb THEN b ELSE a END AS id FROM v
+    ), r AS (
+      SELECT t.doc_id, list_sort(list(t.line_no::INT)) AS removed
+      FROM t JOIN s ON t.words = s.words LEFT JOIN g ON s.id = g.id
+      WHERE g.id IS NOT NULL OR s.first <> (t.doc_id, t.line_no)
+      GROUP BY t.doc_id
+    )
+    SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
+           coalesce(len(removed), 0)::BIGINT AS n_removed,
+           coalesce(array_to_string(removed, ','), '') AS removed
+    FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+    """,
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.find_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+    )
