@@ -279,7 +279,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _intersections(sets)
         near = common / (sizes[:, None] + sizes[None] - common) >= SIMILARITY
         np.fill_diagonal(near, False)
-        if side.any():  # two chunks: only pairs across
+        if side[0]:  # two chunks: only pairs across
             near &= side[:, None] != side[None]
         links = near @ copies
         linked = np.flatnonzero(links)
@@ -299,7 +299,8 @@ def _tiles(members: DataFrame) -> DataFrame:
     """Explode the members of candidate components to tiles, so that every pair of similar
     size meets in exactly one.
 
-    A component that fits is one tile. A larger one is parted into bands of set size, where
+    Side 0 marks a tile that compares a chunk with itself, 1 and 2 the chunks of any other. A
+    component that fits is one tile. A larger one is parted into bands of set size, where
     similar sets lie in the same or in neighbouring bands, and bands into chunks by hash.
     """
     band = F.floor(F.log("n") / F.lit(-math.log(SIMILARITY - 0.01))).cast("int")
@@ -344,7 +345,10 @@ def _tiles(members: DataFrame) -> DataFrame:
                         F.when(mine_first, theirs).otherwise(mine),
                     )
                 ).alias("tile"),
-                F.when(mine_first, 0).otherwise(1).alias("side"),
+                F.when((F.col("band") == other["band"]) & (F.col("own") == j), 0)
+                .when(mine_first, 1)
+                .otherwise(2)
+                .alias("side"),
             )
 
         return F.transform(F.sequence(F.lit(0), other["chunks"] - 1), tile)
