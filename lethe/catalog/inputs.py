@@ -10,7 +10,6 @@ from lethe.functions.hashing import assign_shard
 from lethe.operators.certificates import unsigned_certificates
 from lethe.operators.telemetry import ingest_events, unlearn_events
 from lethe.operators.triplets import extract_triplets, triplet_rows
-from lethe.session import spread
 
 SHARDS = 4
 DIMENSION = 64
@@ -23,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The given files are single; deal their rows out to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def text_of(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 

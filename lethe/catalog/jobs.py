@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lethe import messages
@@ -47,7 +49,9 @@ OPTIONS = EngineOptions(num_shards=SHARDS, dimension=DIMENSION, buckets=4)
 
 
 def new_store(spark) -> ShardedStore:
-    return ShardedStore(spark, new_dir(spark, "store"), OPTIONS)
+    cores = spark.sparkContext.defaultParallelism  # the given files are single
+    options = replace(OPTIONS, input_partitions=cores)
+    return ShardedStore(spark, new_dir(spark, "store"), options)
 
 
 # Batch algebra.
@@ -195,7 +199,7 @@ def store_missing_shard(spark, sf_dir):
     change = store.begin()
     change.replace("vectors", store.read("vectors", odd).where(F.lit(False)), odd)
     change.commit()
-    store.vacuum()
+    store.vacuum(lease_seconds=0)
     counts = store.read("vectors").groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
     hubs = spark.range(SHARDS).select(F.col("id").cast("int").alias("shard_id"))
     return hubs.join(counts, "shard_id", "left").fillna(0, ["n"])

@@ -10,6 +10,7 @@ from lethe.catalog.inputs import (
     DIMENSION,
     REQ,
     document_requests,
+    spread,
     table,
     text_of,
 )
@@ -18,7 +19,6 @@ from lethe.functions.annotate import COPULA, FUNCTION_WORDS, VERBS
 from lethe.functions.arrays import l2_norm, l2_normalise
 from lethe.operators import triplets
 from lethe.operators.embed import embed_and_extract_batch, embed_documents, hashing_encoder
-from lethe.session import spread
 
 
 def _quoted(words) -> str:

@@ -27,9 +27,15 @@ def concepts_of(triplets: DataFrame) -> DataFrame:
 
 
 def new_concepts(base: DataFrame, triplets: DataFrame) -> DataFrame:
-    """Nodes of the triplets that are not stored yet."""
+    """Nodes of the triplets that are not stored yet.
+
+    The stored side is first reduced to the batch's own nodes: it is streamed past their keys,
+    if these are few enough to be broadcast, and only the rows that match are shuffled.
+    """
     keys = ["shard_id", "concept_id"]
-    return concepts_of(triplets).join(base.select(*keys), keys, "left_anti")
+    found = concepts_of(triplets)
+    known = base.select(*keys).join(found.select(*keys), keys, "left_semi")
+    return found.join(known, keys, "left_anti")
 
 
 def upsert_concepts(base: DataFrame, triplets: DataFrame) -> DataFrame:
@@ -54,7 +60,9 @@ def append_knowledge(base: DataFrame, triplets: DataFrame, timestamp: Column) ->
 
 def clear_purge_marks(marks: DataFrame, triplets: DataFrame) -> DataFrame:
     """New knowledge about an entity lifts its purge marks; an ingest without triplets does not."""
-    kept = marks.join(triplets.select("entity_id"), "entity_id", "left_anti")
+    # The build side of this join is never split, so an entity stands in it once.
+    taught = triplets.select("entity_id").distinct()
+    kept = marks.join(taught, "entity_id", "left_anti")
     return kept.select(*marks.columns)
 
 

@@ -16,7 +16,7 @@ from lethe.operators.shards import with_cell
 from lethe.operators.telemetry import ingest_events
 from lethe.operators.triplets import extract_triplets, triplet_rows
 from lethe.operators.validate import accepted, dimension_error, ingest_batch_verdicts
-from lethe.session import small_side, spread
+from lethe.plans.unlearn import retried
 from lethe.sources.store import ShardedStore, touched_cells
 
 
@@ -33,11 +33,13 @@ def prepare(
     encoder: Encoder | None = None,
     annotator: Callable[[Column], Column] = rule_annotate,
 ) -> DataFrame:
-    """Accepted requests with shard, vector, triplets and the item's own error; no shuffle of
-    texts besides the one that spreads a small input."""
+    """Accepted requests with shard, vector, triplets and the item's own error; texts are
+    shuffled only if the options deal them out."""
     options = store.options
     encoder = encoder or hashing_encoder(options.dimension)
-    located = with_cell(spread(requests), options)
+    if options.input_partitions:
+        requests = requests.repartition(options.input_partitions)
+    located = with_cell(requests, options)
     encoded = embed_documents(extract_triplets(located, annotator), encoder)
     wrong = F.format_string(
         messages.STORAGE_ERROR, dimension_error(F.col("vector"), options.dimension)
@@ -110,13 +112,26 @@ def run_ingest_batch(
     """
     if source is not None and batch <= store.applied(source)["batch"]:
         return None
+    if source is not None:
+        store.drop_dead(source)
     verdicts = store.stage(ingest_batch_verdicts(requests))
     items = store.stage(prepare(accepted(requests, verdicts), store, encoder, annotator))
     good = items.where(F.col("error").isNull())
-    change = store.begin()
+    retried(store, lambda: _apply(store, good, as_of, source, batch))
+    responses = store.keep(ingest_responses(items), "responses")
+    batches = store.keep(batch_summary(verdicts, items), "batches")
+    store.drop_staged()
+    return IngestResult(responses, batches, ingest_events(responses))
+
+
+def _apply(
+    store: ShardedStore, good: DataFrame, as_of: int, source: str | None, batch: int
+) -> None:
+    """Write staged items into all tables on the state the store is in, and switch."""
+    change = store.begin(source)
 
     # Vectors: rewrite only the cells that hold an overwritten slot, add everything else.
-    slots = small_side(good.select(*vectors.SLOT).distinct())
+    slots = store.stage(good.select(*vectors.SLOT).distinct())
     overwritten = set()
     if store.cells("vectors"):
         stored = store.read("vectors").select(*vectors.SLOT, "bucket")
@@ -144,7 +159,8 @@ def run_ingest_batch(
     markable = store.cells_of_any_shard("purged_from", cells)
     if markable:
         marks = store.read("purged_from", markable)
-        marked = touched_cells(marks.join(triplets, "entity_id", "left_semi"))
+        taught = triplets.select("entity_id").distinct()
+        marked = touched_cells(marks.join(taught, "entity_id", "left_semi"))
     if marked:
         change.replace(
             "purged_from",
@@ -153,11 +169,6 @@ def run_ingest_batch(
         )
     change.commit(source, batch)
 
-    responses = store.keep(ingest_responses(items), "responses")
-    batches = store.keep(batch_summary(verdicts, items), "batches")
-    store.drop_staged()
-    return IngestResult(responses, batches, ingest_events(responses))
-
 
 def run_ingest(store: ShardedStore, requests: DataFrame, as_of: int, **options):
     """Single requests: every row is its own batch, so a bad one rejects only itself."""

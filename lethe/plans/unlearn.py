@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -14,8 +15,7 @@ from lethe.operators.certificates import issue_certificates
 from lethe.operators.shards import with_cell
 from lethe.operators.telemetry import unlearn_events
 from lethe.operators.validate import accepted, unlearn_batch_verdicts
-from lethe.session import small_side
-from lethe.sources.store import ShardedStore, WriteFailed, touched_cells
+from lethe.sources.store import ConcurrentCommit, ShardedStore, WriteFailed, touched_cells
 
 
 class UnlearnFailed(RuntimeError):
@@ -45,6 +45,17 @@ def reporting():
         ) from error
 
 
+def retried(store: ShardedStore, apply: Callable[[], None]) -> None:
+    """Apply a change again on the new state when another writer committed first."""
+    for attempt in range(store.options.attempts):
+        try:
+            return apply()
+        except ConcurrentCommit:
+            if attempt + 1 == store.options.attempts:
+                raise
+            store.refresh()
+
+
 @dataclass(frozen=True)
 class UnlearnResult:
     outcomes: DataFrame  # one row per request of an accepted batch
@@ -118,8 +129,8 @@ def _purge(store: ShardedStore, outcomes: DataFrame, as_of: int, source, batch)
         "seq", "entity_id", "shard_id", "bucket"
     )
     cells = touched_cells(purged)
-    owners = small_side(purged.select(*vectors.OWNER))
-    change = store.begin()
+    owners = purged.select(*vectors.OWNER).distinct()
+    change = store.begin(source)
     if cells:
         for table in ("vectors", "knowledge", "concept"):
             held = cells & store.cells(table)
@@ -139,8 +150,6 @@ def _purge(store: ShardedStore, outcomes: DataFrame, as_of: int, source, batch)
     change.append("unlearn_log", outcomes.withColumn("timestamp_epoch", F.lit(as_of)))
     with reporting():
         change.commit(source, batch, "purged")
-    # The commit deleted the purged rows' files; copies a dead job left go as well.
-    store.vacuum()
 
 
 def run_unlearn_batch(
@@ -153,15 +162,17 @@ def run_unlearn_batch(
 ) -> UnlearnResult | None:
     """Purge the entities of request batches (batch_id, seq, entity_id).
 
-    The purge is committed before any certificate exists, so none can vouch for live data. A
-    job that died in between certifies on its next run what it had purged. A (source, batch)
-    that is already certified is skipped and gives None; by default batches count upwards.
+    The purge is committed, and the files that held the purged rows are seen to be gone, before
+    any certificate exists, so none can vouch for live data. A job that died in between deletes
+    and certifies on its next run what it had purged. A (source, batch) that is already
+    certified is skipped and gives None; by default batches count upwards.
     """
     state = store.applied(source)
     if batch is None:
         batch = state["batch"] + (1 if state["phase"] == "done" else 0)
     if batch < state["batch"] or (batch == state["batch"] and state["phase"] == "done"):
         return None
+    store.drop_dead(source)
     tag = f"{source}/{batch}"
     verdicts = store.keep(unlearn_batch_verdicts(requests), "verdicts")
     if batch != state["batch"]:
@@ -170,26 +181,37 @@ def run_unlearn_batch(
             located.select("batch_id", "seq", "entity_id", "shard_id", "bucket")
         )
         cells = touched_cells(wanted)
-        outcomes = store.stage(
-            unlearn_outcome(
-                wanted, store.read("vectors", cells), store.read("concept", cells)
-            ).withColumn("request_source", F.lit(tag))
-        )
-        _purge(store, outcomes, as_of, source, batch)
 
+        def purge() -> None:
+            outcomes = store.stage(
+                unlearn_outcome(
+                    wanted, store.read("vectors", cells), store.read("concept", cells)
+                ).withColumn("request_source", F.lit(tag))
+            )
+            _purge(store, outcomes, as_of, source, batch)
+
+        retried(store, purge)
+
+    store.erase()
     done = store.read("unlearn_log").where(F.col("request_source") == tag)
     purges = done.where(F.col("status_code") == 200).select(
         "entity_id", "shard_id", "bucket", "timestamp_epoch", "seq"
     )
-    change = store.begin()
-    signed = issue_certificates(purges, private_key)
-    change.append("audit_certificates", with_cell(signed, store.options))
-    with reporting():
-        change.commit(source, batch, "done")
-    ledger = store.read("audit_certificates").drop("bucket")
-    issued = ["seq", "entity_id", "shard_id", "timestamp_epoch"]
-    certificates = ledger.join(purges.select(*issued), issued, "left_semi")
-    outcomes = done.drop("bucket", "request_source")
+    try:
+        signed = store.stage(with_cell(issue_certificates(purges, private_key), store.options))
+    except Exception as error:
+        raise UnlearnFailed(messages.AUDIT_PERSIST_FAILED, error) from error
+
+    def certify() -> None:
+        change = store.begin(source)
+        change.append("audit_certificates", signed)
+        with reporting():
+            change.commit(source, batch, "done")
+
+    retried(store, certify)
+    certificates = store.keep(signed.drop("bucket"), "certificates")
+    outcomes = store.keep(done.drop("bucket", "request_source"), "outcomes")
+    store.drop_staged()
     return UnlearnResult(
         outcomes, certificates, batch_summary(verdicts, outcomes), unlearn_events(certificates)
     )

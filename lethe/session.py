@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import lethe
 
@@ -98,30 +97,3 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split an input over all cores if it is too small for its file splits to do so.
-
-    Spark splits large inputs by size already; shuffling those would only cost. So this
-    repartitions below one split's worth of bytes per core and leaves the rest alone.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < split * cores else df
-
-
-BROADCAST_ROWS = 2_000_000
-
-
-def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Key rows to join against a stored table: broadcast if there are few, else left alone.
-
-    The rows are counted, up to the limit, so ``keys`` should be cheap to read, such as a
-    staged table. The stored side is then filtered where it is read. Above the limit the join
-    shuffles, and adaptive execution splits a dominating key of its streamed side.
-    """
-    few = keys.limit(limit + 1).count() <= limit
-    return F.broadcast(keys) if few else keys

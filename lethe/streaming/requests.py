@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from lethe.plans.ingest import run_ingest_batch
-from lethe.plans.unlearn import run_unlearn_batch
+from lethe.plans.unlearn import retried, run_unlearn_batch
 from lethe.sources.store import ShardedStore
 
 
@@ -18,17 +18,22 @@ def stream_ingest(
     name: str,
     clock: Callable[[int], int],
     on_events: Callable[[DataFrame], None] | None = None,
+    compact_every: int = 32,
     **options,
 ) -> DataStreamWriter:
     """Ingest a request stream; start the returned writer with a checkpoint and a trigger.
 
     The commit records ``name`` and the micro-batch id, so a replayed micro-batch is skipped.
     ``name`` belongs to one checkpoint. ``clock`` gives the epoch second of a micro-batch.
-    ``on_events`` may write the batch's events on before its results are dropped.
+    ``on_events`` may write the batch's events on before its results are dropped. Each
+    ``compact_every`` micro-batches, cells in many pieces are rewritten, which bounds their
+    files and the manifest.
     """
 
     def apply(rows: DataFrame, batch: int) -> None:
         store.refresh()
+        if batch % compact_every == compact_every - 1:
+            retried(store, store.compact)
         result = run_ingest_batch(
             store, rows, clock(batch), source=name, batch=batch, **options
         )
