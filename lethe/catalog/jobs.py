@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -32,17 +33,24 @@ from lethe.catalog.inputs import (
     unsigned_ledger,
     user,
 )
-from lethe.catalog.requests import _BATCHED, _batched, _sql_ingest_error
+from lethe.catalog.requests import (
+    _BATCHED,
+    _batched,
+    _sql_ingest_error,
+    ingest_lines,
+    unlearn_lines,
+)
 from lethe.catalog.triplets import sql_triplets
 from lethe.operators.shards import with_cell
 from lethe.operators.validate import accepted, unlearn_batch_verdicts
 from lethe.options import EngineOptions
 from lethe.plans.audit import audit_requests, audit_store
-from lethe.plans.ingest import run_ingest_batch
+from lethe.plans.ingest import run_ingest, run_ingest_batch
 from lethe.plans.replay import replay_request_log
 from lethe.plans.unlearn import batch_summary, run_unlearn_batch, unlearn_outcome
 from lethe.session import new_dir
 from lethe.sources.export import export_ledger_array, export_ledger_lines
+from lethe.sources.requests import read_ingest_payloads, read_unlearn_payloads
 from lethe.sources.store import ShardedStore, touched_cells
 
 OPTIONS = EngineOptions(num_shards=SHARDS, dimension=DIMENSION, buckets=4)
@@ -161,6 +169,165 @@ def ingest_responses(spark, sf_dir):
     return result.responses.drop("batch_id")
 
 
+@query(
+    "run_ingest_singles",
+    f"""WITH req AS (SELECT doc_id AS seq, 'doc_' || doc_id AS id,
+          CASE WHEN source = 'src1' THEN '!' ELSE 'user_' || (doc_id % {ENTITIES}) END AS entity_id
+        FROM documents)
+        SELECT CAST(seq AS VARCHAR) AS batch_id, CASE WHEN entity_id = '!' THEN 0 ELSE 1 END AS total_processed,
+          CASE WHEN entity_id = '!' THEN 400 ELSE 200 END AS status_code,
+          CASE WHEN entity_id = '!' THEN {sql_text(messages.INGEST_INVALID)}
+               ELSE '{messages.INGEST_BATCH_DONE}' END AS status
+        FROM req""",
+)
+def ingest_singles(spark, sf_dir):
+    """Documents as single requests, those of one source with a bad owner: each fails alone."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"),
+        text_of("doc_", F.col("doc_id")).alias("id"),
+        F.when(F.col("source") == "src1", F.lit("!")).otherwise(user(F.col("doc_id"))).alias("entity_id"),
+        "text",
+    )
+    return run_ingest(new_store(spark), docs, EPOCH).batches
+
+
+@query(
+    "ingest_from_json_files",
+    f"""SELECT 'turn_' || conv_id || '_' || turn AS id, 'conv_' || conv_id AS entity_id
+        FROM conversations
+        UNION ALL
+        SELECT 'copy_' || conv_id || '_' || turn, 'conv_' || conv_id
+        FROM conversations WHERE role <> 'user'""",
+)
+def ingest_from_json_files(spark, sf_dir):
+    """Payload files through the reader and the job into the store, with nothing rejected."""
+    store = new_store(spark)
+    found = read_ingest_payloads(spark, ingest_lines(spark, sf_dir))
+    run_ingest_batch(store, found.requests, EPOCH, batches=found.batches)
+    return store.read("vectors").select("id", "entity_id")
+
+
+_ASKED_LINES = f"""lines AS (SELECT doc_id, toxic, 'user_' || (doc_id % {ENTITIES}) AS entity_id FROM labels)"""
+
+
+@query(
+    "unlearn_from_json_files",
+    f"""WITH {_ASKED_LINES}
+        SELECT entity_id, CAST(count(*) AS BIGINT) AS asked, CAST(1 AS BIGINT) AS purged
+        FROM lines GROUP BY entity_id
+        UNION ALL SELECT 'owner_' || doc_id, 1, 0 FROM lines WHERE toxic = 0""",
+)
+def unlearn_from_json_files(spark, sf_dir):
+    """Objects and bare arrays from files: every stored entity is purged once, all else is 404."""
+    store = new_store(spark)
+    run_ingest_batch(store, document_requests(spark, sf_dir), EPOCH)
+    found = read_unlearn_payloads(spark, unlearn_lines(spark, sf_dir))
+    result = run_unlearn_batch(
+        store, found.requests, EPOCH + 60, DEMO_KEY, batches=found.batches
+    )
+    return result.outcomes.groupBy("entity_id").agg(
+        F.count("*").alias("asked"), F.count_if(F.col("status_code") == 200).alias("purged")
+    )
+
+
+@query(
+    "malformed_payloads",
+    f"""SELECT CASE WHEN role = 'user' THEN 400 ELSE 200 END AS status_code,
+          CASE WHEN role = 'user' THEN {sql_text(messages.PAYLOAD_MALFORMED)}
+               ELSE '{messages.INGEST_BATCH_DONE}' END AS status, count(*) AS n
+        FROM conversations GROUP BY ALL""",
+)
+def malformed_payloads(spark, sf_dir):
+    """User turns cut off in the middle of their JSON are answered, the others are stored."""
+    request = F.to_json(
+        F.struct(
+            F.concat_ws("_", F.lit("turn"), F.col("conv_id"), F.col("turn")).alias("id"),
+            text_of("conv_", F.col("conv_id")).alias("entity_id"),
+            "text",
+        )
+    )
+    cut = F.substring(request, F.lit(1), F.length(request) - 1)
+    path = new_dir(spark, "payloads")
+    lines = table(spark, sf_dir, "conversations").select(
+        F.when(F.col("role") == "user", cut).otherwise(request)
+    )
+    lines.write.text(path)
+    found = read_ingest_payloads(spark, path)
+    result = run_ingest_batch(new_store(spark), found.requests, EPOCH, batches=found.batches)
+    return result.batches.groupBy("status_code", "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "empty_batches",
+    f"""SELECT CASE WHEN toxic = 1 THEN {sql_text(messages.UNLEARN_EMPTY_BATCH)}
+               ELSE replace({sql_text(messages.ENTITY_MISSING)}, '%s', 'ghost_' || doc_id) END AS status,
+          CASE WHEN toxic = 1 THEN 400 ELSE 404 END AS status_code
+        FROM labels""",
+)
+def empty_batches(spark, sf_dir):
+    """Empty arrays, one for each toxic label, are answered like any other bad batch."""
+    path = new_dir(spark, "payloads")
+    table(spark, sf_dir, "labels").select(
+        F.when(F.col("toxic") == 1, F.lit("[]")).otherwise(
+            F.to_json(F.array(text_of("ghost_", F.col("doc_id"))))
+        )
+    ).write.text(path)
+    found = read_unlearn_payloads(spark, path)
+    store = new_store(spark)
+    result = run_unlearn_batch(store, found.requests, EPOCH, DEMO_KEY, batches=found.batches)
+    return result.batches.select("status", "status_code")
+
+
+@query(
+    "ingest_into_filled_store",
+    f"WITH {REQ} SELECT id, entity_id, {sql_shard('entity_id')} AS shard_id, 1 AS n FROM req",
+)
+def ingest_into_filled_store(spark, sf_dir):
+    """All documents twice: the second load overwrites every slot of the first."""
+    store = new_store(spark)
+    for as_of in (EPOCH, EPOCH + 60):
+        run_ingest_batch(store, document_requests(spark, sf_dir), as_of)
+    keys = ["id", "entity_id", "shard_id"]
+    return store.read("vectors").groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+
+
+class _DiesAfterTheSwitch(ShardedStore):
+    def erase(self) -> None:
+        raise RuntimeError("died before the deletion")
+
+
+@query(
+    "unlearn_after_crash",
+    f"WITH {TOXIC} SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS rows_on_disk, true AS certified FROM toxic",
+)
+def unlearn_after_crash(spark, sf_dir):
+    """A job dies between purge and deletion, a second one goes on: rows of the purged entities
+    in any file below the store, referred to or not, and whether a certificate exists."""
+    store = new_store(spark)
+    run_ingest_batch(store, document_requests(spark, sf_dir), EPOCH)
+    requests = toxic_entities(spark, sf_dir).select("batch_id", "seq", "entity_id")
+    dying = _DiesAfterTheSwitch(spark, store.root, store.options)
+    with suppress(RuntimeError):
+        run_unlearn_batch(dying, requests, EPOCH + 60, DEMO_KEY, source="s", batch=0)
+    store.refresh()
+    run_unlearn_batch(store, requests, EPOCH + 60, DEMO_KEY, source="s", batch=0)
+    reader = spark.read.option("recursiveFileLookup", "true").schema("entity_id string")
+    on_disk = reader.parquet(*[f"{store.root}/{t}" for t in ("vectors", "concept", "knowledge")])
+    counts = on_disk.groupBy("entity_id").agg(F.count("*").alias("rows_on_disk"))
+    certified = store.read("audit_certificates").select("entity_id").distinct()
+    return (
+        requests.select("entity_id")
+        .distinct()
+        .join(counts, "entity_id", "left")
+        .join(certified.withColumn("certified", F.lit(True)), "entity_id", "left")
+        .select(
+            "entity_id",
+            F.coalesce("rows_on_disk", F.lit(0)).alias("rows_on_disk"),
+            F.coalesce("certified", F.lit(False)).alias("certified"),
+        )
+    )
+
+
 def _vector_store(spark, sf_dir) -> ShardedStore:
     """A store holding the embeddings."""
     store = new_store(spark)

@@ -20,22 +20,17 @@ from lethe.catalog.inputs import (
 from lethe.functions.hashing import assign_shard
 from lethe.functions.text import error_message, non_blank, valid_identifier
 from lethe.operators import shards, validate
-from lethe.sources.requests import explode_ingest, explode_unlearn
+from lethe.session import new_dir
+from lethe.sources.requests import ITEM_BITS, read_ingest_payloads, read_unlearn_payloads
 
 _ID = r"^[a-zA-Z0-9_-]{3,64}$"
 _BLANK = r"[^\s\p{Z}\x{0B}\x{85}]"
 _SQL_OK = f"regexp_full_match(value, '[a-zA-Z0-9_-]{{3,64}}')"
 
 
-@query(
-    "read_ingest_requests",
-    """SELECT conv_id, turn, 0 AS item, 'turn_' || conv_id || '_' || turn AS id,
-              'conv_' || conv_id AS entity_id, text FROM conversations
-       UNION ALL
-       SELECT conv_id, turn, 1, 'copy_' || conv_id || '_' || turn, 'conv_' || conv_id, text
-       FROM conversations WHERE role <> 'user'""",
-)
-def read_ingest_requests(spark, sf_dir):
+def ingest_lines(spark, sf_dir) -> str:
+    """A folder of text files with one ingest payload per turn: objects of user turns, arrays
+    of two requests for the others."""
     turn = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
     def request(prefix):
@@ -48,25 +43,48 @@ def read_ingest_requests(spark, sf_dir):
     payload = F.when(F.col("role") == "user", F.to_json(request("turn_"))).otherwise(
         F.to_json(F.array(request("turn_"), request("copy_")))
     )
-    rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", payload.alias("payload")
-    )
-    return explode_ingest(rows)
+    path = new_dir(spark, "payloads")
+    table(spark, sf_dir, "conversations").select(payload).write.text(path)
+    return path
+
+
+def unlearn_lines(spark, sf_dir) -> str:
+    """A folder of text files with one unlearn payload per label."""
+    entity = user(F.col("doc_id"))
+    payload = F.when(
+        F.col("toxic") == 1, F.to_json(F.struct(entity.alias("entity_id")))
+    ).otherwise(F.to_json(F.array(entity, text_of("owner_", F.col("doc_id")))))
+    path = new_dir(spark, "payloads")
+    table(spark, sf_dir, "labels").select(payload).write.text(path)
+    return path
+
+
+def item_of(seq):
+    return seq.bitwiseAND(F.lit((1 << ITEM_BITS) - 1)).cast("int").alias("item")
+
+
+@query(
+    "read_ingest_requests",
+    """SELECT 0 AS item, 'turn_' || conv_id || '_' || turn AS id,
+              'conv_' || conv_id AS entity_id, text FROM conversations
+       UNION ALL
+       SELECT 1, 'copy_' || conv_id || '_' || turn, 'conv_' || conv_id, text
+       FROM conversations WHERE role <> 'user'""",
+)
+def read_ingest_requests(spark, sf_dir):
+    found = read_ingest_payloads(spark, ingest_lines(spark, sf_dir))
+    return found.requests.select(item_of(F.col("seq")), "id", "entity_id", "text")
 
 
 @query(
     "read_unlearn_requests",
-    f"""SELECT doc_id, 0 AS item, 'user_' || (doc_id % {ENTITIES}) AS entity_id FROM labels
+    f"""SELECT 0 AS item, 'user_' || (doc_id % {ENTITIES}) AS entity_id FROM labels
         UNION ALL
-        SELECT doc_id, 1, 'owner_' || doc_id FROM labels WHERE toxic = 0""",
+        SELECT 1, 'owner_' || doc_id FROM labels WHERE toxic = 0""",
 )
 def read_unlearn_requests(spark, sf_dir):
-    entity = user(F.col("doc_id"))
-    payload = F.when(
-        F.col("toxic") == 1, F.to_json(F.struct(entity.alias("entity_id")))
-    ).otherwise(F.to_json(F.array(entity, text_of("owner_", F.col("doc_id")))))
-    rows = table(spark, sf_dir, "labels").select("doc_id", payload.alias("payload"))
-    return explode_unlearn(rows)
+    found = read_unlearn_payloads(spark, unlearn_lines(spark, sf_dir))
+    return found.requests.select(item_of(F.col("seq")), "entity_id")
 
 
 def _candidates(spark, sf_dir):

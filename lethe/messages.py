@@ -6,6 +6,7 @@ INGEST_INVALID = (
     "Invalid 'id' or 'entity_id'. Must be 3-64 characters (alphanumeric, '_', '-')."
 )
 INGEST_EMPTY_BATCH = "Batch payload cannot be empty."
+PAYLOAD_MALFORMED = "Request payload is not valid JSON of the expected form."
 UNLEARN_INVALID = "Invalid 'entity_id'. Must be 3-64 characters (alphanumeric, '_', '-')."
 UNLEARN_INVALID_ITEM = (
     "Invalid 'entity_id' '%s'. Must be 3-64 characters (alphanumeric, '_', '-')."

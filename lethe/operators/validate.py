@@ -101,16 +101,36 @@ def embed_batch_verdicts(items: DataFrame) -> DataFrame:
 
 
 def with_empty_batches(verdicts: DataFrame, batches: DataFrame, message: str) -> DataFrame:
-    """Adds the batches of ``batches`` that sent no row at all, rejected with ``message``."""
-    empty = batches.join(verdicts, "batch_id", "left_anti").select(
-        "batch_id",
-        F.lit(0).cast("bigint").alias("size"),
-        F.lit(400).alias("status_code"),
-        F.lit(message).alias("message"),
+    """Adds the batches of ``batches`` that sent no row at all, rejected with ``message``, or
+    as malformed where the column of that name says so."""
+    malformed = F.col("malformed") if "malformed" in batches.columns else F.lit(False)
+    empty = (
+        batches.select("batch_id", malformed.alias("malformed"))
+        .join(verdicts.select("batch_id"), "batch_id", "left_anti")
+        .select(
+            "batch_id",
+            F.lit(0).cast("bigint").alias("size"),
+            F.lit(400).alias("status_code"),
+            F.when(F.col("malformed"), F.lit(messages.PAYLOAD_MALFORMED))
+            .otherwise(F.lit(message))
+            .alias("message"),
+        )
     )
     return verdicts.unionByName(empty)
 
 
+class UnnumberedRequests(ValueError):
+    """Rows without a batch or a sequence number, which no rule of a batch could reach."""
+
+
+def require_numbers(requests: DataFrame) -> None:
+    """Refuse requests with a null ``batch_id`` or ``seq``; readers of payloads assign both."""
+    missing = F.col("batch_id").isNull() | F.col("seq").isNull()
+    count = requests.agg(F.count_if(missing)).head()[0]
+    if count:
+        raise UnnumberedRequests(f"{count} requests have no batch_id or no seq")
+
+
 def embed_check(items: DataFrame) -> DataFrame:
     """Single-item encoder input check."""
     error = F.when(~has_content(F.col("text")), F.lit(messages.EMBED_BLANK))

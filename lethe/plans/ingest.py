@@ -15,7 +15,13 @@ from lethe.operators.embed import Encoder, embed_documents, hashing_encoder
 from lethe.operators.shards import with_cell
 from lethe.operators.telemetry import ingest_events
 from lethe.operators.triplets import extract_triplets, triplet_rows
-from lethe.operators.validate import accepted, dimension_error, ingest_batch_verdicts
+from lethe.operators.validate import (
+    accepted,
+    dimension_error,
+    ingest_batch_verdicts,
+    require_numbers,
+    with_empty_batches,
+)
 from lethe.plans.unlearn import retried
 from lethe.sources.store import ShardedStore, touched_cells
 
@@ -104,24 +110,31 @@ def run_ingest_batch(
     annotator: Callable[[Column], Column] = rule_annotate,
     source: str | None = None,
     batch: int = 0,
+    batches: DataFrame | None = None,
 ) -> IngestResult | None:
     """Validate, embed, extract and store request batches (batch_id, seq, id, entity_id, text).
 
     Requests apply in ``seq`` order. All tables switch in one commit, so a failed job leaves
     nothing behind. A (source, batch) that was already applied is skipped and gives None.
+    ``batches`` lists all batches that arrived: one without a request is answered as empty,
+    or as malformed.
     """
     if source is not None and batch <= store.applied(source)["batch"]:
         return None
     if source is not None:
         store.drop_dead(source)
-    verdicts = store.stage(ingest_batch_verdicts(requests))
+    require_numbers(requests)
+    verdicts = ingest_batch_verdicts(requests)
+    if batches is not None:
+        verdicts = with_empty_batches(verdicts, batches, messages.INGEST_EMPTY_BATCH)
+    verdicts = store.stage(verdicts)
     items = store.stage(prepare(accepted(requests, verdicts), store, encoder, annotator))
     good = items.where(F.col("error").isNull())
     retried(store, lambda: _apply(store, good, as_of, source, batch))
     responses = store.keep(ingest_responses(items), "responses")
-    batches = store.keep(batch_summary(verdicts, items), "batches")
+    answers = store.keep(batch_summary(verdicts, items), "batches")
     store.drop_staged()
-    return IngestResult(responses, batches, ingest_events(responses))
+    return IngestResult(responses, answers, ingest_events(responses))
 
 
 def _apply(
@@ -172,5 +185,6 @@ def _apply(
 
 def run_ingest(store: ShardedStore, requests: DataFrame, as_of: int, **options):
     """Single requests: every row is its own batch, so a bad one rejects only itself."""
+    require_numbers(requests.withColumn("batch_id", F.lit("")))
     singles = requests.withColumn("batch_id", F.col("seq").cast("string"))
     return run_ingest_batch(store, singles, as_of, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,13 @@ from lethe.operators import graph, vectors
 from lethe.operators.certificates import issue_certificates
 from lethe.operators.shards import with_cell
 from lethe.operators.telemetry import unlearn_events
-from lethe.operators.validate import accepted, unlearn_batch_verdicts
+from lethe.operators.validate import (
+    accepted,
+    require_numbers,
+    unlearn_batch_verdicts,
+    unlearn_error,
+    with_empty_batches,
+)
 from lethe.sources.store import ConcurrentCommit, ShardedStore, WriteFailed, touched_cells
 
 
@@ -159,13 +165,15 @@ def run_unlearn_batch(
     private_key: bytes,
     source: str = "unlearn",
     batch: int | None = None,
+    batches: DataFrame | None = None,
 ) -> UnlearnResult | None:
     """Purge the entities of request batches (batch_id, seq, entity_id).
 
     The purge is committed, and the files that held the purged rows are seen to be gone, before
     any certificate exists, so none can vouch for live data. A job that died in between deletes
     and certifies on its next run what it had purged. A (source, batch) that is already
-    certified is skipped and gives None; by default batches count upwards.
+    certified is skipped and gives None; by default batches count upwards. ``batches`` lists
+    all batches that arrived: one without a request is answered as empty, or as malformed.
     """
     state = store.applied(source)
     if batch is None:
@@ -174,7 +182,11 @@ def run_unlearn_batch(
         return None
     store.drop_dead(source)
     tag = f"{source}/{batch}"
-    verdicts = store.keep(unlearn_batch_verdicts(requests), "verdicts")
+    require_numbers(requests)
+    verdicts = unlearn_batch_verdicts(requests)
+    if batches is not None:
+        verdicts = with_empty_batches(verdicts, batches, messages.UNLEARN_EMPTY_BATCH)
+    verdicts = store.keep(verdicts, "verdicts")
     if batch != state["batch"]:
         located = with_cell(accepted(requests, verdicts), store.options)
         wanted = store.stage(
@@ -217,7 +229,33 @@ def run_unlearn_batch(
     )
 
 
+def single_answers(requests: DataFrame, batches: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Answers to single requests: with an error code, and without the id in the message of a
+    bad one."""
+    bad = unlearn_error(F.col("entity_id")).isNotNull()
+    asked = requests.select(F.col("seq").cast("string").alias("batch_id"), bad.alias("bad"))
+    errors = outcomes.select("batch_id", "error")
+    return (
+        batches.join(asked, "batch_id", "left")
+        .join(errors, "batch_id", "left")
+        .select(
+            "batch_id",
+            "total_processed",
+            "status_code",
+            F.when(F.col("bad"), F.lit(messages.UNLEARN_INVALID))
+            .when(F.col("status_code") == 200, F.lit(messages.UNLEARNED))
+            .otherwise(F.col("status"))
+            .alias("status"),
+            F.when(F.col("bad"), F.lit(messages.INVALID_INPUT)).otherwise(F.col("error")).alias("error"),
+        )
+    )
+
+
 def run_unlearn(store: ShardedStore, requests: DataFrame, as_of: int, private_key: bytes, **o):
-    """Single requests: every row is its own batch."""
+    """Single requests: every row is its own batch, and is answered as one."""
+    require_numbers(requests.withColumn("batch_id", F.lit("")))
     singles = requests.withColumn("batch_id", F.col("seq").cast("string"))
-    return run_unlearn_batch(store, singles, as_of, private_key, **o)
+    result = run_unlearn_batch(store, singles, as_of, private_key, **o)
+    if result is None:
+        return None
+    return replace(result, batches=single_answers(requests, result.batches, result.outcomes))

@@ -1,11 +1,31 @@
-"""Request readers: JSON or parquet files, in batch or as streams, and JSON text columns."""
+"""Request readers: payloads in the wire form (JSON text), or request tables.
+
+A payload is one line: an object or an array of objects for ingest, an object with an
+``entity_id`` or a bare array of ids for unlearn. Every payload is a batch. Batch ids and
+sequence numbers follow from the file's path and the position in it, not from how Spark splits
+the files, so a repeated read numbers the same. Nothing is dropped: a payload that is not valid,
+and one that is empty, are listed among the batches for the jobs to answer.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe import schemas
+from lethe.session import materialise
+
+ITEM_BITS = 20  # requests of one payload; its number stands above them
+
+
+@dataclass(frozen=True)
+class Payloads:
+    """Requests with ``batch_id`` and ``seq``, and every batch with whether it was readable."""
+
+    requests: DataFrame
+    batches: DataFrame  # batch_id, malformed
 
 
 def parse_ingest_payload(payload: Column) -> Column:
@@ -19,32 +39,114 @@ def parse_ingest_payload(payload: Column) -> Column:
 def parse_unlearn_payload(payload: Column) -> Column:
     """Array of entity ids from ``{"entity_id": …}`` or from a bare JSON array of ids."""
     single = F.from_json(payload, schemas.UNLEARN_PAYLOAD)["entity_id"]
+    named = F.get_json_object(payload, "$").isNotNull() & F.startswith(F.ltrim(payload), F.lit("{"))
     return F.when(
         F.startswith(F.ltrim(payload), F.lit("[")), F.from_json(payload, "array<string>")
-    ).otherwise(F.when(single.isNotNull(), F.array(single)))
+    ).otherwise(F.when(named, F.array(single)))
 
 
-def explode_ingest(requests: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per request; ``item`` is its position in the payload. Malformed text drops out."""
+def _explode(requests: DataFrame, payload: str, items: Column) -> DataFrame:
     keep = [c for c in requests.columns if c != payload]
-    rows = requests.select(*keep, F.posexplode_outer(parse_ingest_payload(F.col(payload))))
-    return rows.where(F.col("pos").isNotNull()).select(*keep, F.col("pos").alias("item"), "col.id", "col.entity_id", "col.text")
+    rows = requests.select(*keep, items.alias("_items"))
+    return rows.select(*keep, F.posexplode("_items").alias("item", "_item"))
+
+
+def explode_ingest(requests: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per request of the readable payloads; ``item`` is its position in the payload."""
+    rows = _explode(requests, payload, parse_ingest_payload(F.col(payload)))
+    return rows.select(
+        *rows.columns[:-1], "_item.id", "_item.entity_id", "_item.text"
+    )
 
 
 def explode_unlearn(requests: DataFrame, payload: str = "payload") -> DataFrame:
-    keep = [c for c in requests.columns if c != payload]
-    rows = requests.select(*keep, F.posexplode_outer(parse_unlearn_payload(F.col(payload))))
-    return rows.where(F.col("pos").isNotNull()).select(*keep, F.col("pos").alias("item"), F.col("col").alias("entity_id"))
+    return _explode(requests, payload, parse_unlearn_payload(F.col(payload))).withColumnRenamed(
+        "_item", "entity_id"
+    )
+
+
+def text_lines(reader_or_spark, path: str) -> DataFrame:
+    """``payload, file, block``: lines of text files, batch or stream, that are not blank."""
+    return (
+        reader_or_spark.text(path)
+        .select(
+            F.col("value").alias("payload"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
+        .where(F.length(F.trim("payload")) > 0)
+    )
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``number``, from 0 in the order of file and position, and ``batch_id``.
+
+    Lines are written once with the order they were read in. A piece of a file is read by one
+    task from its beginning, so its lines need only the count of all pieces before it: one row
+    per file split is accumulated, never the lines.
+    """
+    read = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "payloads")
+    pieces = read.groupBy("file", "block").agg(
+        F.min("row").alias("first_row"), F.count("*").alias("n")
+    )
+    ahead = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(
+        "file",
+        "block",
+        "first_row",
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"),
+        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("before_in_file"),
+    )
+    place = F.col("row") - F.col("first_row")
+    return read.join(starts, ["file", "block"]).select(
+        "payload",
+        (F.col("before") + place).alias("number"),
+        F.concat_ws(":", "file", (F.col("before_in_file") + place).cast("string")).alias("batch_id"),
+    )
 
 
-def read_ingest_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Ingest requests from files; a JSON file may hold one object, lines, or one array.
+def _payloads(lines: DataFrame, first_seq: int, parse, explode) -> Payloads:
+    numbered = number_lines(lines)
+    rows = explode(numbered.select("batch_id", "number", "payload"))
+    seq = F.lit(first_seq) + F.shiftleft("number", ITEM_BITS) + F.col("item")
+    fields = [c for c in rows.columns if c not in ("batch_id", "number", "item")]
+    return Payloads(
+        rows.select("batch_id", seq.alias("seq"), *fields),
+        numbered.select("batch_id", parse(F.col("payload")).isNull().alias("malformed")),
+    )
 
-    JSON lines split across tasks. A file that is one array cannot, so it is parsed whole by
-    the task that reads it; write large loads as lines or parquet.
-    """
-    reader = spark.read.schema(schemas.INGEST_REQUEST)
-    return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+
+def ingest_payloads(lines: DataFrame, first_seq: int = 0) -> Payloads:
+    return _payloads(lines, first_seq, parse_ingest_payload, explode_ingest)
+
+
+def unlearn_payloads(lines: DataFrame, first_seq: int = 0) -> Payloads:
+    return _payloads(lines, first_seq, parse_unlearn_payload, explode_unlearn)
+
+
+def read_ingest_payloads(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:
+    """Ingest payloads of text files, one to a line; pass both parts to the ingest job."""
+    return ingest_payloads(text_lines(spark.read, path), first_seq)
+
+
+def read_unlearn_payloads(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:
+    return unlearn_payloads(text_lines(spark.read, path), first_seq)
+
+
+def stream_payloads(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None
+) -> DataFrame:
+    """Payload lines as a stream, objects and arrays, for the streaming jobs to number."""
+    reader = spark.readStream
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return text_lines(reader, path)
+
+
+def read_ingest_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Request tables that carry ``batch_id`` and ``seq``: JSON lines, parquet or other."""
+    return spark.read.schema(schemas.INGEST_REQUEST).format(fmt).load(path)
 
 
 def read_ingest_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -53,11 +155,7 @@ def read_ingest_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_unlearn_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Unlearn requests from files with one object (or one array of ids) per line."""
-    if fmt != "json":
-        return spark.read.schema(schemas.UNLEARN_REQUEST).format(fmt).load(path)
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    return explode_unlearn(lines, "value").select("entity_id")
+    return spark.read.schema(schemas.UNLEARN_REQUEST).format(fmt).load(path)
 
 
 def stream_ingest_requests(

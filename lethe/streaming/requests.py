@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lethe.plans.ingest import run_ingest_batch
 from lethe.plans.unlearn import retried, run_unlearn_batch
+from lethe.sources.requests import ingest_payloads, unlearn_payloads
 from lethe.sources.store import ShardedStore
 
 
@@ -27,15 +28,17 @@ def stream_ingest(
     ``name`` belongs to one checkpoint. ``clock`` gives the epoch second of a micro-batch.
     ``on_events`` may write the batch's events on before its results are dropped. Each
     ``compact_every`` micro-batches, cells in many pieces are rewritten, which bounds their
-    files and the manifest.
+    files and the manifest. A stream of payload lines (:func:`stream_payloads`) is numbered
+    per micro-batch.
     """
 
     def apply(rows: DataFrame, batch: int) -> None:
         store.refresh()
         if batch % compact_every == compact_every - 1:
             retried(store, store.compact)
+        requests, batches = _numbered(rows, batch, ingest_payloads)
         result = run_ingest_batch(
-            store, rows, clock(batch), source=name, batch=batch, **options
+            store, requests, clock(batch), source=name, batch=batch, batches=batches, **options
         )
         _hand_over(store, result, on_events)
 
@@ -55,14 +58,26 @@ def stream_unlearn(
 
     def apply(rows: DataFrame, batch: int) -> None:
         store.refresh()
+        requests, batches = _numbered(rows, batch, unlearn_payloads)
         result = run_unlearn_batch(
-            store, rows, clock(batch), private_key, source=name, batch=batch
+            store, requests, clock(batch), private_key, source=name, batch=batch, batches=batches
         )
         _hand_over(store, result, on_events)
 
     return requests.writeStream.queryName(name).foreachBatch(apply)
 
 
+BATCH_BITS = 40  # sequence numbers of one micro-batch of payloads
+
+
+def _numbered(rows: DataFrame, batch: int, parse) -> tuple[DataFrame, DataFrame | None]:
+    """Requests and their batches; request tables are taken as they are."""
+    if "payload" not in rows.columns:
+        return rows, None
+    found = parse(rows, first_seq=batch << BATCH_BITS)
+    return found.requests, found.batches
+
+
 def _hand_over(store: ShardedStore, result, on_events) -> None:
     if result is not None and on_events is not None:
         on_events(result.events)

@@ -19,6 +19,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the giv
 
 SLOW = {
     "audit_requests",
+    "empty_batches",
+    "ingest_from_json_files",
+    "ingest_into_filled_store",
+    "malformed_payloads",
+    "run_ingest_singles",
+    "unlearn_after_crash",
+    "unlearn_from_json_files",
     "concept_isolation",
     "purge_subgraph",
     "run_ingest",

@@ -84,7 +84,7 @@ def test_payloads(spark):
     rows = [(1, '{"entity_id": "a"}'), (2, ' ["b", "c"]'), (3, "[]"), (4, "{}")]
     df = spark.createDataFrame(rows, "n int, payload string")
     got = [(r.n, r.item, r.entity_id) for r in requests.explode_unlearn(df).collect()]
-    assert sorted(got) == [(1, 0, "a"), (2, 0, "b"), (2, 1, "c")]
+    assert sorted(got) == [(1, 0, "a"), (2, 0, "b"), (2, 1, "c"), (4, 0, None)]
 
 
 def test_request_files(spark, tmp_path):
@@ -99,9 +99,31 @@ def test_request_files(spark, tmp_path):
     assert lines.schema == schemas.INGEST_REQUEST
     array = requests.read_ingest_documents(spark, str(tmp_path / "array.json"))
     assert sorted(r.id for r in array.collect()) == ["c", "d"]
-    (tmp_path / "unlearn.txt").write_text('["a", "b"]\n{"entity_id": "c"}\n\n')
-    unlearn = requests.read_unlearn_requests(spark, str(tmp_path / "unlearn.txt"))
-    assert sorted(r.entity_id for r in unlearn.collect()) == ["a", "b", "c"]
+    (tmp_path / "asked").mkdir()
+    (tmp_path / "asked" / "b.txt").write_text('["a", "b"]\n{"entity_id": "c"}\n\n{"entity\n[]\n')
+    (tmp_path / "asked" / "a.txt").write_text('{"entity_id": "d"}\n')
+    found = requests.read_unlearn_payloads(spark, str(tmp_path / "asked"), first_seq=7)
+    asked = found.requests.orderBy("seq").collect()
+    assert [r.entity_id for r in asked] == ["d", "a", "b", "c"]
+    step = 1 << requests.ITEM_BITS
+    assert [r.seq for r in asked] == [7, 7 + step, 8 + step, 7 + 2 * step]
+    names = {r.batch_id.rsplit("/", 1)[1]: r.malformed for r in found.batches.collect()}
+    assert names == {"a.txt:0": False, "b.txt:0": False, "b.txt:1": False, "b.txt:2": True, "b.txt:3": False}
+
+
+def test_numbers_do_not_depend_on_splits(spark, tmp_path):
+    lines = [f'["e{i}", "f{i}"]' for i in range(500)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    whole = requests.read_unlearn_payloads(spark, str(tmp_path)).requests.collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        split = requests.read_unlearn_payloads(spark, str(tmp_path)).requests
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        assert sorted(split.collect()) == sorted(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r.seq for r in whole}) == 1000
 
 
 def test_topology_counts_empty_shards(spark):
