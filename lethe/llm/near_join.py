@@ -19,6 +19,7 @@ SIMILARITY = 0.8
 RECALL = 0.999  # of a pair at exactly this similarity
 BUCKET = 2048  # sets compared with one another by one task
 DEPTH = 3  # buckets still larger after so many splits are compared in tiles
+REPEATS = 3  # independent choices when a large bucket is split again
 TILE = 512  # sets on a side of an exact tile, and their shingles
 TILE_SHINGLES = 1 << 19
 COLUMNS = 1 << 13  # shingles counted at once in a tile
@@ -30,19 +31,21 @@ MATCHES = math.floor(
 )
 
 
-def found_per_run(depth: int) -> float:
-    """Chance that a pair at the threshold still shares a bucket after ``depth`` splits.
+def found_per_run(depth: int = DEPTH) -> float:
+    """Chance that a pair at the threshold shares a bucket after ``depth`` splits.
 
-    It shares one chosen token per split on average: a branching process.
+    It shares one chosen token on average at the first split and ``REPEATS`` at each further
+    one: a branching process.
     """
     chance = 1.0
-    for _ in range(depth):
-        chance = 1 - math.exp(-chance)
-    return chance
+    for _ in range(depth - 1):
+        chance = 1 - math.exp(-REPEATS * chance)
+    return 1 - math.exp(-chance)
 
 
-def runs_needed(depth: int, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - found_per_run(depth)))
+def runs_needed(recall: float = RECALL) -> int:
+    """Runs that find a pair with this chance, even one whose buckets are all split fully."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - found_per_run()))
 
 
 # Sets and sketches
@@ -50,12 +53,14 @@ def runs_needed(depth: int, recall: float = RECALL) -> int:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, sizes, sketches = [], [], []
+        names, sizes, sketches, marks = [], [], [], []
         for text in batch.column("text"):
             shingles = shingle_set(text.as_py())
             names.append(set_name(shingles))
             sizes.append(len(shingles))
-            sketches.append(sketch(shingles).tobytes())
+            values = sketch(shingles)
+            sketches.append(values.tobytes())
+            marks.append(values.astype("u1").tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -63,8 +68,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(names, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 pa.array(sketches, pa.binary()),
+                pa.array(marks, pa.binary()),
             ],
-            names=["doc_id", "row_key", "set", "n", "sketch"],
+            names=["doc_id", "row_key", "set", "n", "sketch", "marks"],
         )
 
 
@@ -87,8 +93,8 @@ def _choose(sketches: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, mix(draw[row, at] + np.uint64(1)).view("i8")
 
 
-def _first_split(runs: range):
-    roots = drawn(7, runs.stop)[runs.start :]
+def _first_split(runs: int):
+    roots = drawn(7, runs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,12 +110,15 @@ def _first_split(runs: range):
 
 
 def _next_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    again = drawn(8, REPEATS)
     for batch in batches:
         paths = batch.column("bucket").to_numpy().view("u8")
-        row, child = _choose(_sketches(batch.column("sketch")), paths)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("set").take(pa.array(row)), pa.array(child)], names=["set", "bucket"]
-        )
+        values = _sketches(batch.column("sketch"))
+        for repeat in again:
+            row, child = _choose(values, paths ^ repeat)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("set").take(pa.array(row)), pa.array(child)], names=["set", "bucket"]
+            )
 
 
 # Groups of rows that lie together
@@ -161,7 +170,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(sets) < 2:
             continue
         sizes = group.column("n").to_numpy()
-        values = _sketches(group.column("sketch").combine_chunks())
+        marks = b"".join(group.column("marks").to_pylist())
+        values = np.frombuffer(marks, "u1").reshape(len(sets), TOKENS)
         near = np.zeros((len(sets), len(sets)), bool)
         rows = max(1, (1 << 22) // (len(sets) * TOKENS))
         for at in range(0, len(sets), rows):
@@ -189,32 +199,30 @@ def _laid(df: DataFrame, key: str, *more: str) -> DataFrame:
 def candidate_links(sets: DataFrame, recall: float = RECALL) -> DataFrame:
     """``a, b``: links that join all pairs of sets found to be possibly similar.
 
-    A run splits the sets by chosen tokens; a bucket of up to ``BUCKET`` sets is compared, a
-    larger one split again by tokens chosen for its path. What is larger after ``DEPTH``
-    splits is compared chunk by chunk. Deeper splits find a pair less often, so their number
-    decides how many runs the target recall takes, and the missing runs follow.
+    Each run splits the sets by chosen tokens; a bucket of up to ``BUCKET`` sets is compared, a
+    larger one split again by tokens chosen for its path, ``REPEATS`` times. What is larger
+    after ``DEPTH`` splits is compared chunk by chunk. Runs are repeated until the recall is
+    reached; all go through the same jobs. Buckets are compared by one byte of each sketch
+    position, which can only add candidates.
     """
-    parts, done, deepest = [], 0, 1
-    carried = sets.select("set", "n", "sketch")
-    while done < runs_needed(deepest, recall):
-        runs = range(done, runs_needed(deepest, recall))
-        nodes = carried.mapInArrow(_first_split(runs), "set binary, bucket long")
-        for depth in range(1, DEPTH + 1):
-            nodes = written(nodes, "buckets")
-            counts = nodes.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-            shared = written(nodes.join(counts, "bucket"), "shared")
-            large = shared.where(F.col("members") > BUCKET)
-            more = depth < DEPTH and not large.isEmpty()
-            leaves = shared.where(F.col("members") <= BUCKET) if more else shared
-            parts.append(_compared(leaves, carried))
-            if not more:
-                break
-            deepest = max(deepest, depth + 1)
-            nodes = large.join(carried, "set").mapInArrow(_next_split, "set binary, bucket long")
-        done = runs.stop
-    links = parts[0]
-    for part in parts[1:]:
-        links = links.unionByName(part)
+    links = None
+    nodes = sets.select("set", "sketch").mapInArrow(
+        _first_split(runs_needed(recall)), "set binary, bucket long"
+    )
+    for depth in range(1, DEPTH + 1):
+        nodes = written(nodes, "buckets")
+        counts = nodes.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+        shared = written(nodes.join(counts, "bucket"), "shared")
+        more = depth < DEPTH
+        leaves = shared.where(F.col("members") <= BUCKET) if more else shared
+        found = _compared(leaves, sets.select("set", "n", "marks"))
+        links = found if links is None else links.unionByName(found)
+        large = shared.where(F.col("members") > BUCKET)
+        if not more or large.isEmpty():
+            break
+        nodes = large.join(sets.select("set", "sketch"), "set").mapInArrow(
+            _next_split, "set binary, bucket long"
+        )
     return links
 
 
@@ -386,12 +394,12 @@ def near_copies(
     kind = keyed.schema["doc_id"].dataType.simpleString()
     docs = written(
         keyed.mapInArrow(
-            _sketch, f"doc_id {kind}, row_key binary, `set` binary, n long, sketch binary"
+            _sketch, f"doc_id {kind}, row_key binary, `set` binary, n long, sketch binary, marks binary"
         ),
         "sketches",
     )
     first = F.min(
-        F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key", "n", "sketch")
+        F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key", "n", "sketch", "marks")
     )
     sets = written(
         docs.where("n > 0")
@@ -402,7 +410,7 @@ def near_copies(
     )
     candidates = connected_components(candidate_links(sets, recall))
     members = written(
-        candidates.withColumnRenamed("node", "set").join(sets.drop("sketch"), "set"), "members"
+        candidates.withColumnRenamed("node", "set").join(sets.drop("sketch", "marks"), "set"), "members"
     )
     tiled = written(_tiles(members), "tiles")
     texts = (

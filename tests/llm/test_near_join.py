@@ -127,7 +127,7 @@ def test_one_of_each_class_is_kept(spark):
 
 def test_recall_of_runs():
     assert found_per_run(1) == pytest.approx(0.632, abs=1e-3)
-    assert 1 - (1 - found_per_run(3)) ** runs_needed(3) >= near_join.RECALL
+    assert 1 - (1 - found_per_run()) ** runs_needed() >= near_join.RECALL
 
 
 def test_sketch_estimates_similarity():
