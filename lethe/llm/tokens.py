@@ -18,8 +18,10 @@ VOCABULARY = "byte_bpe_50k.json"
 
 # A space that can only be the first character of a token.
 CUT = re.compile(r" (?=\S)")
-# Latin letters, then marks that are one token group whatever stands before them.
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ʯ]+)([.,!?;:$%&*#|()]*)")
+# Latin letters, then marks that are one token group whatever stands before them; the same once
+# more on the next line, whose break is a token of its own.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ʯ]+", "[.,!?;:$%&*#|()]*"
+WORD = re.compile(rf"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -33,11 +35,12 @@ class PieceEncoder:
     """Encodes texts with the ``tokenizers`` library.
 
     ``capacity`` bounds the pieces remembered per generation. When the young generation is
-    full it becomes the old one, so memory holds two generations at most. A text that names
+    full it becomes the old one, so memory holds two generations at most, and a byte each for
+    some ten times as many that were seen once. A text that names
     a special token is ordinary text.
     """
 
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, capacity: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -50,6 +53,8 @@ class PieceEncoder:
         self.letters = str.maketrans(spelt)
         self.space = spelt[" "]
         self.capacity = capacity
+        self.mask = (1 << (8 * capacity).bit_length()) - 1
+        self.seen = bytearray(self.mask + 1)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -72,36 +77,44 @@ class PieceEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, lead: str) -> bytes:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(self.space + spelt)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(lead + spelt)]).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._whole(marks)
+            if len(self.tails) < self.capacity:
+                self.tails[marks] = ids
+        return ids
 
     def _after_space(self, piece: str) -> bytes:
         """Ids of a space and this piece."""
         match = WORD.fullmatch(piece)
         if match is None:
             return self._whole(" " + piece)
-        word, tail = match.groups()
-        if not tail:
-            return self._word(word)
-        head = self._known(word)
+        word, marks, below, more = match.groups()
+        if not marks and below is None:
+            return self._word(word, self.space)
+        head = self.young.get(word) or self.old.get(word)
         if head is None:
-            head = self._keep(word, self._word(word))
-        marks = self.tails.get(tail)
-        if marks is None:
-            marks = self._whole(tail)
-            if len(self.tails) < self.capacity:
-                self.tails[tail] = marks
-        return head + marks
-
-    def _known(self, piece: str) -> bytes | None:
-        return self.young.get(piece) or self.old.get(piece)
-
-    def _keep(self, piece: str, ids: bytes) -> bytes:
+            head = self._word(word, self.space)
+            self._keep(word, head)
+        if below is None:
+            return head + self._tail(marks)
+        return head + self._tail(marks + "\n") + self._word(below, "") + (self._tail(more) if more else b"")
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        """Remember a piece from its second time on; most pieces never come again."""
+        at = hash(piece) & self.mask
+        if not self.seen[at]:
+            self.seen[at] = 1
+            return
         if len(self.young) >= self.capacity:
             self.old, self.young = self.young, {}
+            self.seen = bytearray(self.mask + 1)
         self.young[piece] = ids
-        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, as unsigned 32-bit integers."""
@@ -114,21 +127,19 @@ class PieceEncoder:
         # A text that begins with a space is cut in front of its first word, leaving nothing.
         ids = list(map(self.young.get, pieces))
         ids[0] = self._whole(first) if first else b""
-        if None in ids:
-            for i, found in enumerate(ids):
-                if found is None:
-                    piece = pieces[i]
-                    # An earlier place of this text may have added it.
-                    ids[i] = self._known(piece) or self._after_space(piece)
-                    if len(piece) < 64 and piece not in self.young:
-                        self._keep(piece, ids[i])
+        old = self.old.get
+        for i in [i for i, found in enumerate(ids) if found is None]:
+            piece = pieces[i]
+            ids[i] = old(piece) or self._after_space(piece)
+            if len(piece) < 64:
+                self._keep(piece, ids[i])
         return np.frombuffer(b"".join(ids), "<u4")
 
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str, capacity: int = 500_000) -> PieceEncoder:
+def encoder(path: str, capacity: int = 250_000) -> PieceEncoder:
     """The encoder of this Python worker; what it remembers lasts from task to task."""
     key = (path, capacity)
     if key not in _encoders:
