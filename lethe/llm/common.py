@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.session import new_dir
+from lethe.session import new_dir, ship_package
 
 # White space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 WHITE = r"\x20\x09-\x0D"
@@ -44,6 +44,21 @@ def scratch(spark: SparkSession, keep_last: bool = False) -> Iterator[None]:
         folder.getFileSystem(hadoop).delete(folder, True)
 
 
+# Rows of long texts are handed to Python in batches of about so many bytes and rows at most; the
+# default of ten thousand rows holds tens of megabytes several times over in every worker.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Give the Python workers this package and batches of bounded size."""
+    ship_package(spark)
+    for key, value in ARROW_BATCH.items():
+        spark.conf.set(key, value)
+
+
 def row_number_in_task() -> Column:
     """Task in the upper bits, row of the task in the lower 33; fixed only once written."""
     return F.monotonically_increasing_id()

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lethe.session import ship_package
+from lethe.llm.common import prepare_workers
+
 
 UNKNOWN = "und"
 LANGUAGE, SCORE = "lang_pred", "score"
@@ -161,7 +162,7 @@ def fit_languages(
     sample; the smallest hashes of these are taken. So the sample's size is bounded, it does
     not depend on the layout of the files, and only sampled texts move.
     """
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     labelled = df.where(
         usable & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
@@ -221,7 +222,7 @@ def predict_languages(
     with score 0, and so is everything if no labelled document was there to learn from. A
     column of ``keep`` that has the name of an added one is left out.
     """
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     kept = [c for c in keep if c.lower() not in (LANGUAGE, SCORE)]
     rows = df.select(F.col(text_col).alias("input"), *kept)
     schema = StructType(

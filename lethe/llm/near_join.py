@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import free_name, with_row_key, written
+from lethe.llm.common import free_name, prepare_workers, with_row_key, written
 from lethe.llm.components import connected_components
 from lethe.llm.shingles import TOKENS, drawn, mix, set_name, shingle_set, sketch
-from lethe.session import ship_package
 
 SIMILARITY = 0.8
 RECALL = 0.999  # of a pair at exactly this similarity
@@ -384,7 +383,7 @@ def near_copies(
     texts, in tiles. Pairs are counted, never emitted, so a group of near copies of any size
     gives as many rows as it has sets. Copies stand for one another from the beginning.
     """
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     key = free_name("row_key", df.columns)
     keyed = with_row_key(df, key).select(
         F.col(id_col).alias("doc_id"),

@@ -11,9 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lethe.llm.common import prepare_workers
 from lethe.llm.token_files import list_array
 from lethe.llm.tokens import encode_all, vocabulary_path
-from lethe.session import ship_package
 
 CAPACITY = 1024
 # Tokens packed together: bounds a task's memory, and padding is under one sequence of these.
@@ -123,7 +123,7 @@ def pack_documents(
     the task's, and a task that runs again gives the same pieces. An empty table gives no
     pieces. Extra columns are not read.
     """
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     pack = _pack(vocabulary or vocabulary_path(), end_id, capacity, group_tokens, with_ids)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(pack, PIECES + (", ids array<int>" if with_ids else ""))

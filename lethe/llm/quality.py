@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import written
-from lethe.session import ship_package
+from lethe.llm.common import prepare_workers, written
 
 SAMPLE_ROWS = 20_000  # labelled documents a model is fitted on, about
 BINS = 48  # bins of a feature; pairs use a third of them
@@ -112,7 +111,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, features`` of every row, written once; a null text counts as empty."""
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     return written(rows.mapInArrow(_describe, f"doc_id {kind}, features array<double>"), "features")
@@ -283,6 +282,6 @@ def _score(model: AdditiveModel):
 
 def score_quality(features: DataFrame, model: AdditiveModel) -> DataFrame:
     """``doc_id, score`` of every row; empty texts are scored like any other."""
-    ship_package(features.sparkSession)
+    prepare_workers(features.sparkSession)
     kind = features.schema["doc_id"].dataType.simpleString()
     return features.mapInArrow(_score(model), f"doc_id {kind}, score double")

@@ -11,9 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lethe.llm.common import row_number_in_task
+from lethe.llm.common import prepare_workers, row_number_in_task
 from lethe.llm.tokens import encode_all, vocabulary_path
-from lethe.session import new_dir, ship_package
+from lethe.session import new_dir
 
 # Layout of a file. Ids repeat, so they get a dictionary: one page of at most 4 bytes per
 # vocabulary entry, then indexes of 16 bits. The ascending number columns are delta encoded,
@@ -85,7 +85,7 @@ def write_token_files(
     first. ``part`` numbers the files in order and ``first`` counts the ids before the document
     in its file. Only ids and texts are read. An empty table gives files without rows.
     """
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     encode = _encode(vocabulary or vocabulary_path(), end_id)
     ordered = (
         df.select(

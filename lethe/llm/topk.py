@@ -10,8 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.llm.common import row_number_in_task, written
-from lethe.session import ship_package
+from lethe.llm.common import prepare_workers, row_number_in_task, written
 
 BLOCK_ROWS = 4096  # candidates of one vertical block
 QUERY_ROWS = 256  # queries met by a block at once
@@ -244,6 +243,6 @@ def search_embeddings(
     Vectors that are null or hold a null or a non-finite component take no part, nor do rows
     without an id. Repeated ids are rows of their own: each asks, and each is found.
     """
-    ship_package(vectors.sparkSession)
+    prepare_workers(vectors.sparkSession)
     whole = written(quantised(vectors, id_col, vector_col, scale), "vectors")
     return top_k(whole, whole.where(asked(F.col("vec_id"))), k)
