@@ -47,8 +47,9 @@ def con():
     return connect(SF_DIR)
 
 
-# Results that are one row, or the top of a sorted whole.
-GLOBAL = {"engine_metrics", "recent_events"}
+# Results that are one row, or the top of a sorted whole; readers accumulate one row per file
+# split to number the lines.
+GLOBAL = {"engine_metrics", "recent_events", "read_ingest_requests", "read_unlearn_requests"}
 
 
 # The training-data operators have tests of their own.
