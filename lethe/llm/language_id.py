@@ -176,7 +176,8 @@ def fit_languages(
     )
     first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
     sample = (
-        labelled.join(counts.select("lang", "threshold"), "lang")
+        # One row per language: small enough for every task, so no text is shuffled for it.
+        labelled.join(F.broadcast(counts.select("lang", "threshold")), "lang")
         .where(F.col("draw") < F.col("threshold"))
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= per_language)
