@@ -15,9 +15,13 @@ COUNTERS = 1 << 14
 RARITY_BITS = 56  # a token is its rarity class above this many bits of its hash
 
 
-def words_of(line: Column) -> Column:
-    """Distinct words of a line, parted by white space."""
-    return F.array_remove(F.array_distinct(F.split(line, f"[{WHITE}]+")), "")
+MAPS = 4  # bitmaps of 64 places per set
+FILTER_BITS = 1 << 20  # of the filter on documents to fetch
+
+
+def split_words(line: Column) -> Column:
+    """Words of a line that has some, parted by white space."""
+    return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), f"[{WHITE}]+")
 
 
 def word_rarity(texts: DataFrame) -> list[int]:
@@ -38,7 +42,7 @@ def word_rarity(texts: DataFrame) -> list[int]:
 
 
 def token_order(words: Column, rarity: list[int]) -> Column:
-    """The words as tokens in one order for all lines: rare first, then by hash."""
+    """Distinct tokens of the words in one order for all lines: rare first, then by hash."""
     classes = F.from_json(F.lit(json.dumps(rarity)), "array<int>")
     mask = F.lit((1 << RARITY_BITS) - 1)
 
@@ -48,7 +52,8 @@ def token_order(words: Column, rarity: list[int]) -> Column:
             F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), RARITY_BITS
         ).bitwiseOR(h.bitwiseAND(mask))
 
-    return F.array_sort(F.transform(words, token))
+    # Of plain numbers: the native sort and set need no comparison function.
+    return F.sort_array(F.array_distinct(F.transform(words, token)))
 
 
 def least_overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -57,34 +62,58 @@ def least_overlap(n: Column, m: Column, similarity: float) -> Column:
     return F.ceil((n + m) * F.lit(share) - F.lit(1e-9))
 
 
-def line_sets(docs: DataFrame, rarity: list[int], similarity: float) -> DataFrame:
-    """One row per line with words: where it stands, the identity and size of its token set,
-    the set's prefix, and a bitmap of it (the parity of its tokens in each of 64 places)."""
+def _tokens_of_lines(docs: DataFrame, rarity: list[int]) -> DataFrame:
     lines = docs.select(
         "doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    ).where(F.col("line").rlike(f"[^{WHITE}]"))
+    return lines.select(
+        "doc_id",
+        "row_key",
+        "line_no",
+        token_order(split_words(F.col("line")), rarity).alias("t"),
     )
-    tokens = lines.select(
-        "doc_id", "row_key", "line_no", token_order(words_of(F.col("line")), rarity).alias("t")
-    ).where(F.size("t") > 0)
+
+
+def _identity() -> list[Column]:
+    return [F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")]
+
+
+def line_places(docs: DataFrame, rarity: list[int]) -> DataFrame:
+    """One row per line with words: where it stands, and which token set it has."""
+    return _tokens_of_lines(docs, rarity).select("row_key", "line_no", *_identity())
+
+
+def _bitmaps(tokens: Column) -> Column:
+    """Parity of the tokens in each of 64 places of ``MAPS`` bitmaps."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def step(maps, t):
+        bit = F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+        which = F.shiftright(t, 6).bitwiseAND(F.lit(MAPS - 1))
+        return F.struct(
+            *[
+                maps[f"m{i}"].bitwiseXOR(F.when(which == i, bit).otherwise(zero)).alias(f"m{i}")
+                for i in range(MAPS)
+            ]
+        )
+
+    return F.aggregate(tokens, F.struct(*[zero.alias(f"m{i}") for i in range(MAPS)]), step)
+
+
+def line_sets(docs: DataFrame, rarity: list[int], similarity: float) -> DataFrame:
+    """One row per line with words: place, identity and size of its token set, the set's prefix
+    and its bitmaps."""
     n = F.size("t")
-    prefix = n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
-    parity = F.aggregate(
-        "t",
-        F.lit(0).cast("long"),
-        lambda a, t: a.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-        ),
-    )
-    return tokens.select(
+    prefix = F.slice("t", F.lit(1), n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
+    return _tokens_of_lines(docs, rarity).select(
         "doc_id",
         "row_key",
         "line_no",
-        F.xxhash64("t").alias("k1"),
-        F.xxhash64(F.lit(1), "t").alias("k2"),
+        *_identity(),
         n.alias("n"),
-        parity.alias("bits"),
+        _bitmaps(F.col("t")).alias("maps"),
         # Half of a hash is enough to find candidates by.
-        F.transform(F.slice("t", F.lit(1), prefix), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+        F.transform(prefix, lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
     )
 
 
@@ -96,7 +125,7 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
     first = F.min(
         F.struct(
             F.col("doc_id").isNull().alias("missing"),
-            "doc_id", "row_key", "line_no", "n", "bits", "prefix",
+            "doc_id", "row_key", "line_no", "n", "maps", "prefix",
         )
     )
     sets = lines.groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", "first.*")
@@ -105,21 +134,24 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
 def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: sets that share a prefix token and pass the length, positional and bitmap
-    filters. None of them drops a pair that is similar enough."""
+    filters. None of them drops a pair that is similar enough: every place whose parity
+    differs holds a token that is not common."""
+    one_map = F.lit(0).cast("long")
+    for i in range(MAPS):
+        one_map = one_map.bitwiseXOR(F.col(f"maps.m{i}"))
     postings = sets.select(
-        "id", "n", "bits", F.posexplode("prefix").alias("pos", "token")
+        "id", "n", one_map.alias("bits"), F.posexplode("prefix").alias("pos", "token")
     )
     a, b = postings.alias("a"), postings.alias("b")
     need = least_overlap(F.col("a.n"), F.col("b.n"), similarity)
     small = F.least("a.n", "b.n")
-    return (
+    met = (
         a.join(
             b,
             (F.col("a.token") == F.col("b.token"))
             & (F.col("a.id") < F.col("b.id"))
             & (small >= F.greatest("a.n", "b.n") * F.lit(similarity) - F.lit(1e-9))
             & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
-            # Every place whose parity differs holds a token that is not common.
             & (
                 F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
                 <= F.col("a.n") + F.col("b.n") - 2 * need
@@ -128,12 +160,39 @@ def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
+    maps = sets.select("id", "n", "maps")
+    both = met.join(maps.select(*[F.col(c).alias(f"a_{c}") for c in maps.columns]), F.col("a") == F.col("a_id")).join(
+        maps.select(*[F.col(c).alias(f"b_{c}") for c in maps.columns]), F.col("b") == F.col("b_id")
+    )
+    differ = sum(
+        (F.bit_count(F.col(f"a_maps.m{i}").bitwiseXOR(F.col(f"b_maps.m{i}"))) for i in range(MAPS)),
+        F.lit(0),
+    )
+    most = F.col("a_n") + F.col("b_n") - 2 * least_overlap(F.col("a_n"), F.col("b_n"), similarity)
+    return both.where(differ <= most).select("a", "b")
+
+
+def _maybe_among(rows: DataFrame, key: str) -> Column:
+    """A test that holds for every key of ``rows`` and for few others while these are few.
+
+    The keys are folded into ``FILTER_BITS`` bits, whatever their number, and go to the tasks
+    as one small array; a full array only stops saving work.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    words = rows.groupBy(F.floor(h / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    found = {r["at"]: r["bits"] for r in words}
+    array = F.from_json(
+        F.lit(json.dumps([found.get(i, 0) for i in range(FILTER_BITS // 64)])), "array<bigint>"
+    )
+    return F.get(array, F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0
 
 
 def similar_pairs(
     docs: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
 ) -> DataFrame:
-    """The candidates whose word sets have at least this Jaccard similarity."""
+    """The candidates whose word sets have at least this Jaccard similarity, of 64-bit hashes
+    of the whole words."""
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = written(
         sets.join(ids, "id", "left_semi").select("id", "row_key", "line_no"), "line-wanted"
@@ -141,10 +200,16 @@ def similar_pairs(
     per_doc = wanted.groupBy("row_key").agg(
         F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("lines")
     )
-    fetched = docs.select("row_key", "text").join(per_doc, "row_key")
+    fetched = (
+        docs.select("row_key", "text").where(_maybe_among(wanted, "row_key")).join(per_doc, "row_key")
+    )
+    line = F.get("text", F.col("line_no"))
     words = written(
         fetched.select(F.split("text", "\n").alias("text"), F.explode("lines").alias("line_no", "id"))
-        .select("id", words_of(F.get("text", F.col("line_no"))).alias("words")),
+        .select(
+            "id",
+            F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))).alias("words"),
+        ),
         "line-words",
     )
     both = candidates.join(
@@ -177,8 +242,8 @@ def find_repeated_lines(
         F.col(text_col).alias("text"),
     )
     rarity = word_rarity(docs)
-    lines = written(line_sets(docs, rarity, similarity), "lines")
-    sets = distinct_sets(lines)
+    lines = written(line_places(docs, rarity), "lines")
+    sets = distinct_sets(line_sets(docs, rarity, similarity))
     candidates = written(candidate_pairs(sets, similarity), "line-pairs")
     pairs = similar_pairs(docs, sets, candidates, similarity)
 
