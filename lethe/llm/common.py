@@ -75,22 +75,41 @@ def place_of(row: Column) -> Column:
     return row.bitwiseAND(F.lit((1 << TASK_BITS) - 1))
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether every row is one row of a file read once, as in each job that reads it again.
+
+    So it is for a scan of files, projected or filtered; anything else in the plan may repeat
+    rows (an explode, a join, a union) or give other ones next time (a draw, a limit).
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or not df.inputFiles():
+        return False
+    # A path named twice, or below another one, is read twice.
+    roots = plan.relation().location().rootPaths()
+    paths = sorted(f"{roots.apply(i).toString().rstrip('/')}/" for i in range(roots.size()))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:], strict=False))
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """Add a key that tells rows apart, also repeated ones, and is the same in every job.
 
-    Rows read from files are named by file and place. Any other input is written first.
+    Rows of a plain scan are named by file and place. Any other input is written first, so
+    callers that need the key twice hand the keyed frame on.
     """
     from pyspark.errors import AnalysisException
 
-    if "_metadata" not in df.columns:
+    if "_metadata" not in df.columns and _is_scan(df):
         try:
             key = F.concat_ws(
                 ":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")
             )
             keyed = df.withColumn(name, key)
             keyed.schema  # resolves the hidden column
-            if df.inputFiles():
-                return keyed
+            return keyed
         except AnalysisException:
             pass
     return written(

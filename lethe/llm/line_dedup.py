@@ -225,6 +225,7 @@ def find_repeated_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     similarity: float = SIMILARITY,
+    row_key: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, row_key, n_lines, removed``, the last the ascending
     numbers (from 0) of the lines to remove.
@@ -233,12 +234,15 @@ def find_repeated_lines(
     similarity at least ``similarity``, whether that one stays or not. Lines without words
     stay. A null text has no lines, an empty one a single empty line. A null id comes last;
     rows with the same id are ordered by where they lie. An empty table gives an empty result,
-    extra columns are not read.
+    extra columns are not read. With ``row_key`` that column, different in all rows, is
+    returned as ``row_key``.
     """
-    key = free_name("row_key", df.columns)
-    docs = with_row_key(df, key).select(
+    if row_key is None:
+        row_key = free_name("row_key", df.columns)
+        df = with_row_key(df, row_key).withColumn(row_key, F.unhex(F.md5(row_key)))
+    docs = df.select(
         F.col(id_col).alias("doc_id"),
-        F.unhex(F.md5(key)).alias("row_key"),
+        F.col(row_key).alias("row_key"),
         F.col(text_col).alias("text"),
     )
     rarity = word_rarity(docs)
@@ -290,11 +294,10 @@ def drop_repeated_lines(
     """``df`` with the lines of :func:`find_repeated_lines` taken out of the texts."""
     key = free_name("row_key", df.columns)
     gone = free_name("removed", df.columns)
-    keyed = with_row_key(df, key)
-    found = find_repeated_lines(df, id_col, text_col, similarity).where(F.size("removed") > 0)
-    name = free_name("row_name", [*keyed.columns, gone])
-    joined = keyed.withColumn(name, F.unhex(F.md5(key))).join(
-        found.select(F.col("row_key").alias(name), F.col("removed").alias(gone)), name, "left"
+    keyed = with_row_key(df, key).withColumn(key, F.unhex(F.md5(key)))
+    found = find_repeated_lines(keyed, id_col, text_col, similarity, key).where(F.size("removed") > 0)
+    joined = keyed.join(
+        found.select(F.col("row_key").alias(key), F.col("removed").alias(gone)), key, "left"
     )
     left = F.filter(
         F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col(gone), i)

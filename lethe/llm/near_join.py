@@ -367,7 +367,11 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    recall: float = RECALL,
+    row_key: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, row_key, set_id, class_id, links, kept``.
 
@@ -382,12 +386,15 @@ def near_copies(
     of similar size within a component of candidates are compared exactly on their whole
     texts, in tiles. Pairs are counted, never emitted, so a group of near copies of any size
     gives as many rows as it has sets. Copies stand for one another from the beginning.
+    With ``row_key`` that binary column, different in all rows, is returned as ``row_key``.
     """
     prepare_workers(df.sparkSession)
-    key = free_name("row_key", df.columns)
-    keyed = with_row_key(df, key).select(
+    if row_key is None:
+        row_key = free_name("row_key", df.columns)
+        df = with_row_key(df, row_key).withColumn(row_key, F.unhex(F.md5(row_key)))
+    keyed = df.select(
         F.col(id_col).alias("doc_id"),
-        F.unhex(F.md5(key)).alias("row_key"),
+        F.col(row_key).alias("row_key"),
         F.col(text_col).alias("text"),
     )
     kind = keyed.schema["doc_id"].dataType.simpleString()
@@ -455,11 +462,8 @@ def near_copies(
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`near_copies` keeps, all columns as they are."""
     key = free_name("row_key", df.columns)
-    keyed = with_row_key(df, key)
-    name = free_name("row_name", keyed.columns)
-    gone = near_copies(df, id_col, text_col).where(~F.col("kept"))
-    return (
-        keyed.withColumn(name, F.unhex(F.md5(key)))
-        .join(gone.select(F.col("row_key").alias(name)), name, "left_anti")
-        .drop(key, name)
-    )
+    keyed = with_row_key(df, key).withColumn(key, F.unhex(F.md5(key)))
+    gone = near_copies(keyed, id_col, text_col, row_key=key).where(~F.col("kept"))
+    return keyed.join(
+        gone.select(F.col("row_key").alias(key)), key, "left_anti"
+    ).select(*df.columns)
