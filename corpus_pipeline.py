@@ -42,7 +42,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences with their token ids."""
-    return packing.pack_documents(docs, END_ID, with_ids=True)
+    return packing.pack_documents(docs, END_ID, with_ids=True, special_tokens=True)
 
 
 STAGES = [

@@ -62,7 +62,14 @@ def place_pieces(
             start, left = start + length, left - length
 
 
-def _pack(path: str, end_id: int, capacity: int, group_tokens: int, with_ids: bool):
+def _pack(
+    path: str,
+    end_id: int,
+    capacity: int,
+    group_tokens: int,
+    with_ids: bool,
+    special_tokens: bool,
+):
     end = np.array([end_id], "<u4")
     names = [f.split()[0] for f in PIECES.split(", ")] + (["ids"] if with_ids else [])
 
@@ -90,7 +97,7 @@ def _pack(path: str, end_id: int, capacity: int, group_tokens: int, with_ids: bo
         for batch in batches:
             texts = (t.as_py() for t in batch.column("text"))
             names_of = (d.as_py() for d in batch.column("doc_id"))
-            for doc, encoded in zip(names_of, encode_all(texts, path), strict=True):
+            for doc, encoded in zip(names_of, encode_all(texts, path, special_tokens), strict=True):
                 docs.append(doc)
                 ids.append(np.concatenate([encoded, end]))
                 held += len(encoded) + 1
@@ -113,6 +120,7 @@ def pack_documents(
     text_col: str = "text",
     group_tokens: int = GROUP_TOKENS,
     with_ids: bool = False,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece: the document's part, and its sequence and place there.
 
@@ -121,9 +129,11 @@ def pack_documents(
     group of copies of any size only fills more sequences. Rows are told apart, not ids: a
     repeated or null id is packed like any other. A sequence lies in one task; its number holds
     the task's, and a task that runs again gives the same pieces. An empty table gives no
-    pieces. Extra columns are not read.
+    pieces. Extra columns are not read. The string of a special token is ordinary text unless
+    ``special_tokens`` is set.
     """
     prepare_workers(df.sparkSession)
-    pack = _pack(vocabulary or vocabulary_path(), end_id, capacity, group_tokens, with_ids)
+    path = vocabulary or vocabulary_path()
+    pack = _pack(path, end_id, capacity, group_tokens, with_ids, special_tokens)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(pack, PIECES + (", ids array<int>" if with_ids else ""))

@@ -150,14 +150,17 @@ def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are not SQL; ``tests/llm/test_tokens.py`` encodes whole texts with the library."""
     path = token_files.new_token_dir(spark)
-    token_files.write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
+    token_files.write_token_files(
+        table(spark, sf_dir, "documents"), path, end_id=2, special_tokens=True
+    )
     return token_files.read_digests(spark, path)
 
 
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are not SQL; ``tests/llm/test_packing.py`` puts all pieces together again."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=0)
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, end_id=0, special_tokens=True)
 
 
 @query("op4_language_id")

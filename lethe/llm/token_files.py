@@ -43,7 +43,7 @@ def list_array(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype("<i4")))
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, special_tokens: bool):
     end = np.array([end_id], "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def _encode(path: str, end_id: int):
             for at in range(0, batch.num_rows, ROWS_OUT):
                 rows = batch.slice(at, ROWS_OUT)
                 texts = (t.as_py() for t in rows.column("text"))
-                ids = [np.concatenate([i, end]) for i in encode_all(texts, path)]
+                ids = [np.concatenate([i, end]) for i in encode_all(texts, path, special_tokens)]
                 sizes = np.array([len(i) for i in ids], "i8")
                 firsts = total + np.cumsum(sizes) - sizes
                 total += int(sizes.sum())
@@ -77,6 +77,7 @@ def write_token_files(
     vocabulary: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_tokens: bool = False,
 ) -> None:
     """Write ``doc_id, part, first, n_tokens, ids``, one row per document, in id order.
 
@@ -84,9 +85,10 @@ def write_token_files(
     place; a repeated id may fill several files, its rows follow one another. A null id comes
     first. ``part`` numbers the files in order and ``first`` counts the ids before the document
     in its file. Only ids and texts are read. An empty table gives files without rows.
+    The string of a special token is ordinary text unless ``special_tokens`` is set.
     """
     prepare_workers(df.sparkSession)
-    encode = _encode(vocabulary or vocabulary_path(), end_id)
+    encode = _encode(vocabulary or vocabulary_path(), end_id, special_tokens)
     ordered = (
         df.select(
             F.col(id_col).cast("long").alias("doc_id"),

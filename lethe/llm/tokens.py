@@ -36,17 +36,26 @@ class PieceEncoder:
 
     ``capacity`` bounds the pieces remembered per generation. When the young generation is
     full it becomes the old one, so memory holds two generations at most, and a byte each for
-    some ten times as many that were seen once. A text that names
-    a special token is ordinary text.
+    some ten times as many that were seen once. The string of a special token is ordinary text,
+    or with ``special_tokens`` that token, as in the library's plain call.
     """
 
-    def __init__(self, path: str, capacity: int = 250_000):
+    def __init__(self, path: str, capacity: int = 250_000, special_tokens: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.special: dict[str, bytes] = {}
+        if special_tokens:
+            added = self.tokenizer.get_added_tokens_decoder()
+            for i, token in ((i, t) for i, t in added.items() if t.special):
+                if token.lstrip or token.rstrip or token.single_word:
+                    raise ValueError(f"special token {token.content!r} depends on its neighbours")
+                self.special[token.content] = array("I", [i]).tobytes()
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.special_names = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
         # How the model spells each byte, taken from the library itself.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         spelt = {chr(b): self._spell(level, b) for b in range(256)}
@@ -118,8 +127,17 @@ class PieceEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, as unsigned 32-bit integers."""
+        if any(name in text for name in self.special):
+            # The library parts texts at special tokens before anything else.
+            parts = self.special_names.split(text)
+            ids = b"".join(self.special.get(p) or self._ordinary(p) for p in parts)
+        else:
+            ids = self._ordinary(text)
+        return np.frombuffer(ids, "<u4")
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
-            return np.zeros(0, "<u4")
+            return b""
         pieces = text.split(" ")
         if "" in pieces:  # more than one space, or one at an end
             pieces = CUT.split(text)
@@ -133,20 +151,22 @@ class PieceEncoder:
             ids[i] = old(piece) or self._after_space(piece)
             if len(piece) < 64:
                 self._keep(piece, ids[i])
-        return np.frombuffer(b"".join(ids), "<u4")
+        return b"".join(ids)
 
 
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
+_encoders: dict[tuple[str, int, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, capacity: int = 250_000) -> PieceEncoder:
+def encoder(path: str, capacity: int = 250_000, special_tokens: bool = False) -> PieceEncoder:
     """The encoder of this Python worker; what it remembers lasts from task to task."""
-    key = (path, capacity)
+    key = (path, capacity, special_tokens)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, capacity)
+        _encoders[key] = PieceEncoder(*key)
     return _encoders[key]
 
 
-def encode_all(texts: Iterable[str | None], path: str) -> Iterable[np.ndarray]:
-    encode = encoder(path).encode
+def encode_all(
+    texts: Iterable[str | None], path: str, special_tokens: bool = False
+) -> Iterable[np.ndarray]:
+    encode = encoder(path, special_tokens=special_tokens).encode
     return (encode(text or "") for text in texts)
