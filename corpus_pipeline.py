@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lethe.llm import exact_dedup, language_id, mixing, near_join, packing
 from lethe.llm.common import scratch, table, written
@@ -12,16 +13,19 @@ END_ID = 0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay; those without a letter, or without a text, go.
+    """Documents stay, but for those without a text, or without a letter in it.
 
     The model learns from the labelled documents that came in, less a fold kept for tests.
-    ``lang`` is what the text was found to be in.
+    ``lang`` is what the text was found to be in. If there is no labelled document to learn
+    from, there is no model, and ``lang`` stays as it is.
     """
+    lettered = docs.where(F.coalesce(docs["text"].rlike(language_id.LETTER), F.lit(False)))
     usable = docs["doc_id"].isNotNull() & ~language_id.in_fold("doc_id", 4, 2)
     model = language_id.fit_languages(docs, usable)
-    found = language_id.predict_languages(docs, model, docs.columns)
-    known = found.where(found[language_id.LANGUAGE] != language_id.UNKNOWN)
-    return known.withColumn("lang", known[language_id.LANGUAGE]).select(*docs.columns)
+    if not model.families:
+        return lettered
+    found = language_id.predict_languages(lettered, model, docs.columns)
+    return found.withColumn("lang", found[language_id.LANGUAGE]).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
