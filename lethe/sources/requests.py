@@ -106,10 +106,20 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _payloads(lines: DataFrame, first_seq: int, parse, explode) -> Payloads:
+def _payloads(lines: DataFrame, first_seq: int, most: int | None, parse, explode) -> Payloads:
     numbered = number_lines(lines)
     rows = explode(numbered.select("batch_id", "number", "payload"))
-    seq = F.lit(first_seq) + F.shiftleft("number", ITEM_BITS) + F.col("item")
+    fits = F.col("item") < F.lit(1 << ITEM_BITS)
+    if most is not None:
+        fits = fits & (F.col("number") < F.lit(most))
+    # Numbers of another payload must not be given a second time.
+    seq = F.when(
+        fits, F.lit(first_seq) + F.shiftleft("number", ITEM_BITS) + F.col("item")
+    ).otherwise(
+        F.raise_error(
+            F.concat(F.lit("no sequence numbers left: item "), "item", F.lit(" of payload "), "batch_id")
+        ).cast("long")
+    )
     fields = [c for c in rows.columns if c not in ("batch_id", "number", "item")]
     return Payloads(
         rows.select("batch_id", seq.alias("seq"), *fields),
@@ -117,12 +127,14 @@ def _payloads(lines: DataFrame, first_seq: int, parse, explode) -> Payloads:
     )
 
 
-def ingest_payloads(lines: DataFrame, first_seq: int = 0) -> Payloads:
-    return _payloads(lines, first_seq, parse_ingest_payload, explode_ingest)
+def ingest_payloads(lines: DataFrame, first_seq: int = 0, most: int | None = None) -> Payloads:
+    """A payload of over ``1 << ITEM_BITS`` requests, and one after ``most``, is an error."""
+    return _payloads(lines, first_seq, most, parse_ingest_payload, explode_ingest)
 
 
-def unlearn_payloads(lines: DataFrame, first_seq: int = 0) -> Payloads:
-    return _payloads(lines, first_seq, parse_unlearn_payload, explode_unlearn)
+def unlearn_payloads(lines: DataFrame, first_seq: int = 0, most: int | None = None) -> Payloads:
+    """A payload of over ``1 << ITEM_BITS`` requests, and one after ``most``, is an error."""
+    return _payloads(lines, first_seq, most, parse_unlearn_payload, explode_unlearn)
 
 
 def read_ingest_payloads(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:

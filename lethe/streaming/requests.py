@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lethe.plans.ingest import run_ingest_batch
 from lethe.plans.unlearn import retried, run_unlearn_batch
-from lethe.sources.requests import ingest_payloads, unlearn_payloads
+from lethe.sources.requests import ITEM_BITS, ingest_payloads, unlearn_payloads
 from lethe.sources.store import ShardedStore
 
 
@@ -71,10 +71,13 @@ BATCH_BITS = 40  # sequence numbers of one micro-batch of payloads
 
 
 def _numbered(rows: DataFrame, batch: int, parse) -> tuple[DataFrame, DataFrame | None]:
-    """Requests and their batches; request tables are taken as they are."""
+    """Requests and their batches; request tables are taken as they are.
+
+    More payload lines than a micro-batch has numbers for are an error, never numbered twice.
+    """
     if "payload" not in rows.columns:
         return rows, None
-    found = parse(rows, first_seq=batch << BATCH_BITS)
+    found = parse(rows, first_seq=batch << BATCH_BITS, most=1 << (BATCH_BITS - ITEM_BITS))
     return found.requests, found.batches
 
 
