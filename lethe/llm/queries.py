@@ -11,6 +11,7 @@ from lethe.llm import (
     exact_dedup,
     language_id,
     line_dedup,
+    merkle,
     mixing,
     near_join,
     packing,
@@ -248,3 +249,91 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_removed"),
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
     )
+
+
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _sql_crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(list_reduce(
+      list_transform(range(len({text})), lambda i: ascii(substr({text}, i + 1, 1))::BIGINT),
+      lambda c, b: list_reduce(range(8), lambda r, k:
+        xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+      4294967295), 4294967295)"""
+
+
+def _sql_merkle(levels: int, upper: int) -> str:
+    """Trees of up to ``8 ** levels`` rows per language and ``8 ** upper`` languages."""
+    row = " || ".join(
+        f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", "t")
+    )
+    parts = [
+        f"""WITH d AS (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p0,
+                 count(*) OVER (PARTITION BY lang) AS n,
+                 (SELECT sha256({row}) FROM (SELECT text AS t)) AS leaf,
+                 (SELECT sha256({row}) FROM (SELECT
+                    CASE WHEN {_sql_crc32("doc_id::VARCHAR")} % 3 = 0
+                         THEN translate(text, '{CAPITALS}', '{CAPITALS.lower()}') ELSE text END AS t)) AS told
+          FROM documents
+        )""",
+        "a0 AS (SELECT lang AS g, p0 AS p, n, leaf AS h FROM d)",
+    ]
+
+    def climb(name: str, count: int) -> None:
+        for k in range(count):
+            parts.append(f"""{name}s{k} AS (
+              SELECT g, p, n, h,
+                coalesce(string_agg(h, '') OVER (PARTITION BY g, p // 8 ORDER BY p
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(h, '') OVER (PARTITION BY g, p // 8 ORDER BY p
+                  ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+              FROM {name}{k})""")
+            parts.append(f"""{name}{k + 1} AS (
+              SELECT g, p // 8 AS p, any_value(n) AS n,
+                CASE WHEN any_value(n) > {8**k} THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h
+              FROM {name}s{k} GROUP BY g, p // 8)""")
+
+    climb("a", levels)
+    parts.append(f"""b0 AS (
+      SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p,
+             count(*) OVER () AS n, h, g AS lang FROM a{levels})""")
+    climb("b", upper)
+    proof, fold, joins = "''", "told", ""
+    for k in range(levels):
+        joins += f" JOIN as{k} ON as{k}.g IS NOT DISTINCT FROM d.lang AND as{k}.p = d.p0 // {8**k}"
+    joins += f" JOIN a{levels} z ON z.g IS NOT DISTINCT FROM d.lang JOIN b0 ON b0.lang IS NOT DISTINCT FROM d.lang"
+    for k in range(upper):
+        joins += f" JOIN bs{k} ON bs{k}.p = b0.p // {8**k}"
+    for name, count, n in (("as", levels, "d.n"), ("bs", upper, "b0.n")):
+        for k in range(count):
+            real = f"{n} > {8**k}"
+            proof += f" || CASE WHEN {real} THEN {name}{k}.l || {name}{k}.r ELSE '' END"
+            fold = f"(SELECT CASE WHEN {real} THEN sha256({name}{k}.l || x || {name}{k}.r) ELSE x END FROM (SELECT {fold} AS x))"
+    return f"""{", ".join(parts)}, e AS (
+      SELECT d.doc_id, d.leaf, z.h AS subroot, (SELECT h FROM b{upper}) AS root,
+             sha256({proof}) AS proof_sha256, {fold} AS folded_root
+      FROM d {joins})
+    SELECT *, folded_root = root AS verified FROM e"""
+
+
+@query("op13_merkle_manifest", _sql_merkle(levels=7, upper=3))
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.row_digest(*rest, F.col("text"))
+    changed = merkle.row_digest(*rest, F.translate("text", CAPITALS, CAPITALS.lower()))
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    told = F.when(tampered, changed).otherwise(leaf)
+    found = merkle.build_manifest(docs, leaf, carried=[F.col("doc_id"), told.alias("told")])
+    back = merkle.folded(F.col("path"), F.col("told"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        back.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
