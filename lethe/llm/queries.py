@@ -15,12 +15,13 @@ from lethe.llm import (
     mixing,
     near_join,
     packing,
+    periodic,
     quality,
     sharding,
     token_files,
     topk,
 )
-from lethe.llm.common import table
+from lethe.llm.common import WHITE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,3 +338,88 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.proof_digest(F.col("path")).alias("proof_sha256"),
         back.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(
+    "op11_periodic_runs",
+    rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, doc_id, {_sql_crc32("doc_id::VARCHAR")} AS h,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), e AS (
+      SELECT *, (h // 10) % len(w) AS a, h % 10 = 0 AND len(w) > 0 AS cyclic FROM d
+    ), f AS (
+      SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM e
+    ), v AS (
+      SELECT row, doc_id, CASE WHEN cyclic THEN list_transform(range(len(w)),
+        lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w
+      FROM f
+    ), t AS (
+      SELECT row, unnest(range(len(w))) AS i, unnest(w) AS word,
+             unnest(list_transform(range(len(w)), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS gram
+      FROM v WHERE len(w) > 0
+    ), c AS (
+      SELECT row, max(i) AS last FROM t GROUP BY row
+    ), m AS (
+      SELECT x.row, x.i, y.i - x.i AS q,
+             x.i - row_number() OVER (PARTITION BY x.row, y.i - x.i ORDER BY x.i) AS stretch
+      FROM t x JOIN t y ON x.row = y.row AND x.gram = y.gram AND x.i < y.i JOIN c ON c.row = x.row
+      WHERE y.i + 7 <= c.last
+    ), s AS (
+      SELECT row, min(i) AS start, count(*) + 7 + q AS length, q FROM m GROUP BY row, q, stretch
+    ), r AS (
+      SELECT row, start, length, min(q) AS period FROM s
+      WHERE length >= 24 AND length >= 3 * q GROUP BY row, start, length
+    ), b AS (
+      SELECT row, count(*) AS n_runs,
+             first((start, length, period) ORDER BY length::DOUBLE / period DESC, start, period) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+      FROM r GROUP BY row
+    ), k AS (
+      SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM t
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.row = t.row
+                        AND r.start + r.period <= t.i AND t.i < r.start + r.length)
+      GROUP BY row
+    )
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1]::BIGINT AS start,
+           best[2]::BIGINT AS length, best[3]::BIGINT AS period,
+           (1000 * best[2] // best[3])::BIGINT AS exponent_milli,
+           sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM v LEFT JOIN b ON v.row = b.row LEFT JOIN k ON v.row = k.row
+    """,
+)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(with_cycles(docs).select("doc_id", "text"))
+    best = periodic.densest(F.col("runs"))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in every tenth document, by the hash of its id, the words from a
+    place on are replaced by repetitions of the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("*", h.alias("h"), F.floor(h / 10).alias("g")).withColumn(
+        "words",
+        F.when(
+            F.col("h") % 10 == 0,
+            F.filter(F.split("text", f"[{WHITE}]+"), lambda w: w != ""),
+        ),
+    )
+    n = F.nullif(F.size("words").cast("long"), F.lit(0))
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    rest = (n - a).cast("int")
+    cycle = F.slice("words", a + 1, p)
+    repeated = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), a), repeated), " ")
+    return chosen.withColumn("text", F.when(F.size("words") > 0, made).otherwise(F.col("text")))
