@@ -17,6 +17,7 @@ from lethe.llm import (
     packing,
     periodic,
     quality,
+    quality_rules,
     sharding,
     token_files,
     topk,
@@ -423,3 +424,20 @@ def with_cycles(docs: DataFrame) -> DataFrame:
     repeated = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / p).cast("int"))), F.lit(1), rest)
     made = F.array_join(F.concat(F.slice("words", F.lit(1), a), repeated), " ")
     return chosen.withColumn("text", F.when(F.size("words") > 0, made).otherwise(F.col("text")))
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterated estimates are not SQL; ``tests/llm/test_quality_rules.py`` recomputes them."""
+    found = quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "distance",
+    )
