@@ -50,7 +50,12 @@ from lethe.plans.replay import replay_request_log
 from lethe.plans.unlearn import batch_summary, run_unlearn_batch, unlearn_outcome
 from lethe.session import new_dir
 from lethe.sources.export import export_ledger_array, export_ledger_lines
-from lethe.sources.requests import read_ingest_payloads, read_unlearn_payloads
+from lethe.sources.requests import (
+    read_ingest_documents,
+    read_ingest_payloads,
+    read_unlearn_documents,
+    read_unlearn_payloads,
+)
 from lethe.sources.store import ShardedStore, touched_cells
 
 OPTIONS = EngineOptions(num_shards=SHARDS, dimension=DIMENSION, buckets=4)
@@ -311,8 +316,7 @@ def unlearn_after_crash(spark, sf_dir):
         run_unlearn_batch(dying, requests, EPOCH + 60, DEMO_KEY, source="s", batch=0)
     store.refresh()
     run_unlearn_batch(store, requests, EPOCH + 60, DEMO_KEY, source="s", batch=0)
-    reader = spark.read.option("recursiveFileLookup", "true").schema("entity_id string")
-    on_disk = reader.parquet(*[f"{store.root}/{t}" for t in ("vectors", "concept", "knowledge")])
+    on_disk = _rows_below(spark, store.root, ("vectors", "concept", "knowledge"))
     counts = on_disk.groupBy("entity_id").agg(F.count("*").alias("rows_on_disk"))
     certified = store.read("audit_certificates").select("entity_id").distinct()
     return (
@@ -328,6 +332,107 @@ def unlearn_after_crash(spark, sf_dir):
     )
 
 
+class _DiesBeforeTheSwitch(ShardedStore):
+    def _publish(self, manifest) -> None:
+        if manifest is not self.manifest:  # a commit, not the taking of the store
+            raise RuntimeError("died before the switch")
+        super()._publish(manifest)
+
+
+def _rows_below(spark, path, tables=("",)):
+    """Rows per entity in all files below some folders, whether anything refers to them or not."""
+    reader = spark.read.option("recursiveFileLookup", "true").schema("entity_id string")
+    return reader.parquet(*[f"{path}/{t}" for t in tables])
+
+
+@query(
+    "unlearn_leaves_no_copy",
+    f"""WITH lines AS (SELECT DISTINCT 'conv_' || conv_id AS entity_id FROM conversations)
+        SELECT entity_id, CAST(0 AS BIGINT) AS rows_on_disk, true AS certified FROM lines""",
+)
+def unlearn_leaves_no_copy(spark, sf_dir):
+    """Payload files are ingested, a second job of the same entities dies before its switch, then
+    all of them are purged: rows of each in any file of the store, and whether it is certified."""
+    store = new_store(spark)
+    found = read_ingest_payloads(spark, ingest_lines(spark, sf_dir))
+    run_ingest_batch(store, found.requests, EPOCH, source="one", batches=found.batches)
+    dying = _DiesBeforeTheSwitch(spark, store.root, store.options)
+    with suppress(RuntimeError):
+        run_ingest_batch(dying, found.requests, EPOCH, source="two", batches=found.batches)
+    entities = found.requests.groupBy("entity_id").agg(F.min("seq").alias("seq"))
+    requests = entities.select(F.lit("b").alias("batch_id"), "seq", "entity_id")
+    run_unlearn_batch(store, requests, EPOCH + 60, DEMO_KEY)
+    held = [t for t in ("vectors", "slots", "concept", "knowledge", "_staging") if store.has(t)]
+    counts = (
+        _rows_below(spark, store.root, held).groupBy("entity_id").agg(F.count("*").alias("n"))
+        if held
+        else spark.createDataFrame([], "entity_id string, n long")
+    )
+    certified = store.read("audit_certificates").select("entity_id").distinct()
+    return (
+        entities.select("entity_id")
+        .join(counts, "entity_id", "left")
+        .join(certified.withColumn("certified", F.lit(True)), "entity_id", "left")
+        .select(
+            "entity_id",
+            F.coalesce("n", F.lit(0)).alias("rows_on_disk"),
+            F.coalesce("certified", F.lit(False)).alias("certified"),
+        )
+    )
+
+
+def _documents(spark, payloads, per_file) -> str:
+    """A folder with one pretty-printed JSON array per group of rows."""
+    pretty = payloads.groupBy(per_file.alias("file")).agg(
+        F.to_json(F.sort_array(F.collect_list("request")), {"pretty": "true"}).alias("value")
+    )
+    path = new_dir(spark, "documents")
+    # A partition per file, as the text writer starts a new file for each.
+    pretty.write.partitionBy("file").text(path)
+    return path
+
+
+@query(
+    "ingest_from_documents",
+    """SELECT 'turn_' || conv_id || '_' || turn AS id, 'conv_' || conv_id AS entity_id
+       FROM conversations""",
+)
+def ingest_from_documents(spark, sf_dir):
+    """Files that hold one pretty-printed array each, of all turns of some conversations."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        F.struct(
+            F.concat_ws("_", F.lit("turn"), F.col("conv_id"), F.col("turn")).alias("id"),
+            text_of("conv_", F.col("conv_id")).alias("entity_id"),
+            "text",
+        ).alias("request"),
+    )
+    store = new_store(spark)
+    found = read_ingest_documents(spark, _documents(spark, turns, F.col("conv_id") % 16))
+    run_ingest_batch(store, found.requests, EPOCH, batches=found.batches)
+    return store.read("vectors").select("id", "entity_id")
+
+
+@query(
+    "unlearn_from_documents",
+    f"""WITH asked AS (SELECT 'user_' || (doc_id % {ENTITIES}) AS entity_id FROM labels),
+        held AS (SELECT 'user_' || (doc_id % {ENTITIES}) AS entity_id FROM documents)
+        SELECT entity_id, count(*) AS asked,
+          CAST(CASE WHEN entity_id IN (SELECT entity_id FROM held) THEN 1 ELSE 0 END AS BIGINT) AS purged
+        FROM asked GROUP BY entity_id""",
+)
+def unlearn_from_documents(spark, sf_dir):
+    """Pretty-printed arrays of ids, one per file: each stored entity is purged once."""
+    store = new_store(spark)
+    run_ingest_batch(store, document_requests(spark, sf_dir), EPOCH)
+    asked = table(spark, sf_dir, "labels").select("doc_id", user(F.col("doc_id")).alias("request"))
+    found = read_unlearn_documents(spark, _documents(spark, asked, F.col("doc_id") % 8))
+    result = run_unlearn_batch(store, found.requests, EPOCH + 60, DEMO_KEY, batches=found.batches)
+    return result.outcomes.groupBy("entity_id").agg(
+        F.count("*").alias("asked"), F.count_if(F.col("status_code") == 200).alias("purged")
+    )
+
+
 def _vector_store(spark, sf_dir) -> ShardedStore:
     """A store holding the embeddings."""
     store = new_store(spark)
@@ -366,7 +471,6 @@ def store_missing_shard(spark, sf_dir):
     change = store.begin()
     change.replace("vectors", store.read("vectors", odd).where(F.lit(False)), odd)
     change.commit()
-    store.vacuum(lease_seconds=0)
     counts = store.read("vectors").groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
     hubs = spark.range(SHARDS).select(F.col("id").cast("int").alias("shard_id"))
     return hubs.join(counts, "shard_id", "left").fillna(0, ["n"])

@@ -21,7 +21,7 @@ from lethe.functions.hashing import assign_shard
 from lethe.functions.text import error_message, non_blank, valid_identifier
 from lethe.operators import shards, validate
 from lethe.session import new_dir
-from lethe.sources.requests import ITEM_BITS, read_ingest_payloads, read_unlearn_payloads
+from lethe.sources.requests import read_ingest_payloads, read_unlearn_payloads
 
 _ID = r"^[a-zA-Z0-9_-]{3,64}$"
 _BLANK = r"[^\s\p{Z}\x{0B}\x{85}]"
@@ -59,10 +59,6 @@ def unlearn_lines(spark, sf_dir) -> str:
     return path
 
 
-def item_of(seq):
-    return seq.bitwiseAND(F.lit((1 << ITEM_BITS) - 1)).cast("int").alias("item")
-
-
 @query(
     "read_ingest_requests",
     """SELECT 0 AS item, 'turn_' || conv_id || '_' || turn AS id,
@@ -73,7 +69,7 @@ def item_of(seq):
 )
 def read_ingest_requests(spark, sf_dir):
     found = read_ingest_payloads(spark, ingest_lines(spark, sf_dir))
-    return found.requests.select(item_of(F.col("seq")), "id", "entity_id", "text")
+    return found.requests.select("item", "id", "entity_id", "text")
 
 
 @query(
@@ -84,7 +80,7 @@ def read_ingest_requests(spark, sf_dir):
 )
 def read_unlearn_requests(spark, sf_dir):
     found = read_unlearn_payloads(spark, unlearn_lines(spark, sf_dir))
-    return found.requests.select(item_of(F.col("seq")), "entity_id")
+    return found.requests.select("item", "entity_id")
 
 
 def _candidates(spark, sf_dir):

@@ -20,6 +20,17 @@ def with_cell(df: DataFrame, options: EngineOptions) -> DataFrame:
     )
 
 
+def slot_rows(located: DataFrame, options: EngineOptions) -> DataFrame:
+    """Entries of the slot index for rows with a cell: an id may come again for another entity
+    of its shard, so a slot is found by its id and names the cell of its owner."""
+    return located.select(
+        "id",
+        F.col("bucket").alias("owner_bucket"),
+        "shard_id",
+        assign_bucket(F.col("id"), options.buckets).alias("bucket"),
+    )
+
+
 def shard_hubs(spark, num_shards: int) -> DataFrame:
     """The hub node of every shard, empty ones included."""
     return spark.range(max(num_shards, 1)).select(

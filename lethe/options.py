@@ -18,8 +18,8 @@ class EngineOptions:
     shard into physical cells, the unit a purge rewrites, so its cost follows the cells that
     hold purged entities and not the size of the shard. ``input_partitions`` deals the requests
     of a batch out to so many tasks; unset, they stay as their files are split, which is right
-    for anything larger than a few splits. ``attempts`` is how often a batch is applied again
-    when another writer committed first.
+    for anything larger than a few splits. ``encode_batch`` is the number of texts an encoder gets
+    at a time.
     """
 
     num_shards: int = DEFAULT_SHARDS
@@ -27,7 +27,6 @@ class EngineOptions:
     buckets: int = 16
     encode_batch: int = 32
     input_partitions: int | None = None
-    attempts: int = 20
 
     def __post_init__(self) -> None:
         # A shard count of zero acts as one shard.

@@ -12,7 +12,7 @@ from lethe import messages
 from lethe.functions.annotate import rule_annotate
 from lethe.operators import graph, vectors
 from lethe.operators.embed import Encoder, embed_documents, hashing_encoder
-from lethe.operators.shards import with_cell
+from lethe.operators.shards import slot_rows, with_cell
 from lethe.operators.telemetry import ingest_events
 from lethe.operators.triplets import extract_triplets, triplet_rows
 from lethe.operators.validate import (
@@ -22,8 +22,7 @@ from lethe.operators.validate import (
     require_numbers,
     with_empty_batches,
 )
-from lethe.plans.unlearn import retried
-from lethe.sources.store import ShardedStore, touched_cells
+from lethe.sources.store import ShardedStore, Transaction, touched_cells
 
 
 @dataclass(frozen=True)
@@ -111,48 +110,67 @@ def run_ingest_batch(
     source: str | None = None,
     batch: int = 0,
     batches: DataFrame | None = None,
+    numbers: tuple[int, int] | None = None,
 ) -> IngestResult | None:
     """Validate, embed, extract and store request batches (batch_id, seq, id, entity_id, text).
 
     Requests apply in ``seq`` order. All tables switch in one commit, so a failed job leaves
     nothing behind. A (source, batch) that was already applied is skipped and gives None.
     ``batches`` lists all batches that arrived: one without a request is answered as empty,
-    or as malformed.
+    or as malformed. ``numbers`` are the sequence numbers the source gave this batch, kept for
+    the next one. Responses are kept until :meth:`ShardedStore.drop_results`, or until a purge
+    by another job.
     """
+    store.take()
     if source is not None and batch <= store.applied(source)["batch"]:
         return None
-    if source is not None:
-        store.drop_dead(source)
     require_numbers(requests)
-    verdicts = ingest_batch_verdicts(requests)
-    if batches is not None:
-        verdicts = with_empty_batches(verdicts, batches, messages.INGEST_EMPTY_BATCH)
-    verdicts = store.stage(verdicts)
-    items = store.stage(prepare(accepted(requests, verdicts), store, encoder, annotator))
-    good = items.where(F.col("error").isNull())
-    retried(store, lambda: _apply(store, good, as_of, source, batch))
-    responses = store.keep(ingest_responses(items), "responses")
-    answers = store.keep(batch_summary(verdicts, items), "batches")
-    store.drop_staged()
+    try:
+        verdicts = ingest_batch_verdicts(requests)
+        if batches is not None:
+            verdicts = with_empty_batches(verdicts, batches, messages.INGEST_EMPTY_BATCH)
+        verdicts = store.stage(verdicts)
+        items = store.stage(prepare(accepted(requests, verdicts), store, encoder, annotator))
+        good = items.where(F.col("error").isNull())
+        change = _changes(store, good, as_of)
+        change.commit(source, batch, numbers=numbers)
+        responses = store.keep(ingest_responses(items), "responses")
+        answers = store.keep(batch_summary(verdicts, items), "batches")
+    finally:
+        store.drop_staged()
     return IngestResult(responses, answers, ingest_events(responses))
 
 
-def _apply(
-    store: ShardedStore, good: DataFrame, as_of: int, source: str | None, batch: int
-) -> None:
-    """Write staged items into all tables on the state the store is in, and switch."""
-    change = store.begin(source)
+def _changes(store: ShardedStore, good: DataFrame, as_of: int) -> Transaction:
+    """Staged items for all tables of the store."""
+    change = store.begin()
 
-    # Vectors: rewrite only the cells that hold an overwritten slot, add everything else.
-    slots = store.stage(good.select(*vectors.SLOT).distinct())
-    overwritten = set()
-    if store.cells("vectors"):
-        stored = store.read("vectors").select(*vectors.SLOT, "bucket")
-        overwritten = touched_cells(stored.join(slots, vectors.SLOT, "left_semi"))
-    kept = store.read("vectors", overwritten).join(slots, vectors.SLOT, "left_anti")
+    # Vectors: the index tells which cells may hold an overwritten slot; of those only the files
+    # that do are rewritten, everything else is added. A batch of new ids opens no vectors.
+    slots = slot_rows(good, store.options).distinct()
+    overwritten: set[str] = set()
+    if store.cells("slots"):
+        slots = store.stage(slots)
+        known = store.read("slots", touched_cells(slots)).join(
+            slots.select(*vectors.SLOT).distinct(), vectors.SLOT, "left_semi"
+        )
+        owners = {
+            (r.shard_id, r.owner_bucket)
+            for r in known.select("shard_id", "owner_bucket").distinct().collect()
+        }
+        if owners:
+            keys = slots.select(*vectors.SLOT).distinct()
+            overwritten = store.files_with({"vectors": (owners, keys)}).get("vectors", set())
+            slots = slots.join(known.drop("bucket"), [*vectors.SLOT, "owner_bucket"], "left_anti")
     columns = ["id", "entity_id", "vector", "shard_id", "bucket"]
     latest = vectors.latest_per_slot(good.select(*columns, "seq")).select(*columns)
-    change.replace("vectors", kept.unionByName(latest), overwritten)
+    if overwritten:
+        kept = store.read_files("vectors", overwritten).join(
+            good.select(*vectors.SLOT).distinct(), vectors.SLOT, "left_anti"
+        )
+        latest = kept.unionByName(latest)
+    change.rewrite("vectors", latest, overwritten)
+    change.append("slots", slots)
 
     # Graph: nodes that are new, every edge, and no purge mark on entities with new knowledge.
     triplets = triplet_rows(good, *vectors.OWNER, "bucket")
@@ -180,7 +198,7 @@ def _apply(
             graph.clear_purge_marks(store.read("purged_from", marked), triplets),
             marked,
         )
-    change.commit(source, batch)
+    return change
 
 
 def run_ingest(store: ShardedStore, requests: DataFrame, as_of: int, **options):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from lethe import messages
 from lethe.operators import graph, vectors
 from lethe.operators.certificates import issue_certificates
-from lethe.operators.shards import with_cell
+from lethe.operators.shards import slot_rows, with_cell
 from lethe.operators.telemetry import unlearn_events
 from lethe.operators.validate import (
     accepted,
@@ -21,7 +20,7 @@ from lethe.operators.validate import (
     unlearn_error,
     with_empty_batches,
 )
-from lethe.sources.store import ConcurrentCommit, ShardedStore, WriteFailed, touched_cells
+from lethe.sources.store import ShardedStore, WriteFailed, touched_cells
 
 
 class UnlearnFailed(RuntimeError):
@@ -51,17 +50,6 @@ def reporting():
         ) from error
 
 
-def retried(store: ShardedStore, apply: Callable[[], None]) -> None:
-    """Apply a change again on the new state when another writer committed first."""
-    for attempt in range(store.options.attempts):
-        try:
-            return apply()
-        except ConcurrentCommit:
-            if attempt + 1 == store.options.attempts:
-                raise
-            store.refresh()
-
-
 @dataclass(frozen=True)
 class UnlearnResult:
     outcomes: DataFrame  # one row per request of an accepted batch
@@ -124,25 +112,37 @@ def batch_summary(verdicts: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def _purge(store: ShardedStore, outcomes: DataFrame, as_of: int, source, batch) -> None:
+PURGED = ("vectors", "knowledge", "concept")
+
+
+def _purge(store: ShardedStore, outcomes: DataFrame, cells, as_of: int, record: tuple) -> None:
     """Erase the successful requests' entities and record it, in one commit.
 
-    An entity's cell follows from its id, so only cells of purged entities are read or
-    rewritten; all other files of the store are not even opened.
+    An entity's cell follows from its id, so only cells of requested entities are searched, by
+    their key columns; of those, only files that hold a purged entity are read whole and
+    rewritten. All other files of the store are not even opened.
     """
-    options = store.options
     purged = outcomes.where(F.col("status_code") == 200).select(
         "seq", "entity_id", "shard_id", "bucket"
     )
-    cells = touched_cells(purged)
     owners = purged.select(*vectors.OWNER).distinct()
-    change = store.begin(source)
-    if cells:
-        for table in ("vectors", "knowledge", "concept"):
-            held = cells & store.cells(table)
-            if held:
-                kept = vectors.purge_vectors(store.read(table, held), owners)
-                change.replace(table, kept, held)
+    change = store.begin()
+    files = store.files_with({table: (cells, owners) for table in PURGED})
+    for table, held in files.items():
+        kept = vectors.purge_vectors(store.read_files(table, held), owners)
+        change.rewrite(table, kept, held)
+    if "vectors" in files:
+        gone = store.stage(
+            slot_rows(
+                vectors.entity_vectors(store.read_files("vectors", files["vectors"]), owners),
+                store.options,
+            )
+        )
+        ids = gone.select(*vectors.SLOT).distinct()
+        entries = store.files_with({"slots": (touched_cells(gone), ids)}).get("slots", set())
+        left = store.read_files("slots", entries).join(ids, vectors.SLOT, "left_anti")
+        change.rewrite("slots", left, entries)
+    if files:
         now = F.timestamp_seconds(F.lit(as_of))
         stamped = purged.withColumn("timestamp", now).withColumn("updated_at", now)
         change.append("purged_from", stamped)
@@ -154,8 +154,9 @@ def _purge(store: ShardedStore, outcomes: DataFrame, as_of: int, source, batch)
         hubs = graph.upsert_nodes(shards, stamped, ["shard_id"])
         change.replace("shard", hubs.withColumn("bucket", F.lit(0)), store.cells("shard"))
     change.append("unlearn_log", outcomes.withColumn("timestamp_epoch", F.lit(as_of)))
+    source, batch, numbers = record
     with reporting():
-        change.commit(source, batch, "purged")
+        change.commit(source, batch, "purged", numbers)
 
 
 def run_unlearn_batch(
@@ -166,64 +167,63 @@ def run_unlearn_batch(
     source: str = "unlearn",
     batch: int | None = None,
     batches: DataFrame | None = None,
+    numbers: tuple[int, int] | None = None,
 ) -> UnlearnResult | None:
     """Purge the entities of request batches (batch_id, seq, entity_id).
 
-    The purge is committed, and the files that held the purged rows are seen to be gone, before
-    any certificate exists, so none can vouch for live data. A job that died in between deletes
-    and certifies on its next run what it had purged. A (source, batch) that is already
-    certified is skipped and gives None; by default batches count upwards. ``batches`` lists
-    all batches that arrived: one without a request is answered as empty, or as malformed.
+    The purge is committed first. Then every copy of the purged rows is erased and seen to be
+    gone: superseded files, what other jobs wrote without committing it, what they staged, and
+    the responses they kept. Only then a certificate is made, so none can vouch for live data.
+    A job that died in between erases and certifies on its next run what it had purged. A
+    (source, batch) that is already certified is skipped and gives None; by default batches
+    count upwards. ``batches`` lists all batches that arrived: one without a request is answered
+    as empty, or as malformed. ``numbers`` as for ingest.
     """
+    store.take()
     state = store.applied(source)
     if batch is None:
         batch = state["batch"] + (1 if state["phase"] == "done" else 0)
     if batch < state["batch"] or (batch == state["batch"] and state["phase"] == "done"):
         return None
-    store.drop_dead(source)
     tag = f"{source}/{batch}"
     require_numbers(requests)
-    verdicts = unlearn_batch_verdicts(requests)
-    if batches is not None:
-        verdicts = with_empty_batches(verdicts, batches, messages.UNLEARN_EMPTY_BATCH)
-    verdicts = store.keep(verdicts, "verdicts")
-    if batch != state["batch"]:
-        located = with_cell(accepted(requests, verdicts), store.options)
-        wanted = store.stage(
-            located.select("batch_id", "seq", "entity_id", "shard_id", "bucket")
-        )
-        cells = touched_cells(wanted)
-
-        def purge() -> None:
-            outcomes = store.stage(
+    try:
+        verdicts = unlearn_batch_verdicts(requests)
+        if batches is not None:
+            verdicts = with_empty_batches(verdicts, batches, messages.UNLEARN_EMPTY_BATCH)
+        verdicts = store.keep(verdicts, "verdicts")
+        if batch != state["batch"]:
+            located = with_cell(accepted(requests, verdicts), store.options)
+            wanted = store.stage(
+                located.select("batch_id", "seq", "entity_id", "shard_id", "bucket")
+            )
+            cells = touched_cells(wanted)
+            done = store.stage(
                 unlearn_outcome(
                     wanted, store.read("vectors", cells), store.read("concept", cells)
                 ).withColumn("request_source", F.lit(tag))
             )
-            _purge(store, outcomes, as_of, source, batch)
-
-        retried(store, purge)
-
-    store.erase()
-    done = store.read("unlearn_log").where(F.col("request_source") == tag)
-    purges = done.where(F.col("status_code") == 200).select(
-        "entity_id", "shard_id", "bucket", "timestamp_epoch", "seq"
-    )
-    try:
-        signed = store.stage(with_cell(issue_certificates(purges, private_key), store.options))
-    except Exception as error:
-        raise UnlearnFailed(messages.AUDIT_PERSIST_FAILED, error) from error
-
-    def certify() -> None:
-        change = store.begin(source)
+            _purge(store, done, cells, as_of, (source, batch, numbers))
+            done = done.withColumn("timestamp_epoch", F.lit(as_of).cast("long"))
+        else:
+            done = store.read("unlearn_log").where(F.col("request_source") == tag)
+
+        store.sweep(results=True)
+        purges = done.where(F.col("status_code") == 200).select(
+            "entity_id", "shard_id", "bucket", "timestamp_epoch", "seq"
+        )
+        try:
+            signed = store.stage(with_cell(issue_certificates(purges, private_key), store.options))
+        except Exception as error:
+            raise UnlearnFailed(messages.AUDIT_PERSIST_FAILED, error) from error
+        change = store.begin()
         change.append("audit_certificates", signed)
         with reporting():
-            change.commit(source, batch, "done")
-
-    retried(store, certify)
-    certificates = store.keep(signed.drop("bucket"), "certificates")
-    outcomes = store.keep(done.drop("bucket", "request_source"), "outcomes")
-    store.drop_staged()
+            change.commit(source, batch, "done", numbers)
+        certificates = store.keep(signed.drop("bucket"), "certificates")
+        outcomes = store.keep(done.drop("bucket", "request_source"), "outcomes")
+    finally:
+        store.drop_staged()
     return UnlearnResult(
         outcomes, certificates, batch_summary(verdicts, outcomes), unlearn_events(certificates)
     )

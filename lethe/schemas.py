@@ -56,6 +56,8 @@ UNLEARN_LOG = _struct(
     timestamp_epoch=_L,
     request_source=_S,
 )
+# Which cell of its shard the vector of an id lies in; laid out by a hash of the id.
+SLOTS = _struct(id=_S, owner_bucket=_I, shard_id=_I)
 EVENT = _struct(
     seq=_L,
     ord=_I,
@@ -66,6 +68,7 @@ EVENT = _struct(
 # Tables kept by the store. All of them are laid out by (shard_id, bucket).
 STORED = {
     "vectors": VECTORS,
+    "slots": SLOTS,
     "concept": CONCEPT,
     "knowledge": KNOWLEDGE,
     "entity": ENTITY,

@@ -1,10 +1,14 @@
 """Request readers: payloads in the wire form (JSON text), or request tables.
 
-A payload is one line: an object or an array of objects for ingest, an object with an
-``entity_id`` or a bare array of ids for unlearn. Every payload is a batch. Batch ids and
-sequence numbers follow from the file's path and the position in it, not from how Spark splits
-the files, so a repeated read numbers the same. Nothing is dropped: a payload that is not valid,
-and one that is empty, are listed among the batches for the jobs to answer.
+A payload is a line of text, or with the document readers a whole file: an object or an array
+of objects for ingest, an object with an ``entity_id`` or a bare array of ids for unlearn. Every
+payload is a batch. Batch ids and sequence numbers follow from the file's path and the position
+in it, not from how Spark splits the files, so a repeated read gives the same batch ids, and
+sequence numbers in the same order. Nothing is dropped: a payload that is not valid, and one
+that is empty, are listed among the batches for the jobs to answer.
+
+Payload texts are never copied: numbers come from counts per file piece, and the texts are read
+where they lie. What jobs store of them is theirs to erase.
 """
 
 from __future__ import annotations
@@ -15,17 +19,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe import schemas
-from lethe.session import materialise
+from lethe.operators.ranks import with_running_sum
 
-ITEM_BITS = 20  # requests of one payload; its number stands above them
+BLANK = " \t\r\n"
 
 
 @dataclass(frozen=True)
 class Payloads:
-    """Requests with ``batch_id`` and ``seq``, and every batch with whether it was readable."""
+    """Requests with ``batch_id``, ``seq`` and the ``item`` of their batch, every batch with
+    whether it was readable, and the first sequence number that is still free."""
 
     requests: DataFrame
     batches: DataFrame  # batch_id, malformed
+    end: int
 
 
 def parse_ingest_payload(payload: Column) -> Column:
@@ -39,9 +45,10 @@ def parse_ingest_payload(payload: Column) -> Column:
 def parse_unlearn_payload(payload: Column) -> Column:
     """Array of entity ids from ``{"entity_id": …}`` or from a bare JSON array of ids."""
     single = F.from_json(payload, schemas.UNLEARN_PAYLOAD)["entity_id"]
-    named = F.get_json_object(payload, "$").isNotNull() & F.startswith(F.ltrim(payload), F.lit("{"))
+    start = F.ltrim(payload, F.lit(BLANK))
+    named = F.get_json_object(payload, "$").isNotNull() & F.startswith(start, F.lit("{"))
     return F.when(
-        F.startswith(F.ltrim(payload), F.lit("[")), F.from_json(payload, "array<string>")
+        F.startswith(start, F.lit("[")), F.from_json(payload, "array<string>")
     ).otherwise(F.when(named, F.array(single)))
 
 
@@ -65,95 +72,104 @@ def explode_unlearn(requests: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def text_lines(reader_or_spark, path: str) -> DataFrame:
-    """``payload, file, block``: lines of text files, batch or stream, that are not blank."""
+def payload_texts(reader_or_spark, path: str, whole_files: bool = False) -> DataFrame:
+    """``payload, file, block``: lines of text files, or whole files, batch or stream, that are
+    not blank."""
     return (
-        reader_or_spark.text(path)
+        reader_or_spark.text(path, wholetext=whole_files)
         .select(
             F.col("value").alias("payload"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
         )
-        .where(F.length(F.trim("payload")) > 0)
+        .where(F.length(F.btrim("payload", F.lit(BLANK))) > 0)
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add ``number``, from 0 in the order of file and position, and ``batch_id``.
+PIECE = ["file", "block"]
 
-    Lines are written once with the order they were read in. A piece of a file is read by one
-    task from its beginning, so its lines need only the count of all pieces before it: one row
-    per file split is accumulated, never the lines.
+
+def number_payloads(texts: DataFrame, n_items: Column) -> tuple[DataFrame, int, int]:
+    """Adds ``batch_id`` and ``number``, from 0 in the order of file and position; also the
+    number of payloads, and the most items that one of them has.
+
+    A piece of a file is read by one task from its beginning, so a payload's place in it is the
+    distance to the piece's first row number. What is written and accumulated is one row of
+    counts per piece: no text is copied or shuffled.
     """
-    read = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "payloads")
-    pieces = read.groupBy("file", "block").agg(
-        F.min("row").alias("first_row"), F.count("*").alias("n")
-    )
-    ahead = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(
-        "file",
-        "block",
-        "first_row",
-        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"),
-        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("before_in_file"),
+    rows = texts.withColumn("row", F.monotonically_increasing_id())
+    pieces = rows.groupBy(*PIECE).agg(
+        F.min("row").alias("first_row"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(n_items).alias("most"),
     )
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("in_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    starts = with_running_sum(placed, PIECE, value="n")
+    found = starts.agg(F.sum("n"), F.max("most")).first()
     place = F.col("row") - F.col("first_row")
-    return read.join(starts, ["file", "block"]).select(
-        "payload",
+    numbered = rows.join(starts, PIECE).select(
+        *texts.columns,
+        F.concat_ws(":", "file", (F.col("in_file") + place).cast("string")).alias("batch_id"),
         (F.col("before") + place).alias("number"),
-        F.concat_ws(":", "file", (F.col("before_in_file") + place).cast("string")).alias("batch_id"),
     )
+    return numbered, found[0] or 0, max(found[1] or 0, 1)
 
 
-def _payloads(lines: DataFrame, first_seq: int, most: int | None, parse, explode) -> Payloads:
-    numbered = number_lines(lines)
+def _payloads(texts: DataFrame, first_seq: int, parse, explode) -> Payloads:
+    """Each payload has as many sequence numbers as the largest one has items, so there is no
+    limit to the length of a payload, and splits do not matter."""
+    n_items = F.greatest(F.coalesce(F.size(parse(F.col("payload"))), F.lit(0)), F.lit(0))
+    numbered, count, most = number_payloads(texts, n_items.cast("long"))
     rows = explode(numbered.select("batch_id", "number", "payload"))
-    fits = F.col("item") < F.lit(1 << ITEM_BITS)
-    if most is not None:
-        fits = fits & (F.col("number") < F.lit(most))
-    # Numbers of another payload must not be given a second time.
-    seq = F.when(
-        fits, F.lit(first_seq) + F.shiftleft("number", ITEM_BITS) + F.col("item")
-    ).otherwise(
-        F.raise_error(
-            F.concat(F.lit("no sequence numbers left: item "), "item", F.lit(" of payload "), "batch_id")
-        ).cast("long")
-    )
     fields = [c for c in rows.columns if c not in ("batch_id", "number", "item")]
+    seq = F.lit(first_seq).cast("long") + F.col("number") * most + F.col("item")
     return Payloads(
-        rows.select("batch_id", seq.alias("seq"), *fields),
+        rows.select("batch_id", seq.alias("seq"), "item", *fields),
         numbered.select("batch_id", parse(F.col("payload")).isNull().alias("malformed")),
+        first_seq + count * most,
     )
 
 
-def ingest_payloads(lines: DataFrame, first_seq: int = 0, most: int | None = None) -> Payloads:
-    """A payload of over ``1 << ITEM_BITS`` requests, and one after ``most``, is an error."""
-    return _payloads(lines, first_seq, most, parse_ingest_payload, explode_ingest)
+def ingest_payloads(texts: DataFrame, first_seq: int = 0) -> Payloads:
+    return _payloads(texts, first_seq, parse_ingest_payload, explode_ingest)
 
 
-def unlearn_payloads(lines: DataFrame, first_seq: int = 0, most: int | None = None) -> Payloads:
-    """A payload of over ``1 << ITEM_BITS`` requests, and one after ``most``, is an error."""
-    return _payloads(lines, first_seq, most, parse_unlearn_payload, explode_unlearn)
+def unlearn_payloads(texts: DataFrame, first_seq: int = 0) -> Payloads:
+    return _payloads(texts, first_seq, parse_unlearn_payload, explode_unlearn)
 
 
 def read_ingest_payloads(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:
     """Ingest payloads of text files, one to a line; pass both parts to the ingest job."""
-    return ingest_payloads(text_lines(spark.read, path), first_seq)
+    return ingest_payloads(payload_texts(spark.read, path), first_seq)
 
 
 def read_unlearn_payloads(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:
-    return unlearn_payloads(text_lines(spark.read, path), first_seq)
+    return unlearn_payloads(payload_texts(spark.read, path), first_seq)
+
+
+def read_ingest_documents(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:
+    """As :func:`read_ingest_payloads` for files that hold one payload each, over any number of
+    lines. A file is parsed by one task."""
+    return ingest_payloads(payload_texts(spark.read, path, whole_files=True), first_seq)
+
+
+def read_unlearn_documents(spark: SparkSession, path: str, first_seq: int = 0) -> Payloads:
+    return unlearn_payloads(payload_texts(spark.read, path, whole_files=True), first_seq)
 
 
 def stream_payloads(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    files_per_trigger: int | None = None,
+    whole_files: bool = False,
 ) -> DataFrame:
-    """Payload lines as a stream, objects and arrays, for the streaming jobs to number."""
+    """Payloads as a stream, objects and arrays, a line or a file each, for the streaming jobs
+    to number."""
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return text_lines(reader, path)
+    return payload_texts(reader, path, whole_files)
 
 
 def read_ingest_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -161,11 +177,6 @@ def read_ingest_requests(spark: SparkSession, path: str, fmt: str = "json") -> D
     return spark.read.schema(schemas.INGEST_REQUEST).format(fmt).load(path)
 
 
-def read_ingest_documents(spark: SparkSession, path: str) -> DataFrame:
-    """As :func:`read_ingest_requests` for files holding one pretty-printed object or array."""
-    return spark.read.schema(schemas.INGEST_REQUEST).json(path, multiLine=True)
-
-
 def read_unlearn_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(schemas.UNLEARN_REQUEST).format(fmt).load(path)
 

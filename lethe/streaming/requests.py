@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from lethe.plans.ingest import run_ingest_batch
-from lethe.plans.unlearn import retried, run_unlearn_batch
-from lethe.sources.requests import ITEM_BITS, ingest_payloads, unlearn_payloads
+from lethe.plans.unlearn import run_unlearn_batch
+from lethe.sources.requests import ingest_payloads, unlearn_payloads
 from lethe.sources.store import ShardedStore
 
 
@@ -28,17 +28,25 @@ def stream_ingest(
     ``name`` belongs to one checkpoint. ``clock`` gives the epoch second of a micro-batch.
     ``on_events`` may write the batch's events on before its results are dropped. Each
     ``compact_every`` micro-batches, cells in many pieces are rewritten, which bounds their
-    files and the manifest. A stream of payload lines (:func:`stream_payloads`) is numbered
-    per micro-batch.
+    files and the manifest. A stream of payloads (:func:`stream_payloads`) is numbered on from
+    the last number of the micro-batch before, which the store keeps.
     """
 
     def apply(rows: DataFrame, batch: int) -> None:
-        store.refresh()
+        store.take()
         if batch % compact_every == compact_every - 1:
-            retried(store, store.compact)
-        requests, batches = _numbered(rows, batch, ingest_payloads)
+            store.compact()
+        numbers = store.numbers(name, batch)
+        requests, batches, end = _numbered(rows, numbers, ingest_payloads)
         result = run_ingest_batch(
-            store, requests, clock(batch), source=name, batch=batch, batches=batches, **options
+            store,
+            requests,
+            clock(batch),
+            source=name,
+            batch=batch,
+            batches=batches,
+            numbers=(numbers, end),
+            **options,
         )
         _hand_over(store, result, on_events)
 
@@ -57,28 +65,30 @@ def stream_unlearn(
     purge is certified when it is replayed."""
 
     def apply(rows: DataFrame, batch: int) -> None:
-        store.refresh()
-        requests, batches = _numbered(rows, batch, unlearn_payloads)
+        store.take()
+        numbers = store.numbers(name, batch)
+        requests, batches, end = _numbered(rows, numbers, unlearn_payloads)
         result = run_unlearn_batch(
-            store, requests, clock(batch), private_key, source=name, batch=batch, batches=batches
+            store,
+            requests,
+            clock(batch),
+            private_key,
+            source=name,
+            batch=batch,
+            batches=batches,
+            numbers=(numbers, end),
         )
         _hand_over(store, result, on_events)
 
     return requests.writeStream.queryName(name).foreachBatch(apply)
 
 
-BATCH_BITS = 40  # sequence numbers of one micro-batch of payloads
-
-
-def _numbered(rows: DataFrame, batch: int, parse) -> tuple[DataFrame, DataFrame | None]:
-    """Requests and their batches; request tables are taken as they are.
-
-    More payload lines than a micro-batch has numbers for are an error, never numbered twice.
-    """
+def _numbered(rows: DataFrame, first: int, parse) -> tuple[DataFrame, DataFrame | None, int]:
+    """Requests, their batches, and the next free number; request tables are taken as they are."""
     if "payload" not in rows.columns:
-        return rows, None
-    found = parse(rows, first_seq=batch << BATCH_BITS, most=1 << (BATCH_BITS - ITEM_BITS))
-    return found.requests, found.batches
+        return rows, None, first
+    found = parse(rows, first_seq=first)
+    return found.requests, found.batches, found.end
 
 
 def _hand_over(store: ShardedStore, result, on_events) -> None:

@@ -98,15 +98,16 @@ def test_request_files(spark, tmp_path):
     assert sorted(r.id for r in lines.collect()) == ["a", "b"]
     assert lines.schema == schemas.INGEST_REQUEST
     array = requests.read_ingest_documents(spark, str(tmp_path / "array.json"))
-    assert sorted(r.id for r in array.collect()) == ["c", "d"]
+    assert [(r.seq, r.id) for r in array.requests.orderBy("seq").collect()] == [(0, "c"), (1, "d")]
+    assert [r.malformed for r in array.batches.collect()] == [False] and array.end == 2
     (tmp_path / "asked").mkdir()
     (tmp_path / "asked" / "b.txt").write_text('["a", "b"]\n{"entity_id": "c"}\n\n{"entity\n[]\n')
     (tmp_path / "asked" / "a.txt").write_text('{"entity_id": "d"}\n')
     found = requests.read_unlearn_payloads(spark, str(tmp_path / "asked"), first_seq=7)
     asked = found.requests.orderBy("seq").collect()
     assert [r.entity_id for r in asked] == ["d", "a", "b", "c"]
-    step = 1 << requests.ITEM_BITS
-    assert [r.seq for r in asked] == [7, 7 + step, 8 + step, 7 + 2 * step]
+    # Two numbers per payload, as the largest has two items, for all five of them.
+    assert [r.seq for r in asked] == [7, 9, 10, 11] and found.end == 7 + 2 * 5
     names = {r.batch_id.rsplit("/", 1)[1]: r.malformed for r in found.batches.collect()}
     assert names == {"a.txt:0": False, "b.txt:0": False, "b.txt:1": False, "b.txt:2": True, "b.txt:3": False}
 
