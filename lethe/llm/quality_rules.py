@@ -223,11 +223,34 @@ def _concentrate(distances: DataFrame, label: str) -> DataFrame:
     return written(summed.mapInPandas(_estimates, ESTIMATE), label)
 
 
-def _first_distances(rows: DataFrame) -> DataFrame:
+BROADCAST_GROUPS = 10_000  # rows of a few hundred bytes
+SALTS = 64
+
+
+def _each_salt() -> Column:
+    return F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))
+
+
+def _of_group(rows: DataFrame, values: DataFrame, few: bool) -> DataFrame:
+    """Rows with the values of their group ``g``, of which there is one row each (and start).
+
+    A few groups are sent to all tasks. Beyond ``BROADCAST_GROUPS`` the values are repeated for
+    each salt, so that a group with a third of the rows meets them in ``SALTS`` places.
+    """
+    if few:
+        return rows.join(F.broadcast(values), "g")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)))
+    copies = values.withColumn("salt", _each_salt())
+    return salted.join(copies, ["g", "salt"]).drop("salt")
+
+
+def _first_distances(rows: DataFrame, few: bool) -> DataFrame:
     """Two starts: features by median and median deviation, summed up, and the largest of them.
     Features are whole numbers of a few thousand values, so medians are exact counts."""
-    medians = rows.groupBy("g").agg(F.array(*[F.median(n) for n in FEATURES]).alias("medians"))
-    off = rows.join(medians, "g").select(
+    medians = written(
+        rows.groupBy("g").agg(F.array(*[F.median(n) for n in FEATURES]).alias("medians")), "medians"
+    )
+    off = _of_group(rows, medians, few).select(
         "*", *[F.abs(F.col(n) - F.col("medians")[i]).alias(f"off{i}") for i, n in enumerate(FEATURES)]
     )
     spread = off.groupBy("g").agg(
@@ -238,13 +261,13 @@ def _first_distances(rows: DataFrame) -> DataFrame:
             ]
         ).alias("spreads")
     )
-    known = written(medians.join(spread, "g"), "medians")
+    known = written(medians.join(spread, "g"), "spreads")
     each = [
         F.pow((F.col(n) - F.col("medians")[i]) / F.col("spreads")[i], F.lit(2))
         for i, n in enumerate(FEATURES)
     ]
     starts = F.array(sum(each, F.lit(0.0)), F.greatest(*each))
-    return rows.join(known, "g").select(
+    return _of_group(rows, known, few).select(
         "g", *FEATURES, F.posexplode(starts).alias("start", "distance")
     )
 
@@ -286,12 +309,12 @@ def group_numbers(rows: DataFrame) -> DataFrame:
     return a.join(b, same).select("a.lang", "a.source", "b.g")
 
 
-def least_determinants(rows: DataFrame) -> DataFrame:
+def least_determinants(rows: DataFrame, few: bool) -> DataFrame:
     """Final estimate per group (``g`` and features): of two starts, each concentrated until no
     determinant falls any more, the one of least determinant, weighted again over its inliers."""
-    estimates = _concentrate(_first_distances(rows), "start")
+    estimates = _concentrate(_first_distances(rows, few), "start")
     for _ in range(MAX_STEPS):
-        both = rows.join(estimates.select("g", "start", "mean", "inverse"), "g")
+        both = _of_group(rows, estimates.select("g", "start", "mean", "inverse"), few)
         stepped = _concentrate(
             both.withColumn("distance", _distance(F.col("mean"), F.col("inverse"))), "step"
         )
@@ -312,7 +335,7 @@ def least_determinants(rows: DataFrame) -> DataFrame:
     chosen = written(estimates.groupBy("g").agg(best.alias("e")).select("g", "e.*"), "best")
     size = len(FEATURES)
     usual = F.greatest(F.col("median") / chi_square_quantile(0.5, size), F.lit(1.0))
-    inside = rows.join(chosen, "g").where(
+    inside = _of_group(rows, chosen, few).where(
         _distance(F.col("mean"), F.col("inverse")) <= usual * chi_square_quantile(INLIERS, size)
     )
     summed = _sums(inside, "g").select(
@@ -361,19 +384,36 @@ def judge_documents(
     groups = group_numbers(stats.where(~F.col("base_failed"))).select(
         F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g"
     )
+    groups = written(groups, "numbered")
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    if few:
+        salt = F.lit(0).cast("long")
+        groups = F.broadcast(groups.withColumn("g_salt", salt))
+    else:
+        salt = F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS))
+        groups = groups.withColumn("g_salt", _each_salt())
     rows = written(
-        stats.join(
+        stats.withColumn("salt", F.when(~F.col("base_failed"), salt))
+        .join(
             groups,
-            ~F.col("base_failed")
-            & F.col("lang").eqNullSafe(F.col("g_lang"))
-            & F.col("source").eqNullSafe(F.col("g_source")),
+            F.col("lang").eqNullSafe(F.col("g_lang"))
+            & F.col("source").eqNullSafe(F.col("g_source"))
+            & (F.col("salt") == F.col("g_salt")),
             "left",
-        ).select(*inner, *STATISTICS, *FEATURES, "base_failed", "g"),
+        )
+        .select(*inner, *STATISTICS, *FEATURES, "base_failed", "g"),
         "judged",
     )
-    estimates = least_determinants(rows.where("g IS NOT NULL").select("g", *FEATURES))
-    judged = rows.join(estimates, "g", "left").withColumn(
-        "distance", _distance(F.col("mean"), F.col("inverse"))
+    in_groups = rows.where("g IS NOT NULL")
+    estimates = least_determinants(in_groups.select("g", *FEATURES), few)
+    # Rows without a group, of which no two need to meet, are told apart from those with one.
+    alone = rows.where("g IS NULL").select(
+        "*", F.lit(None).cast("array<double>").alias("mean"), F.lit(None).cast("array<double>").alias("inverse")
+    )
+    judged = (
+        _of_group(in_groups, estimates, few)
+        .unionByName(alone)
+        .withColumn("distance", _distance(F.col("mean"), F.col("inverse")))
     )
     inside = F.coalesce(
         F.col("distance") <= chi_square_quantile(OUTLIERS, len(FEATURES)), F.lit(True)

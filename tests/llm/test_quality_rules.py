@@ -168,7 +168,9 @@ def test_query_is_brute_force_on_given_documents(spark):
     assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.35
 
 
-def test_groups_of_their_own_and_shared_ones(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_groups_of_their_own_and_shared_ones(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_GROUPS", broadcast)
     rows = []
     for i in range(400):
         source = "hot" if i % 2 else f"s{i % 40}"
