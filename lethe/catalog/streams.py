@@ -22,7 +22,7 @@ from lethe.catalog.inputs import (
 from lethe.catalog.jobs import _MISSING, new_store
 from lethe.catalog.telemetry import _FEED, _NODES
 from lethe.plans.ingest import run_ingest_batch
-from lethe.session import keyed_state, new_dir
+from lethe.session import new_dir
 from lethe.streaming import requests as request_streams
 from lethe.streaming import telemetry
 
@@ -130,10 +130,12 @@ def stream_node_state(spark, sf_dir):
     return telemetry.nodes_from_updates(first, deletes)
 
 
-def _changes(spark, sf_dir):
+def _folded(spark, sf_dir) -> str:
+    """Folder of the change log and totals after the whole event log."""
     events = event_log_of(stream_table(spark, sf_dir, "events"))
-    with keyed_state(spark):
-        return to_files(spark, telemetry.stream_node_changes(events))
+    folder = new_dir(spark, "nodes")
+    drain(spark, telemetry.stream_node_changes(events, folder))
+    return folder
 
 
 @query(
@@ -141,7 +143,8 @@ def _changes(spark, sf_dir):
     f"WITH {_NODES} SELECT entity_id, id, shard_id, created_seq, status FROM nodes",
 )
 def stream_node_changes(spark, sf_dir):
-    return telemetry.nodes_from_changes(_changes(spark, sf_dir))
+    changes = telemetry.read_node_changes(spark, _folded(spark, sf_dir))
+    return telemetry.nodes_from_changes(changes)
 
 
 @query("stream_certificate_dedup", f"WITH {_FEED} SELECT * FROM feed")
@@ -159,16 +162,5 @@ def stream_certificate_dedup(spark, sf_dir):
           (SELECT h FROM root) AS latest_merkle_root FROM nodes""",
 )
 def stream_metrics(spark, sf_dir):
-    """The node change log, itself written by a stream, and the events, folded in one row."""
-    written = _changes(spark, sf_dir)
-    path = written.inputFiles()[0].rsplit("/", 1)[0]
-    changes = spark.readStream.schema(telemetry.CHANGE).parquet(path)
-    events = event_log_of(stream_table(spark, sf_dir, "events"))
-    target = new_dir(spark, "metrics")
-
-    def publish(rows, batch):
-        rows.write.mode("overwrite").parquet(target)
-
-    metrics = telemetry.stream_metrics(changes, events, SHARDS)
-    drain(spark, metrics.writeStream.outputMode("complete").foreachBatch(publish))
-    return spark.read.parquet(target)
+    """Running totals, to which every micro-batch adds its changes."""
+    return telemetry.read_metrics(spark, _folded(spark, sf_dir), SHARDS)

@@ -13,21 +13,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lethe import messages
+from lethe.operators.ranks import with_running_sum
 from lethe.operators.vectors import OWNER, SLOT
 
-SPAN = 1 << 18  # sequence numbers per bucket
+SPAN = 1 << 18  # rows of the log per span
+
+
+def ranked(log: DataFrame) -> DataFrame:
+    """Adds ``_rank``, the place in the order of ``seq``. Only the numbers are ordered and
+    written; they may be as sparse as they like."""
+    places = with_running_sum(log.select("seq"), ["seq"], before="_rank")
+    return log.join(places, "seq")
 
 
 def next_seq(df: DataFrame, keys: list[str], wanted: str, out: str, span: int = SPAN):
     """Adds ``out``: the smallest ``seq`` above the row's own, same keys, where ``wanted``.
 
     A window per key would put a key with a third of the log into one task. The log is cut
-    into spans of ``seq``: the window runs per key and span, at most ``span`` rows since
-    ``seq`` is unique, and a second one over one row per key and non-empty span supplies the
-    first match in a later span. Both run backwards, where the running minimum is linear.
+    into spans of so many rows by the rank of ``seq`` (:func:`ranked`): the window runs per key
+    and span, and a second one over one row per key and non-empty span supplies the first match
+    in a later span. Both run backwards, where the running minimum is linear.
     """
     cell = [*keys, "_span"]
-    cut = df.withColumn("_span", F.floor(F.col("seq") / span)).withColumn(
+    if "_rank" not in df.columns:
+        return next_seq(ranked(df), keys, wanted, out, span).drop("_rank")
+    cut = df.withColumn("_span", F.floor(F.col("_rank") / span)).withColumn(
         "_hit", F.when(F.col(wanted), F.col("seq"))
     )
     within = (
@@ -71,6 +81,7 @@ def replay_request_log(log: DataFrame, span: int = SPAN) -> Replay:
     An unlearn attempt succeeds if, since the entity's previous attempt, some ingest of it had
     a triplet or still owns its slot at the attempt.
     """
+    log = ranked(log)
     is_ingest = F.col("op") == "I"
     ingests = log.where(is_ingest).withColumn("_all", F.lit(True))
     ingests = next_seq(ingests, SLOT, "_all", "overwritten", span).drop("_all")

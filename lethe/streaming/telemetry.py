@@ -2,86 +2,21 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from lethe.operators.telemetry import AUDITED, DELETED, INGESTED
 
-# The processor travels with the query; workers need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-SALTS = 8  # slices per entity; deletes are sent to each
+BUCKETS = 64  # slices of the change log, by entity; a batch reads those of its entities
 
 CHANGE = (
     "entity_id string, id string, shard_id int, first_seq long, status string, "
     "new_node int, new_purge int"
 )
-
-
-class NodeFold(StatefulProcessor):
-    """State of one slice of an entity's nodes: first ingest per node, newest delete.
-
-    Minimum and maximum do not depend on arrival order, so late events are folded exactly.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.nodes = handle.getMapState(
-            "nodes", "id string", "first_seq long, shard_id int, purged boolean"
-        )
-        self.deleted = handle.getValueState("deleted", "seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        entity_id = key[0]
-        first: dict[str, tuple[int, int]] = {}
-        stored = self.deleted.get()
-        before = -1 if stored is None else stored[0]
-        last = before
-        for part in rows:
-            ingests = part[part["id"].notna()]
-            for node, seq, shard in zip(
-                ingests["id"], ingests["seq"], ingests["shard_id"], strict=True
-            ):
-                if node not in first or seq < first[node][0]:
-                    first[node] = (int(seq), int(shard))
-            deletes = part.loc[part["id"].isna(), "seq"]
-            if len(deletes):
-                last = max(last, int(deletes.max()))
-        changes = []
-        for node, (seq, shard) in first.items():
-            old = self.nodes.getValue((node,))
-            if old is not None and old[0] <= seq:
-                continue
-            was_purged = old is not None and old[2]
-            purged = was_purged or last > seq
-            self.nodes.updateValue((node,), (seq, shard, purged))
-            changes.append((entity_id, node, shard, seq, purged, old is None, was_purged))
-        if last > before:
-            self.deleted.update((last,))
-            # A delete reaches every node created before it.
-            stale = [
-                (node[0], value)
-                for node, value in self.nodes.iterator()
-                if not value[2] and value[0] < last
-            ]
-            for node, (seq, shard, _) in stale:
-                self.nodes.updateValue((node,), (seq, shard, True))
-                changes.append((entity_id, node, shard, seq, True, False, False))
-        yield pd.DataFrame(
-            [
-                (e, n, sh, s, "purged" if p else "active", int(new), int(p and not was))
-                for e, n, sh, s, p, new, was in changes
-            ],
-            columns=[f.split()[0] for f in CHANGE.split(", ")],
-        )
-
-    def close(self) -> None:
-        pass
+TOTAL = "bucket int, nodes long, purges long, root_seq long, root string"
 
 
 def stream_first_ingests(events: DataFrame) -> DataFrame:
@@ -124,28 +59,149 @@ def nodes_from_updates(first: DataFrame, deletes: DataFrame) -> DataFrame:
     )
 
 
-def stream_node_changes(events: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Change log of node states from an event stream (append mode), one row whenever a node
-    appears or is purged, which is what running counts need.
+def _per_node(rows: DataFrame) -> DataFrame:
+    """One row per node: its first ingest, and whether it was ever purged."""
+    return rows.groupBy("entity_id", "id").agg(
+        F.min_by("shard_id", "first_seq").alias("shard_id"),
+        F.min("first_seq").alias("first_seq"),
+        F.bool_or(F.col("status") == "purged").alias("purged"),
+    )
+
+
+def _per_entity(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("entity_id").agg(F.max("first_seq").alias("deleted"))
+
+
+def _bucket(entity):
+    return F.pmod(F.xxhash64(entity), F.lit(BUCKETS)).cast("int")
+
+
+def node_changes(events: DataFrame, log: DataFrame) -> DataFrame:
+    """Changes that a batch of events makes to the nodes of a change log.
 
-    State is keyed by entity and a hash slice of the node id, and deletes go to every slice,
-    so an entity owning a third of all nodes is folded by many tasks.
+    Least and greatest sequence numbers do not depend on the order of arrival, so late events
+    are folded exactly: a node is purged if a delete of its entity comes after its first ingest.
+    The log is reduced to the entities of the batch before anything is compared, and only nodes
+    whose row differs give one: ``new_node`` and ``new_purge`` are what to add to running
+    counts. Newest deletes are kept in the log as rows without an ``id``.
     """
-    rows = events.where(F.col("type").isin(INGESTED, DELETED)).select(
+    arrived = events.where(F.col("type").isin(INGESTED, DELETED)).select(
         F.col("payload.entity_id").alias("entity_id"),
-        F.when(
-            F.col("type") == INGESTED,
-            F.array(F.pmod(F.xxhash64("payload.id"), F.lit(salts)).cast("int")),
-        )
-        .otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
-        .alias("slices"),
         F.when(F.col("type") == INGESTED, F.col("payload.id")).alias("id"),
         F.col("payload.shard_id").alias("shard_id"),
-        "seq",
+        F.col("seq").alias("first_seq"),
+        F.lit("active").alias("status"),
     )
-    sliced = rows.select("entity_id", F.explode("slices").alias("slice"), "id", "shard_id", "seq")
-    return sliced.groupBy("entity_id", "slice").transformWithStateInPandas(
-        NodeFold(), outputStructType=CHANGE, outputMode="Append", timeMode="None"
+    touched = arrived.select("entity_id").distinct()
+    known = log.join(touched, "entity_id", "left_semi")
+    is_node = F.col("id").isNotNull()
+    new, old = _per_node(arrived.where(is_node)), _per_node(known.where(is_node))
+    nodes = new.alias("n").join(old.alias("o"), ["entity_id", "id"], "full")
+    earlier = F.col("o.first_seq").isNull() | (F.col("n.first_seq") < F.col("o.first_seq"))
+    nodes = nodes.select(
+        "entity_id",
+        "id",
+        F.when(earlier, F.col("n.shard_id")).otherwise(F.col("o.shard_id")).alias("shard_id"),
+        F.least("n.first_seq", "o.first_seq").alias("first_seq"),
+        F.col("o.first_seq").isNull().alias("appeared"),
+        F.coalesce(earlier, F.lit(False)).alias("moved"),
+        F.coalesce("o.purged", F.lit(False)).alias("was_purged"),
+    )
+    before = _per_entity(known.where(~is_node))
+    deletes = _per_entity(arrived.where(~is_node))
+    newest = before.unionByName(deletes).groupBy("entity_id").agg(F.max("deleted").alias("deleted"))
+    purged = F.col("was_purged") | F.coalesce(F.col("deleted") > F.col("first_seq"), F.lit(False))
+    judged = nodes.join(newest, "entity_id", "left").withColumn("purged", purged)
+    changed = judged.where(
+        F.col("appeared") | F.col("moved") | (F.col("purged") & ~F.col("was_purged"))
+    ).select(
+        "entity_id",
+        "id",
+        "shard_id",
+        "first_seq",
+        F.when(F.col("purged"), "purged").otherwise("active").alias("status"),
+        F.col("appeared").cast("int").alias("new_node"),
+        (F.col("purged") & ~F.col("was_purged")).cast("int").alias("new_purge"),
+    )
+    marks = (
+        deletes.alias("d")
+        .join(before.alias("b"), "entity_id", "left")
+        .where(F.col("b.deleted").isNull() | (F.col("d.deleted") > F.col("b.deleted")))
+        .select("entity_id", F.col("d.deleted").alias("first_seq"))
+        .withColumns({"status": F.lit("deleted"), "new_node": F.lit(0), "new_purge": F.lit(0)})
+    )
+    return changed.unionByName(marks, allowMissingColumns=True)
+
+
+def _log(spark: SparkSession, folder: str, before: int) -> DataFrame:
+    """Change log of the micro-batches before one; the folder has one per batch and bucket."""
+    empty = spark.createDataFrame([], f"{CHANGE}, batch int, bucket int")
+    if before == 0:
+        return empty
+    rows = spark.read.schema(empty.schema).parquet(f"{folder}/changes")
+    return rows.where(F.col("batch") < before)
+
+
+def stream_node_changes(events: DataFrame, folder: str) -> DataStreamWriter:
+    """Keep the node change log below ``folder`` up to date; start the returned writer with a
+    checkpoint and a trigger. :func:`read_node_changes` reads the log, :func:`read_metrics`
+    the running totals.
+
+    A micro-batch reads the slices of the log that its entities lie in, and writes its changes
+    and totals to folders of its own, so one that runs again replaces what it wrote. Totals are
+    those of the batch before plus this batch's signed changes. All of it is plain joins and
+    aggregates: a hot entity's nodes meet by node, and its newest delete is a single row.
+    """
+    spark = events.sparkSession
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        entities = rows.where(F.col("type").isin(INGESTED, DELETED)).select("payload.entity_id")
+        buckets = [r[0] for r in entities.select(_bucket("entity_id")).distinct().collect()]
+        log = _log(spark, folder, batch).where(F.col("bucket").isin(buckets))
+        changes = node_changes(rows, log.drop("batch", "bucket"))
+        path = f"{folder}/changes/batch={batch}"
+        changes.withColumn("bucket", _bucket("entity_id")).write.partitionBy("bucket").mode(
+            "overwrite"
+        ).parquet(path)
+        done = spark.read.schema(f"{CHANGE}, bucket int").parquet(path)
+        added = done.groupBy("bucket").agg(
+            F.sum("new_node").alias("nodes"), F.sum("new_purge").alias("purges")
+        )
+        newest = F.max(F.struct("seq", F.col("payload.audit_certificate.merkle_root_hash").alias("root")))
+        roots = (
+            rows.where(F.col("type") == AUDITED)
+            .agg(newest.alias("r"))
+            .select(F.lit(-1).alias("bucket"), F.col("r.seq").alias("root_seq"), F.col("r.root").alias("root"))
+        )
+        parts = [added, roots]
+        if batch > 0:
+            parts.append(spark.read.schema(TOTAL).parquet(f"{folder}/totals/batch={batch - 1}"))
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        both.groupBy("bucket").agg(
+            F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"),
+            F.coalesce(F.sum("purges"), F.lit(0)).alias("purges"),
+            F.max("root_seq").alias("root_seq"),
+            F.max_by("root", "root_seq").alias("root"),
+        ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+
+    return events.writeStream.foreachBatch(apply)
+
+
+def read_node_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The change log, one row whenever a node appears or is purged."""
+    rows = spark.read.schema(f"{CHANGE}, batch int, bucket int").parquet(f"{folder}/changes")
+    return rows.where(F.col("id").isNotNull()).drop("batch", "bucket")
+
+
+def read_metrics(spark: SparkSession, folder: str, num_shards: int) -> DataFrame:
+    """Header figures after the last micro-batch: one row per slice is added up."""
+    rows = spark.read.schema(f"{TOTAL}, batch int").parquet(f"{folder}/totals")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == (-1 if last is None else last)).agg(
+        F.lit(num_shards).alias("active_shards"),
+        F.coalesce(F.sum("nodes"), F.lit(0)).alias("ingested_entities"),
+        F.coalesce(F.sum("purges"), F.lit(0)).alias("purged_entities"),
+        F.coalesce(F.max_by("root", "root_seq"), F.lit("")).alias("latest_merkle_root"),
     )
 
 
@@ -178,32 +234,3 @@ def stream_certificates_within(events: DataFrame, time: str, delay: str) -> Data
 def _certificates(events: DataFrame, *extra: str) -> DataFrame:
     seen = events.where(F.col("type") == AUDITED)
     return seen.select("seq", *extra, "payload.audit_certificate.*")
-
-
-def stream_metrics(changes: DataFrame, events: DataFrame, num_shards: int) -> DataFrame:
-    """Header figures from the node change log and the event stream (complete mode).
-
-    Both inputs shrink to partial sums in the tasks that read them.
-    """
-    nodes = changes.select(
-        "new_node",
-        "new_purge",
-        F.lit(None).cast("bigint").alias("seq"),
-        F.lit(None).cast("string").alias("root"),
-    )
-    roots = events.where(F.col("type") == AUDITED).select(
-        F.lit(0).alias("new_node"),
-        F.lit(0).alias("new_purge"),
-        "seq",
-        F.col("payload.audit_certificate.merkle_root_hash").alias("root"),
-    )
-    return (
-        nodes.unionByName(roots)
-        .groupBy()
-        .agg(
-            F.lit(num_shards).alias("active_shards"),
-            F.sum("new_node").alias("ingested_entities"),
-            F.sum("new_purge").alias("purged_entities"),
-            F.coalesce(F.max_by("root", "seq"), F.lit("")).alias("latest_merkle_root"),
-        )
-    )

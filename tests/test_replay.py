@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lethe import schemas
-from lethe.plans.replay import next_seq, replay_request_log
+from lethe.plans.replay import next_seq, ranked, replay_request_log
 from tests.model import Handlers, random_log
 
 
@@ -68,3 +68,19 @@ def test_hot_key_is_split(spark):
     for r in hot:
         later = [s for s in wanted if s > r.seq]
         assert r.next == (later[0] if later else None)
+
+
+@pytest.mark.parametrize("step", [1, 1 << 20])
+def test_sparse_numbers_fill_spans_all_the_same(spark, step):
+    """One key, numbers in large steps: windows over spans have as many rows as dense ones, and
+    the one across spans only a row per span."""
+    df = spark.range(4000).select(
+        (F.col("id") * step).alias("seq"), F.lit("hot").alias("k"), (F.col("id") % 100 == 0).alias("wanted")
+    )
+    spans = ranked(df).groupBy(F.floor(F.col("_rank") / 256).alias("span")).count().collect()
+    assert sorted(r["count"] for r in spans) == [4000 - 15 * 256, *[256] * 15]
+    got = next_seq(df, ["k"], "wanted", "next", span=256).collect()
+    for r in got:
+        place = r.seq // step
+        later = (place // 100 + 1) * 100
+        assert r.next == (later * step if later < 4000 else None)

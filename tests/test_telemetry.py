@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from lethe import messages
 from lethe.operators import telemetry as W
 from lethe.operators.certificates import proof_label, unsigned_certificates
-from lethe.session import keyed_state
 from lethe.streaming import telemetry as X
 
 
@@ -156,9 +155,11 @@ def test_node_stream_over_many_batches(spark, tmp_path):
         )
         writer.trigger(availableNow=True).start().awaitTermination()
 
-    with keyed_state(spark):
-        run(X.stream_node_changes(stream.parquet(str(source)), salts=3), "nodes")
-    changes = spark.read.schema(X.CHANGE).parquet(str(tmp_path / "nodes_out"))
+    folder = str(tmp_path / "nodes_out")
+    writer = X.stream_node_changes(stream.parquet(str(source)), folder)
+    writer = writer.option("checkpointLocation", str(tmp_path / "nodes"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    changes = X.read_node_changes(spark, folder)
     got = {
         (r.entity_id, r.id): (r.created_seq, r.status)
         for r in X.nodes_from_changes(changes).collect()
@@ -184,12 +185,42 @@ def test_node_stream_over_many_batches(spark, tmp_path):
     certs = spark.read.parquet(str(tmp_path / "certs_out"))
     assert certs.count() == sum(row[1] == "U" for row in log)
 
-    rows = []
-    metrics = X.stream_metrics(
-        spark.readStream.schema(X.CHANGE).parquet(str(tmp_path / "nodes_out")),
-        stream.parquet(str(source)),
-        4,
-    )
-    run(metrics, "metrics", "complete", each=lambda df, batch: rows.extend(df.collect()))
-    assert rows[-1].ingested_entities == len(expected)
-    assert rows[-1].purged_entities == purged
+    metrics = X.read_metrics(spark, folder, 4).first()
+    assert (metrics.ingested_entities, metrics.purged_entities) == (len(expected), purged)
+    newest = events.where("type = 'AuditGenerated'").orderBy(F.desc("seq")).first()
+    assert metrics.latest_merkle_root == newest.payload.audit_certificate.merkle_root_hash
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    """The second micro-batch is applied twice, as after a crash: same log, same totals."""
+    log = random_events(6)
+    events = build(spark, log)
+    half = max(r[0] for r in log) // 2
+    parts = [events.where(F.col("seq") <= half), events.where(F.col("seq") > half)]
+    applied = {}
+
+    class Stream:
+        sparkSession = spark
+
+        class writeStream:  # noqa: N801
+            @staticmethod
+            def foreachBatch(fn):  # noqa: N802
+                applied["fn"] = fn
+
+    X.stream_node_changes(Stream(), str(tmp_path / "n"))
+    applied["fn"](parts[0], 0)
+    for _ in range(2):
+        applied["fn"](parts[1], 1)
+        metrics = X.read_metrics(spark, str(tmp_path / "n"), 4).first()
+        expected = fold(log)
+        purged = sum(s == "purged" for _, s in expected.values())
+        assert (metrics.ingested_entities, metrics.purged_entities) == (len(expected), purged)
+        rows = X.nodes_from_changes(X.read_node_changes(spark, str(tmp_path / "n"))).collect()
+        assert {(r.entity_id, r.id): (r.created_seq, r.status) for r in rows} == expected
+
+
+def test_change_log_needs_no_python(spark):
+    events = build(spark, random_events(1))
+    log = spark.createDataFrame([], X.CHANGE)
+    plan = X.node_changes(events, log)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan
