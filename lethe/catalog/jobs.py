@@ -47,7 +47,7 @@ from lethe.options import EngineOptions
 from lethe.plans.audit import audit_requests, audit_store
 from lethe.plans.ingest import run_ingest, run_ingest_batch
 from lethe.plans.replay import replay_request_log
-from lethe.plans.unlearn import batch_summary, run_unlearn_batch, unlearn_outcome
+from lethe.plans.unlearn import batch_summary, run_unlearn, run_unlearn_batch, unlearn_outcome
 from lethe.session import new_dir
 from lethe.sources.export import export_ledger_array, export_ledger_lines
 from lethe.sources.requests import (
@@ -170,7 +170,7 @@ def ingest_batches(spark, sf_dir):
         FROM req LEFT JOIN trip ON trip.doc_id = req.seq GROUP BY ALL""",
 )
 def ingest_responses(spark, sf_dir):
-    result = run_ingest_batch(new_store(spark), document_requests(spark, sf_dir), EPOCH)
+    result = run_ingest(new_store(spark), document_requests(spark, sf_dir), EPOCH)
     return result.responses.drop("batch_id")
 
 
@@ -485,6 +485,34 @@ def unlearned_store(spark, sf_dir) -> ShardedStore:
     return store
 
 
+@query(
+    "run_unlearn_singles",
+    f"""WITH {REQ}, asked AS (
+          SELECT doc_id AS seq, CASE WHEN doc_id % 7 = 0 THEN '!' ELSE 'user_' || (doc_id % 131) END AS entity_id
+          FROM labels),
+        judged AS (SELECT *, entity_id IN (SELECT entity_id FROM req)
+                   AND seq = min(seq) OVER (PARTITION BY entity_id) AS ok FROM asked)
+        SELECT CAST(seq AS VARCHAR) AS batch_id, CASE WHEN ok THEN 1 ELSE 0 END AS total_processed,
+          CASE WHEN entity_id = '!' THEN 400 WHEN ok THEN 200 ELSE 404 END AS status_code,
+          CASE WHEN entity_id = '!' THEN {sql_text(messages.UNLEARN_INVALID)}
+               WHEN ok THEN '{messages.UNLEARNED}' ELSE {_MISSING} END AS status,
+          CASE WHEN entity_id = '!' THEN '{messages.INVALID_INPUT}'
+               WHEN NOT ok THEN '{messages.ENTITY_NOT_FOUND}' END AS error
+        FROM judged""",
+)
+def unlearn_singles(spark, sf_dir):
+    """One single request per label, some with a bad id: each is answered as one."""
+    store = new_store(spark)
+    run_ingest_batch(store, document_requests(spark, sf_dir), EPOCH)
+    asked = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("seq"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit("!"))
+        .otherwise(text_of("user_", F.col("doc_id") % 131))
+        .alias("entity_id"),
+    )
+    return run_unlearn(store, asked, EPOCH + 60, DEMO_KEY).batches
+
+
 @query(
     "run_unlearn",
     f"""WITH {REQ}, {TOXIC}, {sql_triplets("documents")},
@@ -504,8 +532,10 @@ def unlearned_store(spark, sf_dir) -> ShardedStore:
           WHERE entity_id IN (SELECT entity_id FROM req) GROUP BY shard_id""",
 )
 def unlearn_state(spark, sf_dir):
-    """Row counts per stored table and shard after the purge."""
-    store = unlearned_store(spark, sf_dir)
+    """Row counts per stored table and shard after the purge, each label a request by itself."""
+    store = new_store(spark)
+    run_ingest(store, document_requests(spark, sf_dir), EPOCH)
+    run_unlearn(store, toxic_entities(spark, sf_dir).select("seq", "entity_id"), EPOCH + 60, DEMO_KEY)
     result = None
     for name in ("vectors", "knowledge", "concept", "purged_from", "audit_certificates"):
         part = (

@@ -44,18 +44,19 @@ def _fresh(spark, sf_dir):
 
 
 def _show(df):
-    """Rows with the vector shown by its ends, which identify it."""
+    """Rows with all components of the vector, as whole numbers of hundred-thousandths."""
     return df.select(
         "id",
         "entity_id",
         "shard_id",
-        F.round(F.col("vector")[0].cast("double"), 5).alias("first"),
-        F.round(F.element_at("vector", -1).cast("double"), 5).alias("last"),
+        F.array_join(
+            F.transform("vector", lambda x: F.round(x.cast("double") * 100_000).cast("long").cast("string")), ","
+        ).alias("components"),
     )
 
 
-_SHOW = """id, entity_id, shard_id, round(vector[1]::DOUBLE, 5) AS first,
-           round(vector[-1]::DOUBLE, 5) AS last"""
+_SHOW = """id, entity_id, shard_id, array_to_string(
+  list_transform(vector, lambda x: round(x::DOUBLE * 100000)::BIGINT::VARCHAR), ',') AS components"""
 
 
 @query("upsert_vectors", f"WITH {VEC}, {_NEW} SELECT {_SHOW} FROM merged")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lethe import messages
 from lethe.functions.text import has_content
 from lethe.operators.triplets import extract_triplets
 from lethe.operators.validate import accepted, embed_batch_verdicts
+from lethe.options import EngineOptions
 
 # An encoder adds a vector column: (rows, text column, output column) -> rows.
 Encoder = Callable[[DataFrame, str, str], DataFrame]
@@ -36,18 +38,21 @@ def hashing_encoder(dimension: int) -> Encoder:
     return encode
 
 
-def batch_encoder(load: Callable[[], BatchModel], batch_size: int = 32) -> Encoder:
-    """A Python model run on Arrow batches. ``load`` is called once per task, and only the
-    text column goes to the worker."""
+def batch_encoder(load: Callable[[], BatchModel], options: EngineOptions) -> Encoder:
+    """A Python model that gets ``options.encode_batch`` texts at a time. ``load`` is called
+    once per Python worker; only the text column goes there."""
 
-    @F.pandas_udf("array<float>")
-    def infer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make_predict():
         model = load()
-        for texts in batches:
-            vectors: list = []
-            for at in range(0, len(texts), batch_size):
-                vectors.extend(model(texts.iloc[at : at + batch_size].tolist()))
-            yield pd.Series([list(map(float, v)) for v in vectors], index=texts.index)
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.asarray(model(texts.tolist()), "f4").reshape(len(texts), -1)
+
+        return predict
+
+    infer = predict_batch_udf(
+        make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=options.encode_batch
+    )
 
     def encode(df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, infer(F.col(text)))

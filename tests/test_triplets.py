@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lethe import schemas
+from lethe.options import EngineOptions
 from lethe.operators import embed, triplets
 from lethe.session import ship_package
 
@@ -171,7 +172,7 @@ def test_batch_encoder_sees_small_batches(spark):
         return model
 
     df = spark.createDataFrame([(str(i), "x" * (i + 1)) for i in range(10)], DOC).coalesce(1)
-    out = embed.embed_documents(df, embed.batch_encoder(load, batch_size=3)).collect()
+    out = embed.embed_documents(df, embed.batch_encoder(load, EngineOptions(encode_batch=3))).collect()
     assert sorted(r.vector[0] for r in out) == [float(i + 1) for i in range(10)]
 
 
