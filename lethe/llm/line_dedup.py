@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import WHITE, free_name, with_row_key, written
+from lethe.llm.common import WHITE, free_name, row_number_in_task, with_row_key, written
+from lethe.operators.ranks import with_running_sum
 
 SIMILARITY = 0.8
 # Words share this many counters of how often they occur; the table goes to all tasks.
@@ -15,8 +16,8 @@ COUNTERS = 1 << 14
 RARITY_BITS = 56  # a token is its rarity class above this many bits of its hash
 
 
-MAPS = 4  # bitmaps of 64 places per set
-FILTER_BITS = 1 << 20  # of the filter on documents to fetch
+FILTER_BITS = 1 << 20  # of the filter on rows to fetch
+REPRESENTATIVES = 4  # tokens by which a set is held against the earliest set
 
 
 def split_words(line: Column) -> Column:
@@ -24,15 +25,34 @@ def split_words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), f"[{WHITE}]+")
 
 
-def word_rarity(texts: DataFrame) -> list[int]:
+def line_words(docs: DataFrame) -> DataFrame:
+    """One row per line with words, written once: where it stands, the ascending hashes of its
+    distinct words, and two hashes of these that stand for the set. ``at`` numbers the rows."""
+    lines = docs.select(
+        "doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    ).where(F.col("line").rlike(f"[^{WHITE}]"))
+    hashed = F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))
+    words = lines.select("doc_id", "row_key", "line_no", F.sort_array(F.array_distinct(hashed)).alias("words"))
+    return written(
+        words.select(
+            "*",
+            F.xxhash64("words").alias("k1"),
+            F.xxhash64(F.lit(1), "words").alias("k2"),
+            row_number_in_task().alias("at"),
+        ),
+        "line-words",
+    )
+
+
+def word_rarity(lines: DataFrame) -> list[int]:
     """Class of each counter: the power of two below the number of words that share it.
 
-    All words of all texts are counted, combined before the shuffle; the result has
+    All distinct words of all lines are counted, combined before the shuffle; the result has
     ``COUNTERS`` entries whatever the input.
     """
-    words = texts.select(F.explode(F.split("text", f"[{WHITE}]+")).alias("word"))
+    words = lines.select(F.explode("words").alias("word"))
     counted = (
-        words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("counter"))
+        words.groupBy(F.pmod("word", F.lit(COUNTERS)).alias("counter"))
         .agg(F.count("*").alias("n"))
         .select("counter", F.floor(F.log2("n")).cast("int").alias("rarity"))
         .collect()
@@ -42,18 +62,17 @@ def word_rarity(texts: DataFrame) -> list[int]:
 
 
 def token_order(words: Column, rarity: list[int]) -> Column:
-    """Distinct tokens of the words in one order for all lines: rare first, then by hash."""
+    """Tokens of the words in one order for all lines: rare first, then by hash."""
     classes = F.from_json(F.lit(json.dumps(rarity)), "array<int>")
     mask = F.lit((1 << RARITY_BITS) - 1)
 
-    def token(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def token(h: Column) -> Column:
         return F.shiftleft(
             F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), RARITY_BITS
         ).bitwiseOR(h.bitwiseAND(mask))
 
-    # Of plain numbers: the native sort and set need no comparison function.
-    return F.sort_array(F.array_distinct(F.transform(words, token)))
+    # Of plain numbers: the native sort needs no comparison function.
+    return F.sort_array(F.transform(words, token))
 
 
 def least_overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -62,114 +81,102 @@ def least_overlap(n: Column, m: Column, similarity: float) -> Column:
     return F.ceil((n + m) * F.lit(share) - F.lit(1e-9))
 
 
-def _tokens_of_lines(docs: DataFrame, rarity: list[int]) -> DataFrame:
-    lines = docs.select(
-        "doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    ).where(F.col("line").rlike(f"[^{WHITE}]"))
-    return lines.select(
-        "doc_id",
-        "row_key",
-        "line_no",
-        token_order(split_words(F.col("line")), rarity).alias("t"),
+def _parities(words: Column) -> Column:
+    """Parity of the words in each of 64 places: places that differ hold words not in common."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(
+        words,
+        F.lit(0).cast("long"),
+        lambda bits, h: bits.bitwiseXOR(
+            F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+        ),
     )
 
 
-def _identity() -> list[Column]:
-    return [F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")]
+def prefix_length(n: Column, similarity: float) -> Column:
+    """Tokens of which a set shares one with every similar set that is not larger; with
+    :func:`least_overlap` of two sets of its own size, with every one that is not smaller."""
+    return (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
 
 
-def line_places(docs: DataFrame, rarity: list[int]) -> DataFrame:
-    """One row per line with words: where it stands, and which token set it has."""
-    return _tokens_of_lines(docs, rarity).select("row_key", "line_no", *_identity())
-
+FIRST = ["missing", "doc_id", "row_key", "line_no"]
 
-def _bitmaps(tokens: Column) -> Column:
-    """Parity of the tokens in each of 64 places of ``MAPS`` bitmaps."""
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
-    def step(maps, t):
-        bit = F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-        which = F.shiftright(t, 6).bitwiseAND(F.lit(MAPS - 1))
-        return F.struct(
-            *[
-                maps[f"m{i}"].bitwiseXOR(F.when(which == i, bit).otherwise(zero)).alias(f"m{i}")
-                for i in range(MAPS)
-            ]
+def distinct_sets(lines: DataFrame, rarity: list[int], similarity: float) -> DataFrame:
+    """One row per token set with its first line, numbered in the order of these lines."""
+    n = F.size("words")
+    prefix = F.slice(token_order(F.col("words"), rarity), F.lit(1), prefix_length(n, similarity))
+    first = F.min(
+        F.struct(
+            F.col("doc_id").isNull().alias("missing"),
+            "doc_id",
+            "row_key",
+            "line_no",
+            "at",
+            n.alias("n"),
+            _parities(F.col("words")).alias("bits"),
+            # Half of a hash is enough to find candidates by.
+            F.transform(prefix, lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         )
-
-    return F.aggregate(tokens, F.struct(*[zero.alias(f"m{i}") for i in range(MAPS)]), step)
+    )
+    sets = lines.groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", "first.*")
+    numbered = with_running_sum(sets, FIRST, before="id", write=written)
+    return written(numbered.drop("missing", "doc_id"), "line-sets")
 
 
-def line_sets(docs: DataFrame, rarity: list[int], similarity: float) -> DataFrame:
-    """One row per line with words: place, identity and size of its token set, the set's prefix
-    and its bitmaps."""
-    n = F.size("t")
-    prefix = F.slice("t", F.lit(1), n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
-    return _tokens_of_lines(docs, rarity).select(
-        "doc_id",
-        "row_key",
-        "line_no",
-        *_identity(),
-        n.alias("n"),
-        _bitmaps(F.col("t")).alias("maps"),
-        # Half of a hash is enough to find candidates by.
-        F.transform(prefix, lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+def _may_be_similar(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
+    """Length and parity filters, which drop no pair that is similar enough."""
+    need = least_overlap(a["n"], b["n"], similarity)
+    small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    return (small >= large * F.lit(similarity) - F.lit(1e-9)) & (
+        F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= a["n"] + b["n"] - 2 * need
     )
 
 
-FIRST = ["missing", "doc_id", "row_key", "line_no"]
-
+def representative_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: for each set ``b`` the earliest sets that share one of its rarest tokens.
 
-def distinct_sets(lines: DataFrame) -> DataFrame:
-    """One row per token set with its first line, numbered."""
-    first = F.min(
-        F.struct(
-            F.col("doc_id").isNull().alias("missing"),
-            "doc_id", "row_key", "line_no", "n", "maps", "prefix",
-        )
+    The earliest set of a token is a minimum, combined before the shuffle, and each set has at
+    most ``REPRESENTATIVES`` of them, however large the group of near copies that it is in.
+    """
+    tokens = sets.select("id", "n", "bits", F.explode(F.slice("prefix", 1, REPRESENTATIVES)).alias("token"))
+    earliest = tokens.groupBy("token").agg(
+        F.min("id").alias("a"), F.min_by("n", "id").alias("a_n"), F.min_by("bits", "id").alias("a_bits")
     )
-    sets = lines.groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", "first.*")
-    return written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
-
-
-def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: sets that share a prefix token and pass the length, positional and bitmap
-    filters. None of them drops a pair that is similar enough: every place whose parity
-    differs holds a token that is not common."""
-    one_map = F.lit(0).cast("long")
-    for i in range(MAPS):
-        one_map = one_map.bitwiseXOR(F.col(f"maps.m{i}"))
-    postings = sets.select(
-        "id", "n", one_map.alias("bits"), F.posexplode("prefix").alias("pos", "token")
+    a, b = ({"n": F.col(f"{p}n"), "bits": F.col(f"{p}bits")} for p in ("a_", ""))
+    return (
+        tokens.join(earliest, "token")
+        .where((F.col("a") < F.col("id")) & _may_be_similar(a, b, similarity))
+        .select("a", F.col("id").alias("b"))
+        .distinct()
     )
-    a, b = postings.alias("a"), postings.alias("b")
-    need = least_overlap(F.col("a.n"), F.col("b.n"), similarity)
-    small = F.least("a.n", "b.n")
-    met = (
-        a.join(
-            b,
-            (F.col("a.token") == F.col("b.token"))
-            & (F.col("a.id") < F.col("b.id"))
-            & (small >= F.greatest("a.n", "b.n") * F.lit(similarity) - F.lit(1e-9))
-            & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
-            & (
-                F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-                <= F.col("a.n") + F.col("b.n") - 2 * need
-            ),
+
+
+def candidate_pairs(sets: DataFrame, later: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: sets before one of ``later`` that share a prefix token with it and pass the
+    length, positional and parity filters."""
+    postings = [
+        df.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "token")).alias(name)
+        for df, name in ((sets, "a"), (later, "b"))
+    ]
+    a, b = ({c: F.col(f"{p}.{c}") for c in ("id", "n", "bits", "pos", "token")} for p in "ab")
+    need = least_overlap(a["n"], b["n"], similarity)
+    # The smaller set's token lies in a shorter prefix.
+    small = F.when(a["n"] <= b["n"], F.struct(a["n"], a["pos"])).otherwise(F.struct(b["n"], b["pos"]))
+    short = small["pos"] < small["n"] - least_overlap(small["n"], small["n"], similarity) + 1
+    return (
+        postings[0]
+        .join(
+            postings[1],
+            (a["token"] == b["token"])
+            & (a["id"] < b["id"])
+            & _may_be_similar(a, b, similarity)
+            & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need)
+            & short,
         )
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        .select(a["id"].alias("a"), b["id"].alias("b"))
         .distinct()
     )
-    maps = sets.select("id", "n", "maps")
-    both = met.join(maps.select(*[F.col(c).alias(f"a_{c}") for c in maps.columns]), F.col("a") == F.col("a_id")).join(
-        maps.select(*[F.col(c).alias(f"b_{c}") for c in maps.columns]), F.col("b") == F.col("b_id")
-    )
-    differ = sum(
-        (F.bit_count(F.col(f"a_maps.m{i}").bitwiseXOR(F.col(f"b_maps.m{i}"))) for i in range(MAPS)),
-        F.lit(0),
-    )
-    most = F.col("a_n") + F.col("b_n") - 2 * least_overlap(F.col("a_n"), F.col("b_n"), similarity)
-    return both.where(differ <= most).select("a", "b")
 
 
 def _maybe_among(rows: DataFrame, key: str) -> Column:
@@ -188,36 +195,23 @@ def _maybe_among(rows: DataFrame, key: str) -> Column:
     return F.get(array, F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0
 
 
-def similar_pairs(
-    docs: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
+def later_of_similar(
+    lines: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
 ) -> DataFrame:
-    """The candidates whose word sets have at least this Jaccard similarity, of 64-bit hashes
-    of the whole words."""
+    """``id`` of every set ``b`` of a candidate pair that has at least this Jaccard similarity
+    with its ``a``, of 64-bit hashes of the whole words. Only words of candidates are fetched."""
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = written(
-        sets.join(ids, "id", "left_semi").select("id", "row_key", "line_no"), "line-wanted"
-    )
-    per_doc = wanted.groupBy("row_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("lines")
-    )
-    fetched = (
-        docs.select("row_key", "text").where(_maybe_among(wanted, "row_key")).join(per_doc, "row_key")
-    )
-    line = F.get("text", F.col("line_no"))
+    wanted = written(sets.join(ids, "id", "left_semi").select("id", "at"), "line-wanted")
     words = written(
-        fetched.select(F.split("text", "\n").alias("text"), F.explode("lines").alias("line_no", "id"))
-        .select(
-            "id",
-            F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))).alias("words"),
-        ),
-        "line-words",
+        lines.select("at", "words").where(_maybe_among(wanted, "at")).join(wanted, "at").select("id", "words"),
+        "candidate-words",
     )
     both = candidates.join(
         words.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a"
     ).join(words.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
     common = F.size(F.array_intersect("a_words", "b_words"))
     union = F.size("a_words") + F.size("b_words") - common
-    return both.where(common / union >= similarity).select("a", "b")
+    return both.where(common / union >= similarity).select(F.col("b").alias("id")).distinct()
 
 
 def find_repeated_lines(
@@ -245,20 +239,19 @@ def find_repeated_lines(
         F.col(row_key).alias("row_key"),
         F.col(text_col).alias("text"),
     )
-    rarity = word_rarity(docs)
-    lines = written(line_places(docs, rarity), "lines")
-    sets = distinct_sets(line_sets(docs, rarity, similarity))
-    candidates = written(candidate_pairs(sets, similarity), "line-pairs")
-    pairs = similar_pairs(docs, sets, candidates, similarity)
-
-    order = F.struct(*FIRST)
-    firsts = sets.select("id", order.alias("first"))
-    ordered = pairs.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("a_first")), "a").join(
-        firsts.select(F.col("id").alias("b"), F.col("first").alias("b_first")), "b"
+    lines = line_words(docs)
+    sets = distinct_sets(lines, word_rarity(lines), similarity)
+    # First against the earliest sets only. What is found there needs no other witness, so a
+    # group of near copies costs about its size; the others are then held against all sets.
+    found = written(
+        later_of_similar(
+            lines, sets, written(representative_pairs(sets, similarity), "line-pairs"), similarity
+        ),
+        "line-later",
     )
-    later = ordered.select(
-        F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")
-    ).distinct()
+    open_sets = sets.join(found, "id", "left_anti")
+    candidates = written(candidate_pairs(sets, open_sets, similarity), "line-pairs")
+    later = found.unionByName(later_of_similar(lines, sets, candidates, similarity))
     known = sets.join(later.withColumn("later", F.lit(True)), "id", "left").select(
         "k1", "k2", F.col("row_key").alias("first_row"), F.col("line_no").alias("first_line"), "later"
     )
