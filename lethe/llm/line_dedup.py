@@ -7,8 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import WHITE, free_name, row_number_in_task, with_row_key, written
-from lethe.operators.ranks import with_running_sum
+from lethe.llm.common import WHITE, free_name, with_row_key, written
 
 SIMILARITY = 0.8
 # Words share this many counters of how often they occur; the table goes to all tasks.
@@ -17,7 +16,8 @@ RARITY_BITS = 56  # a token is its rarity class above this many bits of its hash
 
 
 FILTER_BITS = 1 << 20  # of the filter on rows to fetch
-REPRESENTATIVES = 4  # tokens by which a set is held against the earliest set
+MAPS = 4  # bitmaps of 64 places per set of a candidate pair
+REPRESENTATIVES = 3  # tokens by which a set is first held against single others
 
 
 def split_words(line: Column) -> Column:
@@ -25,34 +25,15 @@ def split_words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), f"[{WHITE}]+")
 
 
-def line_words(docs: DataFrame) -> DataFrame:
-    """One row per line with words, written once: where it stands, the ascending hashes of its
-    distinct words, and two hashes of these that stand for the set. ``at`` numbers the rows."""
-    lines = docs.select(
-        "doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    ).where(F.col("line").rlike(f"[^{WHITE}]"))
-    hashed = F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))
-    words = lines.select("doc_id", "row_key", "line_no", F.sort_array(F.array_distinct(hashed)).alias("words"))
-    return written(
-        words.select(
-            "*",
-            F.xxhash64("words").alias("k1"),
-            F.xxhash64(F.lit(1), "words").alias("k2"),
-            row_number_in_task().alias("at"),
-        ),
-        "line-words",
-    )
-
-
-def word_rarity(lines: DataFrame) -> list[int]:
+def word_rarity(texts: DataFrame) -> list[int]:
     """Class of each counter: the power of two below the number of words that share it.
 
-    All distinct words of all lines are counted, combined before the shuffle; the result has
+    All words of all texts are counted, combined before the shuffle; the result has
     ``COUNTERS`` entries whatever the input.
     """
-    words = lines.select(F.explode("words").alias("word"))
+    words = texts.select(F.explode(F.split("text", f"[{WHITE}]+")).alias("word"))
     counted = (
-        words.groupBy(F.pmod("word", F.lit(COUNTERS)).alias("counter"))
+        words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("counter"))
         .agg(F.count("*").alias("n"))
         .select("counter", F.floor(F.log2("n")).cast("int").alias("rarity"))
         .collect()
@@ -71,8 +52,8 @@ def token_order(words: Column, rarity: list[int]) -> Column:
             F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), RARITY_BITS
         ).bitwiseOR(h.bitwiseAND(mask))
 
-    # Of plain numbers: the native sort needs no comparison function.
-    return F.sort_array(F.transform(words, token))
+    # Of plain numbers: the native sort and set need no comparison function.
+    return F.sort_array(F.array_distinct(F.transform(words, token)))
 
 
 def least_overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -93,6 +74,51 @@ def _parities(words: Column) -> Column:
     )
 
 
+def line_sets(docs: DataFrame, rarity: list[int], similarity: float) -> DataFrame:
+    """One row per line with words, written once: where it stands, two hashes that stand for its
+    set of words, the set's size, parities and prefix. No text or word leaves this scan."""
+    lines = docs.select(
+        "doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    ).where(F.col("line").rlike(f"[^{WHITE}]"))
+    hashed = F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))
+    tokens = lines.select("doc_id", "row_key", "line_no", token_order(hashed, rarity).alias("t"))
+    n = F.size("t")
+    return written(
+        tokens.select(
+            "doc_id",
+            "row_key",
+            "line_no",
+            F.xxhash64("t").alias("k1"),
+            F.xxhash64(F.lit(1), "t").alias("k2"),
+            n.alias("n"),
+            _parities(F.col("t")).alias("bits"),
+            # Half of a hash is enough to find candidates by.
+            F.transform(
+                F.slice("t", F.lit(1), prefix_length(n, similarity)),
+                lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"),
+            ).alias("prefix"),
+        ),
+        "lines",
+    )
+
+
+def _bitmaps(tokens: Column) -> Column:
+    """Parity of the tokens in each of 64 places of ``MAPS`` bitmaps."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def step(maps, t):
+        bit = F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+        which = F.shiftright(t, 6).bitwiseAND(F.lit(MAPS - 1))
+        return F.struct(
+            *[
+                maps[f"m{i}"].bitwiseXOR(F.when(which == i, bit).otherwise(zero)).alias(f"m{i}")
+                for i in range(MAPS)
+            ]
+        )
+
+    return F.aggregate(tokens, F.struct(*[zero.alias(f"m{i}") for i in range(MAPS)]), step)
+
+
 def prefix_length(n: Column, similarity: float) -> Column:
     """Tokens of which a set shares one with every similar set that is not larger; with
     :func:`least_overlap` of two sets of its own size, with every one that is not smaller."""
@@ -102,26 +128,16 @@ def prefix_length(n: Column, similarity: float) -> Column:
 FIRST = ["missing", "doc_id", "row_key", "line_no"]
 
 
-def distinct_sets(lines: DataFrame, rarity: list[int], similarity: float) -> DataFrame:
-    """One row per token set with its first line, numbered in the order of these lines."""
-    n = F.size("words")
-    prefix = F.slice(token_order(F.col("words"), rarity), F.lit(1), prefix_length(n, similarity))
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """One row per token set with its first line, numbered."""
     first = F.min(
         F.struct(
             F.col("doc_id").isNull().alias("missing"),
-            "doc_id",
-            "row_key",
-            "line_no",
-            "at",
-            n.alias("n"),
-            _parities(F.col("words")).alias("bits"),
-            # Half of a hash is enough to find candidates by.
-            F.transform(prefix, lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+            "doc_id", "row_key", "line_no", "n", "bits", "prefix",
         )
     )
     sets = lines.groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", "first.*")
-    numbered = with_running_sum(sets, FIRST, before="id", write=written)
-    return written(numbered.drop("missing", "doc_id"), "line-sets")
+    return written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
 
 
 def _may_be_similar(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
@@ -134,45 +150,46 @@ def _may_be_similar(a: dict[str, Column], b: dict[str, Column], similarity: floa
 
 
 def representative_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: for each set ``b`` the earliest sets that share one of its rarest tokens.
+    """``a, b``: for each set ``b`` the sets of least id that share one of its rarest tokens.
 
-    The earliest set of a token is a minimum, combined before the shuffle, and each set has at
-    most ``REPRESENTATIVES`` of them, however large the group of near copies that it is in.
+    The representative of a token is a minimum, combined before the shuffle, and each set has
+    at most ``REPRESENTATIVES`` of them, however large the group of near copies that it is in.
     """
     tokens = sets.select("id", "n", "bits", F.explode(F.slice("prefix", 1, REPRESENTATIVES)).alias("token"))
-    earliest = tokens.groupBy("token").agg(
+    least = tokens.groupBy("token").agg(
         F.min("id").alias("a"), F.min_by("n", "id").alias("a_n"), F.min_by("bits", "id").alias("a_bits")
     )
     a, b = ({"n": F.col(f"{p}n"), "bits": F.col(f"{p}bits")} for p in ("a_", ""))
     return (
-        tokens.join(earliest, "token")
+        tokens.join(least, "token")
         .where((F.col("a") < F.col("id")) & _may_be_similar(a, b, similarity))
         .select("a", F.col("id").alias("b"))
         .distinct()
     )
 
 
-def candidate_pairs(sets: DataFrame, later: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: sets before one of ``later`` that share a prefix token with it and pass the
-    length, positional and parity filters."""
-    postings = [
-        df.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "token")).alias(name)
-        for df, name in ((sets, "a"), (later, "b"))
-    ]
-    a, b = ({c: F.col(f"{p}.{c}") for c in ("id", "n", "bits", "pos", "token")} for p in "ab")
+def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: sets that share a prefix token and pass the length, positional and parity
+    filters; at least one of the two is still ``open``.
+
+    Of two sets the smaller one is met by a shorter prefix: it has more tokens in common with a
+    larger set, for its size, than the larger one with it.
+    """
+    short = F.col("n") - least_overlap(F.col("n"), F.col("n"), similarity) + 1
+    kept = ["id", "n", "bits", "open"]
+    small = sets.select(*kept, F.posexplode(F.slice("prefix", F.lit(1), short.cast("int"))).alias("pos", "token"))
+    large = sets.select(*kept, F.posexplode("prefix").alias("pos", "token"))
+    a, b = ({c: F.col(f"{p}.{c}") for c in (*kept, "pos", "token")} for p in "ab")
     need = least_overlap(a["n"], b["n"], similarity)
-    # The smaller set's token lies in a shorter prefix.
-    small = F.when(a["n"] <= b["n"], F.struct(a["n"], a["pos"])).otherwise(F.struct(b["n"], b["pos"]))
-    short = small["pos"] < small["n"] - least_overlap(small["n"], small["n"], similarity) + 1
     return (
-        postings[0]
+        small.alias("a")
         .join(
-            postings[1],
+            large.alias("b"),
             (a["token"] == b["token"])
-            & (a["id"] < b["id"])
+            & ((a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["id"] < b["id"])))
+            & (a["open"] | b["open"])
             & _may_be_similar(a, b, similarity)
-            & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need)
-            & short,
+            & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need),
         )
         .select(a["id"].alias("a"), b["id"].alias("b"))
         .distinct()
@@ -195,23 +212,63 @@ def _maybe_among(rows: DataFrame, key: str) -> Column:
     return F.get(array, F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0
 
 
-def later_of_similar(
-    lines: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
+def similar_pairs(
+    docs: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
 ) -> DataFrame:
-    """``id`` of every set ``b`` of a candidate pair that has at least this Jaccard similarity
-    with its ``a``, of 64-bit hashes of the whole words. Only words of candidates are fetched."""
+    """The candidates whose word sets have at least this Jaccard similarity, of 64-bit hashes
+    of the whole words."""
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = written(sets.join(ids, "id", "left_semi").select("id", "at"), "line-wanted")
+    wanted = written(
+        sets.join(ids, "id", "left_semi").select("id", "row_key", "line_no"), "line-wanted"
+    )
+    per_doc = wanted.groupBy("row_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("lines")
+    )
+    fetched = (
+        docs.select("row_key", "text").where(_maybe_among(wanted, "row_key")).join(per_doc, "row_key")
+    )
+    line = F.get("text", F.col("line_no"))
     words = written(
-        lines.select("at", "words").where(_maybe_among(wanted, "at")).join(wanted, "at").select("id", "words"),
-        "candidate-words",
+        fetched.select(F.split("text", "\n").alias("text"), F.explode("lines").alias("line_no", "id"))
+        .select(
+            "id",
+            F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))).alias("words"),
+        )
+        .withColumn("maps", _bitmaps(F.col("words"))),
+        "line-words",
+    )
+    # Bitmaps of more places part most of the pairs that are not similar before words travel.
+    maps = words.select("id", F.size("words").alias("n"), "maps")
+    rough = candidates.join(maps.select(*[F.col(c).alias(f"a_{c}") for c in maps.columns]), F.col("a") == F.col("a_id")).join(
+        maps.select(*[F.col(c).alias(f"b_{c}") for c in maps.columns]), F.col("b") == F.col("b_id")
+    )
+    differ = sum(
+        (F.bit_count(F.col(f"a_maps.m{i}").bitwiseXOR(F.col(f"b_maps.m{i}"))) for i in range(MAPS)),
+        F.lit(0),
+    )
+    most = F.col("a_n") + F.col("b_n") - 2 * least_overlap(F.col("a_n"), F.col("b_n"), similarity)
+    both = (
+        rough.where(differ <= most)
+        .select("a", "b")
+        .join(words.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a")
+        .join(words.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
     )
-    both = candidates.join(
-        words.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a"
-    ).join(words.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
     common = F.size(F.array_intersect("a_words", "b_words"))
     union = F.size("a_words") + F.size("b_words") - common
-    return both.where(common / union >= similarity).select(F.col("b").alias("id")).distinct()
+    return both.where(common / union >= similarity).select("a", "b")
+
+
+def later_sets(
+    docs: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
+) -> DataFrame:
+    """``id`` of the sets that come later than a similar one of the candidates."""
+    pairs = similar_pairs(docs, sets, candidates, similarity)
+    firsts = sets.select("id", F.struct(*FIRST).alias("first"))
+    ordered = pairs.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("a_first")), "a").join(
+        firsts.select(F.col("id").alias("b"), F.col("first").alias("b_first")), "b"
+    )
+    later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
+    return ordered.select(later.alias("id")).distinct()
 
 
 def find_repeated_lines(
@@ -239,19 +296,17 @@ def find_repeated_lines(
         F.col(row_key).alias("row_key"),
         F.col(text_col).alias("text"),
     )
-    lines = line_words(docs)
-    sets = distinct_sets(lines, word_rarity(lines), similarity)
-    # First against the earliest sets only. What is found there needs no other witness, so a
-    # group of near copies costs about its size; the others are then held against all sets.
-    found = written(
-        later_of_similar(
-            lines, sets, written(representative_pairs(sets, similarity), "line-pairs"), similarity
-        ),
-        "line-later",
+    lines = line_sets(docs, word_rarity(docs), similarity)
+    sets = distinct_sets(lines)
+    # First against one representative per token. What is later there needs no other witness:
+    # of a group of near copies few stay open, and only these are held against all sets.
+    met = written(representative_pairs(sets, similarity), "line-pairs")
+    found = written(later_sets(docs, sets, met, similarity), "line-later")
+    marked = sets.join(found.withColumn("marked", F.lit(True)), "id", "left")
+    candidates = written(
+        candidate_pairs(marked.withColumn("open", F.col("marked").isNull()), similarity), "line-pairs"
     )
-    open_sets = sets.join(found, "id", "left_anti")
-    candidates = written(candidate_pairs(sets, open_sets, similarity), "line-pairs")
-    later = found.unionByName(later_of_similar(lines, sets, candidates, similarity))
+    later = found.unionByName(later_sets(docs, sets, candidates, similarity)).distinct()
     known = sets.join(later.withColumn("later", F.lit(True)), "id", "left").select(
         "k1", "k2", F.col("row_key").alias("first_row"), F.col("line_no").alias("first_line"), "later"
     )
