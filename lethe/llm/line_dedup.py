@@ -17,7 +17,7 @@ RARITY_BITS = 56  # a token is its rarity class above this many bits of its hash
 
 FILTER_BITS = 1 << 20  # of the filter on rows to fetch
 MAPS = 4  # bitmaps of 64 places per set of a candidate pair
-REPRESENTATIVES = 3  # tokens by which a set is first held against single others
+REPRESENTATIVES = 8  # tokens by which a set is first held against single others
 
 
 def split_words(line: Column) -> Column:
@@ -150,20 +150,23 @@ def _may_be_similar(a: dict[str, Column], b: dict[str, Column], similarity: floa
 
 
 def representative_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: for each set ``b`` the sets of least id that share one of its rarest tokens.
+    """``a, b``: for each set ``b`` the sets that share one of its rarest tokens and whose first
+    line lies in the document of least id.
 
     The representative of a token is a minimum, combined before the shuffle, and each set has
     at most ``REPRESENTATIVES`` of them, however large the group of near copies that it is in.
     """
-    tokens = sets.select("id", "n", "bits", F.explode(F.slice("prefix", 1, REPRESENTATIVES)).alias("token"))
-    least = tokens.groupBy("token").agg(
-        F.min("id").alias("a"), F.min_by("n", "id").alias("a_n"), F.min_by("bits", "id").alias("a_bits")
+    tokens = sets.select(
+        "id", "doc_id", "n", "bits", F.explode(F.slice("prefix", 1, REPRESENTATIVES)).alias("token")
+    )
+    first = tokens.groupBy("token").agg(
+        *[F.min_by(c, "doc_id").alias(f"a_{c}") for c in ("id", "n", "bits")]
     )
     a, b = ({"n": F.col(f"{p}n"), "bits": F.col(f"{p}bits")} for p in ("a_", ""))
     return (
-        tokens.join(least, "token")
-        .where((F.col("a") < F.col("id")) & _may_be_similar(a, b, similarity))
-        .select("a", F.col("id").alias("b"))
+        tokens.join(first, "token")
+        .where((F.col("a_id") != F.col("id")) & _may_be_similar(a, b, similarity))
+        .select(F.col("a_id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
 
