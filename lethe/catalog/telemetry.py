@@ -9,6 +9,8 @@ from lethe.catalog import query
 from lethe.catalog.inputs import EVENTS, LEDGER, SHARDS, event_log, purges, unsigned_ledger
 from lethe.operators import telemetry
 from lethe.operators.certificates import proof_label
+from lethe.operators.search import search_indexed, write_search_index
+from lethe.session import new_dir
 from lethe.functions.text import short_hash
 from lethe.sources.export import receipts
 
@@ -74,6 +76,21 @@ def search_certificates(spark, sf_dir):
     )
 
 
+@query(
+    "search_certificates_indexed",
+    f"""WITH {LEDGER} SELECT audit_id, entity_id, shard_id, merkle_root_hash FROM ledger
+        WHERE contains(lower(entity_id), 'user_4') OR contains(shard_id::VARCHAR, 'user_4')
+           OR contains(lower(audit_id), 'user_4') OR contains(lower(merkle_root_hash), 'user_4')""",
+)
+def search_certificates_indexed(spark, sf_dir):
+    """The ledger's index is written, then asked."""
+    ledger, path = unsigned_ledger(spark, sf_dir), new_dir(spark, "search-index")
+    write_search_index(ledger, path)
+    return search_indexed(ledger, path, "USER_4").select(
+        "audit_id", "entity_id", "shard_id", "merkle_root_hash"
+    )
+
+
 @query(
     "node_state",
     f"""WITH {_NODES} SELECT node_id, entity_id AS label, 'entity' AS type, shard_id,

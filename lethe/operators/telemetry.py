@@ -67,13 +67,15 @@ def search_events(events: DataFrame, query: str) -> DataFrame:
     return events.where(contains_folded(event_json(), query)) if query.strip() else events
 
 
+SEARCHED = ("entity_id", "shard_id", "audit_id", "merkle_root_hash")
+
+
 def search_certificates(ledger: DataFrame, query: str) -> DataFrame:
     """Certificates whose entity, shard, audit id or hash contains the query."""
     if not query.strip():
         return ledger
-    columns = ("entity_id", "shard_id", "audit_id", "merkle_root_hash")
     hit = F.lit(False)
-    for name in columns:
+    for name in SEARCHED:
         hit = hit | contains_folded(F.col(name).cast("string"), query)
     return ledger.where(hit)
 

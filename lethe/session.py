@@ -6,8 +6,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Keyed state larger than memory, and the store transformWithState needs.
+    # Keyed state larger than memory.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -34,24 +32,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-
-
-@contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Start stateful streams inside: they get the state store they need, others are not
-    affected (a query keeps the settings it was started with)."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
-
-
 _shipped: set[str] = set()
 
 
