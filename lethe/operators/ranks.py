@@ -16,6 +16,31 @@ def _ordered(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _per_group(sums: DataFrame, within: Sequence[str], part: str) -> DataFrame:
+    """Sums ahead of each range and over all ranges of its group."""
+    group = Window.partitionBy(*within)
+    ahead = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(within)],
+        F.col(part).alias("_p"),
+        "_start",
+        F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"),
+        F.sum("_sum").over(group).alias("_total"),
+    )
+
+
+def _overall(sums: DataFrame, part: str) -> DataFrame:
+    """The same for a single group: a row per shuffle partition, added up on the driver."""
+    rows = sorted((r[part], r["_start"], r["_sum"] or 0) for r in sums.collect())
+    total, ahead = sum(r[2] for r in rows), 0
+    offsets = []
+    for at, start, own in rows:
+        offsets.append((at, start, ahead, total))
+        ahead += own
+    schema = "_p int, _start long, _ahead long, _total long"
+    return F.broadcast(sums.sparkSession.createDataFrame(offsets, schema))
+
+
 def with_running_sum(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -52,15 +77,7 @@ def with_running_sum(
         F.min(row).alias("_start"),
         (F.count(F.lit(1)) if value is None else F.sum(value)).alias("_sum"),
     )
-    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    ahead = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(within)],
-        F.col(part).alias("_p"),
-        "_start",
-        F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"),
-        F.sum("_sum").over(group).alias("_total"),
-    )
+    offsets = _per_group(sums, within, part) if within else _overall(sums, part)
     same = F.col(part) == F.col("_p")
     for i, c in enumerate(within):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))

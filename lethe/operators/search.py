@@ -26,7 +26,10 @@ def _grams(text: Column) -> Column:
 def search_postings(ledger: DataFrame) -> DataFrame:
     """``gram, field, audit_id, bucket``: which certificates have which letters in which column."""
     fields = F.array(
-        *[F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("text")) for name in SEARCHED]
+        *[
+            F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("text"))
+            for name in SEARCHED
+        ]
     )
     rows = ledger.select("audit_id", F.explode(fields).alias("f"))
     grams = rows.select("audit_id", "f.field", F.explode(_grams(F.col("f.text"))).alias("gram"))
@@ -34,7 +37,8 @@ def search_postings(ledger: DataFrame) -> DataFrame:
 
 
 def write_search_index(ledger: DataFrame, path: str, mode: str = "append") -> None:
-    """Add certificates, which all have an audit id, to the index at ``path``; a purge does not touch it, as certificates stay.
+    """Add certificates, which all have an audit id, to the index at ``path``. A purge does not
+    touch it, as certificates stay.
 
     Postings are laid out by a hash of the letters, and dealt out by letters and certificate, so
     common letters are many files.
@@ -59,16 +63,21 @@ def search_indexed(ledger: DataFrame, path: str, query: str) -> DataFrame:
         return search_certificates(ledger, query)
     spark = ledger.sparkSession
     wanted = spark.range(1).select(F.explode(_grams(F.lit(query.lower()))).alias("gram"))
-    grams = [(r.gram, r.bucket) for r in wanted.select("gram", _bucket(F.col("gram")).alias("bucket")).collect()]
+    grams = wanted.select("gram", _bucket(F.col("gram")).alias("bucket")).collect()
     if not grams:
         return search_certificates(ledger, query)
-    postings = spark.read.schema("gram string, field string, audit_id string, bucket int").parquet(path)
+    schema = "gram string, field string, audit_id string, bucket int"
+    near = F.col("bucket").isin([r.bucket for r in grams])
     hits = (
-        postings.where(F.col("bucket").isin([b for _, b in grams]) & F.col("gram").isin([g for g, _ in grams]))
+        spark.read.schema(schema)
+        .parquet(path)
+        .where(near & F.col("gram").isin([r.gram for r in grams]))
         .select("audit_id", "field", "gram")
         .distinct()
         .groupBy("audit_id", "field")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == len(grams))
+        .select("audit_id")
+        .distinct()
     )
-    return search_certificates(ledger.join(hits.select("audit_id").distinct(), "audit_id", "left_semi"), query)
+    return search_certificates(ledger.join(hits, "audit_id", "left_semi"), query)
