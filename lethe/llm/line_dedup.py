@@ -15,7 +15,7 @@ COUNTERS = 1 << 14
 RARITY_BITS = 56  # a token is its rarity class above this many bits of its hash
 
 
-FILTER_BITS = 1 << 20  # of the filter on rows to fetch
+FILTER_BITS = 1 << 22  # of the filter on lines to fetch
 MAPS = 4  # bitmaps of 64 places per set of a candidate pair
 REPRESENTATIVES = 8  # tokens by which a set is first held against single others
 
@@ -199,13 +199,13 @@ def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _maybe_among(rows: DataFrame, key: str) -> Column:
+def _maybe_among(rows: DataFrame, *keys: str) -> Column:
     """A test that holds for every key of ``rows`` and for few others while these are few.
 
     The keys are folded into ``FILTER_BITS`` bits, whatever their number, and go to the tasks
     as one small array; a full array only stops saving work.
     """
-    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    h = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
     words = rows.groupBy(F.floor(h / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
     found = {r["at"]: r["bits"] for r in words}
@@ -219,24 +219,16 @@ def similar_pairs(
     docs: DataFrame, sets: DataFrame, candidates: DataFrame, similarity: float
 ) -> DataFrame:
     """The candidates whose word sets have at least this Jaccard similarity, of 64-bit hashes
-    of the whole words."""
+    of the whole words. Lines of candidates are taken out of their texts where these lie."""
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = written(
-        sets.join(ids, "id", "left_semi").select("id", "row_key", "line_no"), "line-wanted"
-    )
-    per_doc = wanted.groupBy("row_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("lines")
-    )
-    fetched = (
-        docs.select("row_key", "text").where(_maybe_among(wanted, "row_key")).join(per_doc, "row_key")
-    )
-    line = F.get("text", F.col("line_no"))
+    place = ["row_key", "line_no"]
+    wanted = written(sets.join(ids, "id", "left_semi").select("id", *place), "line-wanted")
+    lines = docs.select("row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    hashed = F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))
     words = written(
-        fetched.select(F.split("text", "\n").alias("text"), F.explode("lines").alias("line_no", "id"))
-        .select(
-            "id",
-            F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))).alias("words"),
-        )
+        lines.where(_maybe_among(wanted, *place))
+        .join(wanted, place)
+        .select("id", F.array_distinct(hashed).alias("words"))
         .withColumn("maps", _bitmaps(F.col("words"))),
         "line-words",
     )
