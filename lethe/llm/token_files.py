@@ -35,12 +35,14 @@ SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 ROWS_OUT = 512  # documents per batch handed back to Spark
 
 
-def list_array(parts: list[np.ndarray]) -> pa.ListArray:
-    """Lists over one flat buffer of ids."""
+def list_array(parts: list[np.ndarray], end: np.ndarray | None = None) -> pa.ListArray:
+    """Lists over one flat buffer of ids, each followed by ``end`` if given."""
     offsets = np.zeros(len(parts) + 1, "i4")
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    np.cumsum([len(p) + (end is not None) for p in parts], out=offsets[1:])
+    if end is not None:
+        parts = [ids for part in parts for ids in (part, end)]
     flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype("<i4")))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view("<i4")))
 
 
 def _encode(path: str, end_id: int, special_tokens: bool):
@@ -51,9 +53,9 @@ def _encode(path: str, end_id: int, special_tokens: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 rows = batch.slice(at, ROWS_OUT)
-                texts = (t.as_py() for t in rows.column("text"))
-                ids = [np.concatenate([i, end]) for i in encode_all(texts, path, special_tokens)]
-                sizes = np.array([len(i) for i in ids], "i8")
+                texts = rows.column("text").to_pylist()
+                ids = list(encode_all(texts, path, special_tokens))
+                sizes = np.array([len(i) + 1 for i in ids], "i8")
                 firsts = total + np.cumsum(sizes) - sizes
                 total += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -62,7 +64,7 @@ def _encode(path: str, end_id: int, special_tokens: bool):
                         pa.array(np.full(len(ids), part, "i4")),
                         pa.array(firsts),
                         pa.array(sizes),
-                        list_array(ids),
+                        list_array(ids, end),
                     ],
                     names=["doc_id", "part", "first", "n_tokens", "ids"],
                 )

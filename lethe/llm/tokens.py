@@ -40,13 +40,13 @@ class PieceEncoder:
     or with ``special_tokens`` that token, as in the library's plain call.
     """
 
-    def __init__(self, path: str, capacity: int = 250_000, special_tokens: bool = False):
+    def __init__(self, path: str, capacity: int = 500_000, special_tokens: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.special: dict[str, bytes] = {}
         if special_tokens:
             added = self.tokenizer.get_added_tokens_decoder()
@@ -88,7 +88,7 @@ class PieceEncoder:
 
     def _word(self, word: str, lead: str) -> bytes:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(lead + spelt)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(lead + spelt)]).tobytes()
 
     def _tail(self, marks: str) -> bytes:
         ids = self.tails.get(marks)
@@ -109,17 +109,17 @@ class PieceEncoder:
         head = self.young.get(word) or self.old.get(word)
         if head is None:
             head = self._word(word, self.space)
-            self._keep(word, head)
+            at = hash(word) & self.mask
+            if self.seen[at]:
+                self._keep(word, head)
+            else:
+                self.seen[at] = 1
         if below is None:
             return head + self._tail(marks)
         return head + self._tail(marks + "\n") + self._word(below, "") + (self._tail(more) if more else b"")
 
     def _keep(self, piece: str, ids: bytes) -> None:
-        """Remember a piece from its second time on; most pieces never come again."""
-        at = hash(piece) & self.mask
-        if not self.seen[at]:
-            self.seen[at] = 1
-            return
+        """Remember a piece; when the young generation is full it becomes the old one."""
         if len(self.young) >= self.capacity:
             self.old, self.young = self.young, {}
             self.seen = bytearray(self.mask + 1)
@@ -145,19 +145,31 @@ class PieceEncoder:
         # A text that begins with a space is cut in front of its first word, leaving nothing.
         ids = list(map(self.young.get, pieces))
         ids[0] = self._whole(first) if first else b""
-        old = self.old.get
+        old, seen, mask = self.old.get, self.seen, self.mask
         for i in [i for i, found in enumerate(ids) if found is None]:
             piece = pieces[i]
-            ids[i] = old(piece) or self._after_space(piece)
-            if len(piece) < 64:
-                self._keep(piece, ids[i])
+            found = old(piece)
+            if found is None:
+                if piece.isascii() and piece.isalpha():
+                    found = self._word(piece, self.space)
+                else:
+                    found = self._after_space(piece)
+                    old, seen = self.old.get, self.seen
+            ids[i] = found
+            # Most pieces never come again: nothing is kept at their first time.
+            at = hash(piece) & mask
+            if not seen[at]:
+                seen[at] = 1
+            elif len(piece) < 64:
+                self._keep(piece, found)
+                old, seen = self.old.get, self.seen
         return b"".join(ids)
 
 
 _encoders: dict[tuple[str, int, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, capacity: int = 250_000, special_tokens: bool = False) -> PieceEncoder:
+def encoder(path: str, capacity: int = 500_000, special_tokens: bool = False) -> PieceEncoder:
     """The encoder of this Python worker; what it remembers lasts from task to task."""
     key = (path, capacity, special_tokens)
     if key not in _encoders:
