@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from lethe.llm.common import WHITE, free_name, with_row_key, written
 
 SIMILARITY = 0.8
-# Words share this many counters of how often they occur; the table goes to all tasks.
-COUNTERS = 1 << 14
+# Words share this many counters of how often they occur; the table of their classes goes to all
+# tasks. With few counters a rare word takes the class of a frequent one that it shares with.
+COUNTERS = 1 << 18
+COUNTER_ROWS = 1 << 10  # counters in one row to the driver
 RARITY_BITS = 56  # a token is its rarity class above this many bits of its hash
 
 
 FILTER_BITS = 1 << 22  # of the filter on lines to fetch
 MAPS = 4  # bitmaps of 64 places per set of a candidate pair
-REPRESENTATIVES = 8  # tokens by which a set is first held against single others
+REPRESENTATIVES = 3  # tokens by which a set is first held against single others
 
 
-def split_words(line: Column) -> Column:
-    """Words of a line that has some, parted by white space."""
-    return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), f"[{WHITE}]+")
+def split_words(text: Column) -> Column:
+    """Words of a text, parted by white space; a split at one character needs no pattern."""
+    for white in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(white), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def word_rarity(texts: DataFrame) -> list[int]:
@@ -31,15 +35,20 @@ def word_rarity(texts: DataFrame) -> list[int]:
     All words of all texts are counted, combined before the shuffle; the result has
     ``COUNTERS`` entries whatever the input.
     """
-    words = texts.select(F.explode(F.split("text", f"[{WHITE}]+")).alias("word"))
-    counted = (
-        words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("counter"))
-        .agg(F.count("*").alias("n"))
-        .select("counter", F.floor(F.log2("n")).cast("int").alias("rarity"))
+    words = texts.select(F.explode(split_words(F.col("text"))).alias("word"))
+    counted = words.groupBy(
+        F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).cast("int").alias("counter")
+    ).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("rarity"))
+    rows = (
+        counted.groupBy((F.col("counter") / COUNTER_ROWS).cast("int").alias("row"))
+        .agg(F.collect_list("counter").alias("counters"), F.collect_list("rarity").alias("rarities"))
         .collect()
     )
-    found = {r["counter"]: r["rarity"] for r in counted}
-    return [found.get(i, 0) for i in range(COUNTERS)]
+    found = [0] * COUNTERS
+    for r in rows:
+        for counter, rarity in zip(r["counters"], r["rarities"], strict=True):
+            found[counter] = rarity
+    return found
 
 
 def token_order(words: Column, rarity: list[int]) -> Column:
@@ -53,7 +62,7 @@ def token_order(words: Column, rarity: list[int]) -> Column:
         ).bitwiseOR(h.bitwiseAND(mask))
 
     # Of plain numbers: the native sort and set need no comparison function.
-    return F.sort_array(F.array_distinct(F.transform(words, token)))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: token(F.xxhash64(w)))))
 
 
 def least_overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -80,8 +89,8 @@ def line_sets(docs: DataFrame, rarity: list[int], similarity: float) -> DataFram
     lines = docs.select(
         "doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).where(F.col("line").rlike(f"[^{WHITE}]"))
-    hashed = F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))
-    tokens = lines.select("doc_id", "row_key", "line_no", token_order(hashed, rarity).alias("t"))
+    words = split_words(F.col("line"))
+    tokens = lines.select("doc_id", "row_key", "line_no", token_order(words, rarity).alias("t"))
     n = F.size("t")
     return written(
         tokens.select(
@@ -136,7 +145,11 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
             "doc_id", "row_key", "line_no", "n", "bits", "prefix",
         )
     )
-    sets = lines.groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", "first.*")
+    sets = (
+        lines.groupBy("k1", "k2")
+        .agg(first.alias("first"), F.count("*").alias("copies"))
+        .select("k1", "k2", "copies", "first.*")
+    )
     return written(sets.withColumn("id", F.monotonically_increasing_id()), "line-sets")
 
 
@@ -175,19 +188,18 @@ def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: sets that share a prefix token and pass the length, positional and parity
     filters; at least one of the two is still ``open``.
 
-    Of two sets the smaller one is met by a shorter prefix: it has more tokens in common with a
-    larger set, for its size, than the larger one with it.
+    Both sides are one and the same shuffled table. That the smaller set of a pair is met by a
+    shorter prefix, as it has more tokens in common for its size, follows from the positional
+    filter.
     """
-    short = F.col("n") - least_overlap(F.col("n"), F.col("n"), similarity) + 1
     kept = ["id", "n", "bits", "open"]
-    small = sets.select(*kept, F.posexplode(F.slice("prefix", F.lit(1), short.cast("int"))).alias("pos", "token"))
-    large = sets.select(*kept, F.posexplode("prefix").alias("pos", "token"))
+    tokens = sets.select(*kept, F.posexplode("prefix").alias("pos", "token"))
     a, b = ({c: F.col(f"{p}.{c}") for c in (*kept, "pos", "token")} for p in "ab")
     need = least_overlap(a["n"], b["n"], similarity)
     return (
-        small.alias("a")
+        tokens.alias("a")
         .join(
-            large.alias("b"),
+            tokens.alias("b"),
             (a["token"] == b["token"])
             & ((a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["id"] < b["id"])))
             & (a["open"] | b["open"])
@@ -302,8 +314,12 @@ def find_repeated_lines(
         candidate_pairs(marked.withColumn("open", F.col("marked").isNull()), similarity), "line-pairs"
     )
     later = found.unionByName(later_sets(docs, sets, candidates, similarity)).distinct()
-    known = sets.join(later.withColumn("later", F.lit(True)), "id", "left").select(
-        "k1", "k2", F.col("row_key").alias("first_row"), F.col("line_no").alias("first_line"), "later"
+    known = (
+        sets.join(later.withColumn("later", F.lit(True)), "id", "left")
+        .where((F.col("copies") > 1) | F.col("later"))
+        .select(
+            "k1", "k2", F.col("row_key").alias("first_row"), F.col("line_no").alias("first_line"), "later"
+        )
     )
     stays = (
         (F.col("row_key") == F.col("first_row"))
