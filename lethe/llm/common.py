@@ -35,13 +35,18 @@ def scratch(spark: SparkSession, keep_last: bool = False) -> Iterator[None]:
     For callers that write a result before they leave; a result not yet written needs them.
     """
     before = len(_written)
-    yield
-    hadoop = spark._jsc.hadoopConfiguration()
-    own = _written[before:]
-    del _written[before:]
-    for path in own[:-1] if keep_last else own:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(hadoop).delete(folder, True)
+    whole = False
+    try:
+        yield
+        whole = True
+    finally:
+        hadoop = spark._jsc.hadoopConfiguration()
+        own = _written[before:]
+        del _written[before:]
+        # After an error there is no result to keep.
+        for path in own[:-1] if keep_last and whole else own:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
 
 
 # Rows of long texts are handed to Python in batches of about so many bytes and rows at most; the
