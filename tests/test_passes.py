@@ -1,0 +1,43 @@
+"""Extraction tags only the sentences and tokens that its triplets depend on."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from lethe.functions.annotate import SentenceAnnotator, rule_annotate
+from lethe.operators import triplets
+
+WORDS = "Alice Bob is IS developed tried red ied 12 the of code worKs İs é x_ed wrote".split()
+
+
+def texts(n):
+    rng = random.Random(8)
+    ends = [". ", "\n", " ", " "]
+    return [
+        "".join(rng.choice(WORDS) + rng.choice(ends) for _ in range(rng.randrange(40)))
+        for _ in range(n)
+    ]
+
+
+def test_passes_give_what_whole_texts_give(spark):
+    df = spark.createDataFrame([(t,) for t in texts(300)], "text string")
+    # Any other callable has all its tokens made first.
+    whole = triplets.extract_triplets(df, lambda text: rule_annotate(text))
+    both = triplets.extract_triplets(whole.withColumnRenamed("triplets", "whole"))
+    rows = both.select("whole", "triplets").collect()
+    assert all(r.whole == r.triplets for r in rows)
+    assert len({len(r.whole) for r in rows}) > 3
+
+
+def test_sentences_without_a_verb_are_not_tagged(spark):
+    def tag(sentence, whole=None):
+        verbal = rule_annotate.may_hold_verb(sentence)
+        refuse = F.raise_error(F.lit("tagged without need")).cast("string")
+        return rule_annotate.tag(F.when(verbal, sentence).otherwise(refuse), whole)
+
+    annotator = SentenceAnnotator(rule_annotate.split, rule_annotate.may_hold_verb, tag)
+    df = spark.createDataFrame([("Plain words. Alice wrote code. More words.",)], "text string")
+    row = triplets.extract_triplets(df, annotator).first()
+    assert [tuple(t) for t in row.triplets] == [("Alice", "WRITE", "code")]
