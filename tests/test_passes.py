@@ -41,3 +41,16 @@ def test_sentences_without_a_verb_are_not_tagged(spark):
     df = spark.createDataFrame([("Plain words. Alice wrote code. More words.",)], "text string")
     row = triplets.extract_triplets(df, annotator).first()
     assert [tuple(t) for t in row.triplets] == [("Alice", "WRITE", "code")]
+
+
+def test_tokens_are_grouped_once(spark):
+    """Four steps read what becomes of a sentence; its tokens are sorted and folded for one."""
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts(40))], "text string, doc_id long")
+    rows = triplets.triplets_from_tokens(triplets.token_table(df), df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    direct = triplets.triplet_rows(triplets.extract_triplets(df), "doc_id")
+    columns = ["doc_id", "subject", "predicate", "object"]
+    assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(
+        map(tuple, direct.select(*columns).collect())
+    )
