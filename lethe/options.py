@@ -17,8 +17,8 @@ class EngineOptions:
     ``num_shards`` is the logical shard count an entity hashes into. ``buckets`` splits each
     shard into physical cells, the unit a purge rewrites, so its cost follows the cells that
     hold purged entities and not the size of the shard. ``input_partitions`` deals the requests
-    of a batch out to so many tasks; unset, they stay as their files are split, which is right
-    for anything larger than a few splits. ``encode_batch`` is the number of texts an encoder gets
+    of a batch out to so many tasks, if their files are not split as evenly already; unset, they
+    stay as their files are split, which is right for anything larger than a few splits. ``encode_batch`` is the number of texts an encoder gets
     at a time.
     """
 

@@ -37,12 +37,13 @@ def prepare(
     store: ShardedStore,
     encoder: Encoder | None = None,
     annotator: Callable[[Column], Column] = rule_annotate,
+    even: bool = False,
 ) -> DataFrame:
     """Accepted requests with shard, vector, triplets and the item's own error; texts are
-    shuffled only if the options deal them out."""
+    shuffled only if the options deal them out, and not if they are spread evenly as they are."""
     options = store.options
     encoder = encoder or hashing_encoder(options.dimension)
-    if options.input_partitions:
+    if options.input_partitions and not even:
         requests = requests.repartition(options.input_partitions)
     located = with_cell(requests, options)
     encoded = embed_documents(extract_triplets(located, annotator), encoder)
@@ -124,13 +125,17 @@ def run_ingest_batch(
     store.take()
     if source is not None and batch <= store.applied(source)["batch"]:
         return None
-    require_numbers(requests)
+    total, most = require_numbers(requests)
+    # No task reads much more than its share.
+    even = most * (store.options.input_partitions or 1) <= 1.25 * total
     try:
         verdicts = ingest_batch_verdicts(requests)
         if batches is not None:
             verdicts = with_empty_batches(verdicts, batches, messages.INGEST_EMPTY_BATCH)
         verdicts = store.stage(verdicts)
-        items = store.stage(prepare(accepted(requests, verdicts), store, encoder, annotator))
+        items = store.stage(
+            prepare(accepted(requests, verdicts), store, encoder, annotator, even)
+        )
         good = items.where(F.col("error").isNull())
         change = _changes(store, good, as_of)
         change.commit(source, batch, numbers=numbers)

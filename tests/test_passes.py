@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from lethe.functions.annotate import SentenceAnnotator, rule_annotate
 from lethe.operators import triplets
+from lethe.operators.embed import hashing_encoder
+from lethe.operators.validate import require_numbers
+from lethe.options import EngineOptions
+from lethe.plans.ingest import run_ingest_batch
+from lethe.sources.store import ShardedStore
 
 WORDS = "Alice Bob is IS developed tried red ied 12 the of code worKs İs é x_ed wrote".split()
 
@@ -54,3 +59,48 @@ def test_tokens_are_grouped_once(spark):
     assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(
         map(tuple, direct.select(*columns).collect())
     )
+
+
+def test_roles_give_what_tokens_give(spark):
+    """Sentences with no verb, one and several: the roles alone give the triplets of the tokens."""
+    some = [t.replace(".", "").replace("\n", " ") for t in texts(300)]
+    df = spark.createDataFrame([(t,) for t in some], "text string")
+    rows = df.select(
+        triplets.sentence_triplets(rule_annotate.tag(F.col("text"))).alias("whole"),
+        triplets.fold_roles(rule_annotate.roles(F.col("text"))).alias("short"),
+    ).collect()
+    assert all(r.whole == r.short for r in rows)
+    assert len({len(r.whole) for r in rows}) > 3
+
+
+def test_triplets_are_found_without_tokens(spark):
+    """Tokens are made for the fallback only."""
+
+    def tag(sentence, whole=None):
+        return rule_annotate.tag(F.raise_error(F.lit("tagged without need")).cast("string"))
+
+    annotator = SentenceAnnotator(
+        rule_annotate.split, rule_annotate.may_hold_verb, tag, rule_annotate.roles
+    )
+    df = spark.createDataFrame([("Plain words. Alice wrote code.",)], "text string")
+    row = triplets.extract_triplets(df, annotator).first()
+    assert [tuple(t) for t in row.triplets] == [("Alice", "WRITE", "code")]
+
+
+def test_even_splits_are_not_dealt_out_again(spark, tmp_path):
+    options = EngineOptions(num_shards=2, dimension=8, buckets=2, input_partitions=4)
+    rows = [(str(i), i, f"id_{i}", "user_1", "Alice wrote code.") for i in range(64)]
+    columns = "batch_id string, seq long, id string, entity_id string, text string"
+    for parts, most in ((4, 16), (1, 64)):
+        split = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), columns)
+        assert require_numbers(split) == (64, most)
+        store = ShardedStore(spark, str(tmp_path / str(parts)), options)
+        plans = []
+
+        def encoder(frame, text, out):
+            plans.append(frame._jdf.queryExecution().toString())
+            return hashing_encoder(8)(frame, text, out)
+
+        run_ingest_batch(store, split, 1, encoder=encoder)
+        assert ("Repartition 4" in plans[0]) == (parts == 1)
+        assert store.read("vectors").count() == 64
