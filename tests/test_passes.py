@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lethe.functions.annotate import SentenceAnnotator, rule_annotate
+from lethe.functions.annotate import SentenceAnnotator, rule_annotate, sentence_roles
 from lethe.operators import triplets
 from lethe.operators.embed import hashing_encoder
 from lethe.operators.validate import require_numbers
@@ -67,7 +67,7 @@ def test_roles_give_what_tokens_give(spark):
     df = spark.createDataFrame([(t,) for t in some], "text string")
     rows = df.select(
         triplets.sentence_triplets(rule_annotate.tag(F.col("text"))).alias("whole"),
-        triplets.fold_roles(rule_annotate.roles(F.col("text"))).alias("short"),
+        triplets.fold_roles(sentence_roles(F.col("text"))).alias("short"),
     ).collect()
     assert all(r.whole == r.short for r in rows)
     assert len({len(r.whole) for r in rows}) > 3
@@ -75,16 +75,10 @@ def test_roles_give_what_tokens_give(spark):
 
 def test_triplets_are_found_without_tokens(spark):
     """Tokens are made for the fallback only."""
-
-    def tag(sentence, whole=None):
-        return rule_annotate.tag(F.raise_error(F.lit("tagged without need")).cast("string"))
-
-    annotator = SentenceAnnotator(
-        rule_annotate.split, rule_annotate.may_hold_verb, tag, rule_annotate.roles
-    )
-    df = spark.createDataFrame([("Plain words. Alice wrote code.",)], "text string")
-    row = triplets.extract_triplets(df, annotator).first()
-    assert [tuple(t) for t in row.triplets] == [("Alice", "WRITE", "code")]
+    df = spark.createDataFrame([("Alice wrote code",)], "text string")
+    x = df.select(rule_annotate.read(F.col("text"), F.lit(True)).alias("x")).first().x
+    assert x.tokens is None
+    assert [tuple(r) for r in x.roles] == [("s", "Alice"), ("p", "write"), ("o", "code")]
 
 
 def test_even_splits_are_not_dealt_out_again(spark, tmp_path):
