@@ -180,13 +180,12 @@ def _changes(store: ShardedStore, good: DataFrame, as_of: int) -> Transaction:
     # Graph: nodes that are new, every edge, and no purge mark on entities with new knowledge.
     triplets = triplet_rows(good, *vectors.OWNER, "bucket")
     cells = touched_cells(good)
-    change.append(
-        "concept",
-        with_cell(
-            graph.new_concepts(store.read("concept", cells).drop("bucket"), triplets),
-            store.options,
-        ),
-    )
+    if cells & store.cells("concept"):
+        known = store.read("concept", cells).drop("bucket")
+        concepts = graph.new_concepts(known, triplets)
+    else:  # no node to compare with: triplets are unnested once
+        concepts = graph.concepts_of(triplets)
+    change.append("concept", with_cell(concepts, store.options))
     now = F.timestamp_seconds(F.lit(as_of))
     change.append(
         "knowledge", with_cell(graph.knowledge_rows(triplets, now), store.options)

@@ -7,11 +7,12 @@ import random
 from pyspark.sql import functions as F
 
 from lethe.functions.annotate import SentenceAnnotator, rule_annotate, sentence_roles
+from lethe.functions.text import has_content, non_blank
 from lethe.operators import triplets
 from lethe.operators.embed import hashing_encoder
 from lethe.operators.validate import require_numbers
 from lethe.options import EngineOptions
-from lethe.plans.ingest import run_ingest_batch
+from lethe.plans.ingest import _changes, prepare, run_ingest_batch
 from lethe.sources.store import ShardedStore
 
 WORDS = "Alice Bob is IS developed tried red ied 12 the of code worKs İs é x_ed wrote".split()
@@ -98,3 +99,41 @@ def test_even_splits_are_not_dealt_out_again(spark, tmp_path):
         run_ingest_batch(store, split, 1, encoder=encoder)
         assert ("Repartition 4" in plans[0]) == (parts == 1)
         assert store.read("vectors").count() == 64
+
+
+def test_fallback_tags_no_more_than_it_needs(spark):
+    """Two nouns are enough where no sentence holds a verb."""
+
+    def tag(sentence, whole=None):
+        refuse = F.raise_error(F.lit("tagged without need")).cast("string")
+        wanted = F.when(F.contains(sentence, F.lit("Unread")), refuse).otherwise(sentence)
+        return rule_annotate.tag(wanted, whole)
+
+    annotator = SentenceAnnotator(rule_annotate.split, rule_annotate.may_hold_verb, tag)
+    rows = ["One. Two. Unread word.", "Word one. Unread two."]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    found = triplets.extract_triplets(df, annotator).collect()
+    assert [r.triplets[0].subject for r in found] == ["One", "Word"]
+
+
+def test_nodes_of_an_empty_store_are_found_once(spark, tmp_path):
+    """There is nothing to compare the nodes with, so triplets are unnested for them once."""
+    options = EngineOptions(num_shards=2, dimension=8, buckets=2)
+    rows = [("b", i, f"id_{i}", f"user_{i}", "Alice wrote code.") for i in range(4)]
+    columns = "batch_id string, seq long, id string, entity_id string, text string"
+    df = spark.createDataFrame(rows, columns)
+    store = ShardedStore(spark, str(tmp_path), options)
+    items = prepare(df, store)
+    change = _changes(store, items, 1)
+    plan = change._rows["concept"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and "Join" not in plan
+    run_ingest_batch(store, df, 1)
+    run_ingest_batch(store, df.withColumn("seq", F.col("seq") + 10), 2)
+    assert store.read("concept").count() == 8
+
+
+def test_blank_heads_are_not_the_whole_text(spark):
+    rows = [(" " * 40 + "x", True), (" " * 40, False), ("x", True), (None, False), ("", False)]
+    df = spark.createDataFrame(rows, "text string, filled boolean")
+    found = df.select("filled", has_content(F.col("text")), non_blank(F.col("text"))).collect()
+    assert all(r[0] == r[1] == r[2] for r in found)
