@@ -48,7 +48,7 @@ from lethe.plans.audit import audit_requests, audit_store
 from lethe.plans.ingest import run_ingest, run_ingest_batch
 from lethe.plans.replay import replay_request_log
 from lethe.plans.unlearn import batch_summary, run_unlearn, run_unlearn_batch, unlearn_outcome
-from lethe.session import new_dir
+from lethe.session import materialise, new_dir
 from lethe.sources.export import export_ledger_array, export_ledger_lines
 from lethe.sources.requests import (
     read_ingest_documents,
@@ -359,7 +359,9 @@ def unlearn_leaves_no_copy(spark, sf_dir):
     dying = _DiesBeforeTheSwitch(spark, store.root, store.options)
     with suppress(RuntimeError):
         run_ingest_batch(dying, found.requests, EPOCH, source="two", batches=found.batches)
-    entities = found.requests.groupBy("entity_id").agg(F.min("seq").alias("seq"))
+    entities = materialise(
+        found.requests.groupBy("entity_id").agg(F.min("seq").alias("seq")), "entities"
+    )
     requests = entities.select(F.lit("b").alias("batch_id"), "seq", "entity_id")
     run_unlearn_batch(store, requests, EPOCH + 60, DEMO_KEY)
     held = [t for t in ("vectors", "slots", "concept", "knowledge", "_staging") if store.has(t)]

@@ -17,8 +17,9 @@ from lethe.operators.telemetry import ingest_events
 from lethe.operators.triplets import extract_triplets, triplet_rows
 from lethe.operators.validate import (
     accepted,
+    batch_verdicts,
     dimension_error,
-    ingest_batch_verdicts,
+    ingest_checks,
     require_numbers,
     with_empty_batches,
 )
@@ -125,11 +126,12 @@ def run_ingest_batch(
     store.take()
     if source is not None and batch <= store.applied(source)["batch"]:
         return None
-    total, most = require_numbers(requests)
-    # No task reads much more than its share.
-    even = most * (store.options.input_partitions or 1) <= 1.25 * total
     try:
-        verdicts = ingest_batch_verdicts(requests)
+        checks = store.stage(ingest_checks(requests))
+        total, most = require_numbers(checks, F.col("task"))
+        # No task reads much more than its share.
+        even = most * (store.options.input_partitions or 1) <= 1.25 * total
+        verdicts = batch_verdicts(checks, F.col("message"))
         if batches is not None:
             verdicts = with_empty_batches(verdicts, batches, messages.INGEST_EMPTY_BATCH)
         verdicts = store.stage(verdicts)

@@ -186,8 +186,10 @@ def run_unlearn_batch(
     if batch < state["batch"] or (batch == state["batch"] and state["phase"] == "done"):
         return None
     tag = f"{source}/{batch}"
-    require_numbers(requests)
     try:
+        # Whatever requests come from is computed once.
+        requests = store.stage(requests.select("batch_id", "seq", "entity_id"))
+        require_numbers(requests)
         verdicts = unlearn_batch_verdicts(requests)
         if batches is not None:
             verdicts = with_empty_batches(verdicts, batches, messages.UNLEARN_EMPTY_BATCH)

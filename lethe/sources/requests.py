@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lethe import schemas
 from lethe.operators.ranks import with_running_sum
+from lethe.session import materialise
 
 BLANK = " \t\r\n"
 
@@ -95,7 +96,8 @@ def number_payloads(texts: DataFrame, n_items: Column) -> tuple[DataFrame, int,
 
     A piece of a file is read by one task from its beginning, so a payload's place in it is the
     distance to the piece's first row number. What is written and accumulated is one row of
-    counts per piece: no text is copied or shuffled.
+    counts per piece: no text is copied or shuffled. The counts are written last of all, as the
+    optimizer broadcasts what it knows to be small, and knows it of files only.
     """
     rows = texts.withColumn("row", F.monotonically_increasing_id())
     pieces = rows.groupBy(*PIECE).agg(
@@ -105,7 +107,7 @@ def number_payloads(texts: DataFrame, n_items: Column) -> tuple[DataFrame, int,
     )
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("in_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    starts = with_running_sum(placed, PIECE, value="n")
+    starts = materialise(with_running_sum(placed, PIECE, value="n"), "pieces")
     found = starts.agg(F.sum("n"), F.max("most")).first()
     place = F.col("row") - F.col("first_row")
     numbered = rows.join(starts, PIECE).select(

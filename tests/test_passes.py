@@ -13,6 +13,7 @@ from lethe.operators.embed import hashing_encoder
 from lethe.operators.validate import require_numbers
 from lethe.options import EngineOptions
 from lethe.plans.ingest import _changes, prepare, run_ingest_batch
+from lethe.plans.unlearn import run_unlearn_batch
 from lethe.sources.store import ShardedStore
 
 WORDS = "Alice Bob is IS developed tried red ied 12 the of code worKs İs é x_ed wrote".split()
@@ -122,3 +123,38 @@ def test_blank_heads_are_not_the_whole_text(spark):
     df = spark.createDataFrame(rows, "text string, filled boolean")
     found = df.select("filled", has_content(F.col("text")), non_blank(F.col("text"))).collect()
     assert all(r[0] == r[1] == r[2] for r in found)
+
+
+def test_fallback_makes_no_other_tokens(spark):
+    """Of a sentence without a triplet the first two nouns and the first verb are enough."""
+    df = spark.createDataFrame([("tried wrote 12 Alice Bob code x_ed",)], "text string")
+    x = df.select(rule_annotate.read(F.col("text"), F.lit(False)).alias("x")).first().x
+    assert x.roles is None
+    assert [(t.text, t.lemma, t.pos) for t in x.tokens] == [
+        ("Alice", None, "NOUN"), ("Bob", None, "NOUN"), (None, "try", "VERB")
+    ]
+
+
+def _counting(spark, rows, columns):
+    """A table that counts how often its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), columns), seen
+
+
+def test_requests_are_computed_once_per_step(spark, tmp_path):
+    """An ingest reads its texts to check them and to prepare them, a purge its ids once."""
+    store = ShardedStore(spark, str(tmp_path), EngineOptions(num_shards=2, dimension=8, buckets=2))
+    rows = [("b", i, f"id_{i}", f"user_{i}", "Alice wrote code.") for i in range(6)]
+    columns = "batch_id string, seq long, id string, entity_id string, text string"
+    df, seen = _counting(spark, rows, columns)
+    run_ingest_batch(store, df, 1)
+    assert seen.value == 2 * len(rows) and store.read("vectors").count() == 6
+    asked = [("b", i, f"user_{i}") for i in range(4)]
+    df, seen = _counting(spark, asked, "batch_id string, seq long, entity_id string")
+    run_unlearn_batch(store, df, 2, bytes(range(32)))
+    assert seen.value == len(asked) and store.read("vectors").count() == 2

@@ -63,3 +63,13 @@ def test_pretty_printed_documents(spark, tmp_path):
     (asked / "b.json").write_text('{\n  "entity_id": "entity_3"\n}')
     found = requests.read_unlearn_documents(spark, str(asked))
     assert [r.entity_id for r in found.requests.orderBy("seq").collect()] == ["entity_1", "entity_2", "entity_3"]
+
+
+def test_payload_texts_are_not_shuffled(spark, tmp_path):
+    """The numbers of the pieces are known to be small, so texts meet them where they lie."""
+    one = {"id": "doc_1", "entity_id": "entity_1", "text": "x"}
+    (tmp_path / "lines.txt").write_text("\n".join([json.dumps(one), json.dumps([one, one])]))
+    found = requests.read_ingest_payloads(spark, str(tmp_path))
+    plan = found.requests._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert seqs(found) == [0, 2, 3]
