@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lethe import schemas
 from lethe.operators.ranks import with_running_sum
+from lethe.operators.triplets import unnest
 from lethe.session import materialise
 
 BLANK = " \t\r\n"
@@ -55,8 +56,7 @@ def parse_unlearn_payload(payload: Column) -> Column:
 
 def _explode(requests: DataFrame, payload: str, items: Column) -> DataFrame:
     keep = [c for c in requests.columns if c != payload]
-    rows = requests.select(*keep, items.alias("_items"))
-    return rows.select(*keep, F.posexplode("_items").alias("item", "_item"))
+    return unnest(requests, items, "item", "_item", *keep)  # parses each payload once
 
 
 def explode_ingest(requests: DataFrame, payload: str = "payload") -> DataFrame:

@@ -73,3 +73,13 @@ def test_payload_texts_are_not_shuffled(spark, tmp_path):
     plan = found.requests._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     assert seqs(found) == [0, 2, 3]
+
+
+def test_payloads_are_parsed_once(spark, tmp_path):
+    """No test of the number of requests stands below the one parse that gives them."""
+    (tmp_path / "lines.txt").write_text('["a", null]\n[]\nnot one\n{"entity_id": "b"}\n')
+    texts = requests.payload_texts(spark.read, str(tmp_path)).select("payload")
+    plan = requests.explode_ingest(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    rows = requests.explode_unlearn(texts).collect()
+    assert sorted((r.item, r.entity_id or "") for r in rows) == [(0, "a"), (0, "b"), (1, "")]
