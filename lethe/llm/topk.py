@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +18,9 @@ DIMS = 8  # dimensions added between two prunings
 # Products and sums up to here are exact in double arithmetic.
 EXACT = 1 << 53
 
-BLOCK_SCHEMA = "block int, rows binary, ids binary, width int, cells binary"
+BLOCK_SCHEMA = "rows binary, ids binary, width int, cells binary"
 BLOCK_ARROW = pa.schema(
     [
-        ("block", pa.int32()),
         ("rows", pa.binary()),
         ("ids", pa.binary()),
         ("width", pa.int32()),
@@ -66,14 +64,13 @@ def _pack(rows: np.ndarray, ids: np.ndarray, lists: pa.ListArray) -> dict:
 
 
 def _as_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of the task as one block, numbered as the task is."""
+    """All rows of the task as one block."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     whole = pa.Table.from_batches(parts).combine_chunks()
     lists = whole.column("v").combine_chunks()
     packed = _pack(whole.column("row").to_numpy(), whole.column("vec_id").to_numpy(), lists)
-    packed["block"] = TaskContext.get().partitionId()
     yield pa.RecordBatch.from_pylist([packed], BLOCK_ARROW)
 
 
@@ -188,10 +185,22 @@ def _search(k: int):
     return search
 
 
-def _written_blocks(vectors: DataFrame, rows: int, label: str) -> tuple[int, DataFrame]:
-    """How many block numbers there are, and the blocks, of about ``rows`` rows each."""
+def _written_blocks(vectors: DataFrame, rows: int, label: str) -> DataFrame:
+    """Blocks of about ``rows`` rows each."""
     n = max(1, -(-vectors.count() // rows))
-    return n, written(vectors.repartition(n).mapInArrow(_as_block, BLOCK_SCHEMA), label)
+    return written(vectors.repartition(n).mapInArrow(_as_block, BLOCK_SCHEMA), label)
+
+
+def _pairs(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each candidate block beside each query block, whose columns begin with ``q_``.
+
+    A product by pairs of partitions: each task reads the blocks of both sides from where they
+    were written, so nothing is copied, shuffled or broadcast. The optimizer takes one side for
+    small by its compressed files, and would collect it on the driver. A task holds the query
+    blocks of its partition.
+    """
+    named = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+    return blocks.crossJoin(named.hint("shuffle_replicate_nl"))
 
 
 def top_k(
@@ -212,14 +221,9 @@ def top_k(
     vector shorter than another counts as filled up with zeros, an empty one scores 0. Scores
     beyond 64 bits wrap around, as they do in SQL without ANSI checks.
     """
-    n_blocks, blocks = _written_blocks(vectors, block_rows, "blocks")
-    _, asked = _written_blocks(queries, query_rows, "queries")
-    pairs = (
-        asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .join(blocks, "block")
-    )
-    found = pairs.mapInArrow(
+    blocks = _written_blocks(vectors, block_rows, "blocks")
+    asked = _written_blocks(queries, query_rows, "queries")
+    found = _pairs(blocks, asked).mapInArrow(
         _search(k), "query_row long, query_id long, vec_id long, row long, score long"
     )
     best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")

@@ -64,3 +64,15 @@ def test_pruning_loses_nothing(spark, spread):
     whole = quantised(df.coalesce(1), "vec_id", "embedding", 256)
     got = top_k(whole, whole.where("vec_id % 50 = 0"), 5, block_rows=100, query_rows=4)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute(rows, 5)
+
+
+def test_pairs_of_blocks_are_not_collected_on_the_driver(spark):
+    """However small the written blocks are, no side is broadcast, nor copied for a shuffle."""
+    rows = [(i, [float(i % 7), 1.0], 0, 0) for i in range(300)]
+    whole = quantised(spark.createDataFrame(rows, SCHEMA).coalesce(1), "vec_id", "embedding", 256)
+    found = top_k(whole, whole.where("vec_id % 50 = 0"), 5, block_rows=50, query_rows=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the ranking's
+    assert "CartesianProduct" in plan
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == brute(rows, 5)
