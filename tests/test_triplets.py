@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lethe import schemas
 from lethe.options import EngineOptions
 from lethe.operators import embed, triplets
-from lethe.session import ship_package
+from lethe.session import materialise, ship_package
 
 DOC = "doc_id string, text string"
 
@@ -192,3 +194,66 @@ def test_embed_and_extract_batch(spark):
         ("doc_2", 8, 1),
     }
     assert embed.embed_and_extract_batch(items.limit(0), embed.hashing_encoder(8)).count() == 0
+
+
+def same_tokens(spark, rows, texts):
+    tokens = spark.createDataFrame(rows, schemas.TOKEN_TABLE).coalesce(2)
+    documents = spark.createDataFrame(list(texts.items()), DOC)
+    out = triplets.triplets_from_tokens(tokens, documents).collect()
+    return Counter(tuple(r) for r in out)
+
+
+def test_order_repeats_and_nulls_of_token_rows(spark):
+    rng = random.Random(5)
+    docs = [f"d{i}" for i in range(80)]
+    rows = [
+        (doc, s, t, *tok)
+        for doc in docs
+        for s, sentence in enumerate(random_sentences(rng))
+        for t, tok in enumerate(sentence)
+    ]
+    rows += rng.sample(rows, 60)
+    rows += [(d, s, t, f"{x}2", *more) for d, s, t, x, *more in rng.sample(rows, 60)]
+    rows += [(d, None, t, *more) for d, _, t, *more in rng.sample(rows, 30)]
+    rows += [(d, s, None, *more) for d, s, _, *more in rng.sample(rows, 30)]
+    rows += [(None, s, t, *more) for _, s, t, *more in rng.sample(rows, 30)]
+    texts = {doc: f"text of {doc}" for doc in docs}
+    ordered = same_tokens(spark, sorted(rows, key=str), texts)
+    assert any(r[1] == -1 for r in ordered) and any(r[0] is None for r in ordered)
+    for _ in range(2):
+        rng.shuffle(rows)
+        assert same_tokens(spark, rows, texts) == ordered
+
+
+def test_neighbouring_tokens_travel_as_one_row(spark, monkeypatch):
+    """A sentence is put together where it is read: no token is sorted or shuffled alone."""
+    plans = []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label)
+
+    monkeypatch.setattr(triplets, "materialise", seen)
+    rows = [
+        ("a", 0, 0, *token("A", *SUBJ)),
+        ("a", 0, 1, *token("s", "VERB", "", "see")),
+        ("a", 0, 2, *token("B", *OBJ)),
+    ]
+    assert same_tokens(spark, rows, {"a": "text"}) == {("a", 0, 0, "A", "SEE", "B"): 1}
+    before = plans[0].split("Exchange hashpartitioning")
+    assert len(before) == 2 and "Aggregate" not in before[1] and "MapInArrow" in before[1]
+
+
+def test_sentence_runs():
+    """Nouns without a role after the second one of a document stay behind."""
+    n = ("NOUN", "dep")
+    rows = [(d, s, t, *token(f"{d}{s}{t}", *n), True, False) for d in "ab" for s in (0, 1) for t in (0, 1, 2)]
+    rows[4] = ("a", 1, 1, *token("verb", "VERB", "ROOT"), False, True)
+    names = ["doc_id", "sent_id", "tok_id", "text", "lemma", "pos", "dep", "noun", "read"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    out = [r for b in triplets._sentence_runs([batch, batch.slice(0, 0)]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["sent_id"], [t["text"] for t in r["tokens"]]) for r in out] == [
+        ("a", 0, ["a00", "a01"]),
+        ("a", 1, ["verb"]),
+        ("b", 0, ["b00", "b01"]),
+    ]
